@@ -1 +1,27 @@
+"""Registered queries over the given tables."""
 
+from __future__ import annotations
+
+import importlib
+
+_MODULES = ["rows", "files", "counts", "joins", "ordering", "changes"]
+
+
+def _load():
+    from . import registry
+
+    for name in _MODULES:
+        try:
+            importlib.import_module(f"{__name__}.{name}")
+        except ModuleNotFoundError as e:
+            if name not in str(e):
+                raise
+    return registry
+
+
+def all_queries():
+    return dict(_load().QUERIES)
+
+
+def all_oracles():
+    return dict(_load().ORACLES)

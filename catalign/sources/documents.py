@@ -40,10 +40,7 @@ def read_mapping(df: DataFrame, json_col: str, root: str | None = "textures") ->
     from ..functions.hashes import normalize_hash
 
     doc = F.get_json_object(json_col, f"$.{root}") if root else F.col(json_col)
-    pairs = df.select(F.explode(F.from_json(doc, "map<string,string>")).alias("key", "raw"))
-    # A quoted value arrives bare; lists, numbers and objects arrive as JSON text.
-    variant = df.select(F.call_function("try_parse_json", doc).alias("v")).filter(F.col("v").isNotNull())
-    del pairs
+    variant = df.select(F.try_parse_json(doc).alias("v")).filter(F.col("v").isNotNull())
     each = variant.select(F.call_function("variant_get", F.col("v"), F.lit("$"), F.lit("map<string,variant>")).alias("m"))
     rows = each.select(F.explode("m").alias("key", "value"))
     kind = F.call_function("schema_of_variant", F.col("value"))
