@@ -175,8 +175,8 @@ def capped_sample(rows: DataFrame, rule: str, order: list[str], source: str, siz
     while len(taken) < max_rows:
         fits = left.filter(F.col(size) <= max_bytes - used)
         if taken:
-            last = taken[-1]
-            fits = fits.filter(F.struct(rule, *order) > F.struct(*[F.lit(last[c]) for c in [rule, *order]]))
+            last = F.struct(*[F.lit(taken[-1][c]).cast(left.schema[c].dataType).alias(c) for c in [rule, *order]])
+            fits = fits.filter(F.struct(rule, *order) > last)
             fits = fits.filter(~F.col(source).isin([t[source] for t in taken]))
         for r, quota in quotas.items():
             if sum(t[rule] == r for t in taken) >= quota:
