@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -36,65 +37,111 @@ def match_exact(dump: DataFrame, catalog: DataFrame, item: str, asset: str, dige
     )
 
 
-def aspect_cell(w, h, step: float = V.ASPECT_TOLERANCE):
-    """Integer bucket of log aspect ratio; candidates lie in the same or a neighbouring bucket."""
-    return F.floor(F.log(F.col(w) / F.col(h)) / F.lit(math.log1p(step))).cast("bigint")
+def aspect_position(w, h):
+    """Aspect ratio on a scale where the accepted tolerance is a constant distance.
+
+    The tolerance is absolute below a ratio of one and relative above it, so
+    the scale is linear first and logarithmic then.
+    """
+    ratio = F.col(w) / F.col(h)
+    return F.when(ratio < 1, ratio).otherwise(F.lit(1.0) + F.log(ratio))
+
+
+ASPECT_REACH = -math.log(1 - V.ASPECT_TOLERANCE) * 1.02
+
+
+def sign_means(vec: str) -> list:
+    """Signed means of a vector.
+
+    Each moves by at most the mean absolute difference, and mirroring a vector
+    leaves them alone because the signs are symmetric.
+    """
+    def signed(pattern):
+        n = F.size(vec)
+        near = lambda i: F.least(i, n - 1 - i)
+        band = lambda i: F.floor((near(i) * 2 + 1) * len(pattern) / n).cast("int")
+        return F.transform(vec, lambda x, i: x * F.element_at(F.array(*[F.lit(s) for s in pattern]), band(i) + 1))
+
+    def mean(a):
+        return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(vec)
+
+    return [mean(F.col(vec)), mean(signed([1.0, -1.0])), mean(signed([1.0, -1.0, 1.0, -1.0]))]
 
 
 def match_nearest(
     dump: DataFrame, catalog: DataFrame, item: str, asset: str, vector: str, block: str,
     best_max: float = V.NEAREST_BEST_MAX, gap_min: float = V.NEAREST_GAP_MIN, second_ok: float = V.NEAREST_SECOND_OK,
-    mirrored: bool = True, exclude_same: bool = False, tile_rows: int = TILE_ROWS,
+    mirrored: bool = True, exclude_same: bool = False, aspect: tuple[str, str] | None = None,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Closest catalogue vector by mean absolute difference within a block, accepted only when clear.
 
-    Exact search. Acceptance needs the best and second score only as far as
-    ``reach``; the mean of a vector moves by at most the score, so items meet
-    only catalogue rows whose mean lies within reach. Rows are cut into tiles
-    of bounded size on both sides, a task compares one pair of tiles and
-    returns the two best per item.
+    Exact search without forming all pairs. Acceptance depends on the best and
+    second score only as far as ``reach``. Signed means bound the score from
+    below, so rows are put into grid cells of twice the reach along them and an
+    item visits its cell and the nearer neighbour in each direction. Full cells
+    are cut into tiles on both sides; a task compares one bounded pair of tiles
+    and returns the two best per item.
+
+    With ``aspect`` (width and height columns) both sides must also agree in
+    aspect ratio within the tolerance.
 
     Rows within reach are returned with best asset, ``score``,
     ``runner_up_score`` (1.0 when there is none within reach) and ``accepted``.
     """
     reach = max(best_max + gap_min, second_ok)
-    width = reach * (1 + 1e-9)
 
     def prepared(df, key, prefix):
-        v = F.transform(F.col(vector), lambda x: x.cast("double"))
-        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
-        slim = df.select(F.col(key).alias(f"{prefix}_id"), F.col(block).alias("block"), v.alias(f"{prefix}_vec"))
-        return slim.withColumn("cell", F.floor(F.aggregate(
-            f"{prefix}_vec", F.lit(0.0), lambda a, x: a + x) / F.size(f"{prefix}_vec") / width).cast("bigint"))
-
-    cat, ask = prepared(catalog, asset, "c"), prepared(dump, item, "d")
+        vec = f"{prefix}_vec"
+        slim = df.select(
+            F.col(key).alias(f"{prefix}_id"), F.col(block).alias("block"),
+            F.transform(vector, lambda x: x.cast("double")).alias(vec),
+            (F.col(aspect[0]) / F.col(aspect[1]) if aspect else F.lit(1.0)).alias(f"{prefix}_ratio"),
+            (aspect_position(*aspect) if aspect else F.lit(1.0)).alias("_aspect"))
+        axes = [(m, reach) for m in sign_means(vec)]
+        if aspect:
+            axes.append((F.col("_aspect"), ASPECT_REACH))
+        return slim.withColumns({f"_x{i}": m / (2 * r * (1 + 1e-9)) for i, (m, r) in enumerate(axes)}), len(axes)
+
+    cat, n = prepared(catalog, asset, "c")
+    ask, _ = prepared(dump, item, "d")
+    axes = [f"_x{i}" for i in range(n)]
+    cat = cat.withColumn("cell", F.concat_ws(",", *[F.floor(x).cast("string") for x in axes]))
+    # Cells are twice the reach wide, so only the nearer neighbour can matter.
+    choices = []
+    for x in axes:
+        home = F.floor(x)
+        near = F.when(F.col(x) - home < 0.5, home - 1).otherwise(home + 1)
+        choices.append([home.cast("string"), near.cast("string")])
+    visits = F.array(*[F.concat_ws(",", *way) for way in itertools.product(*choices)])
+    ask = ask.withColumn("cell", F.explode(visits))
 
     def tiles(df, name):
         return df.groupBy("block", "cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias(name))
 
-    def tile_of(key, n):
-        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    def tile_of(key, count):
+        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
 
-    # An item visits its own and the two neighbouring cells.
-    ask = ask.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
     grid = tiles(cat, "c_tiles").join(tiles(ask, "d_tiles"), ["block", "cell"])
+    keys = ["block", "cell", "c_tile", "d_tile"]
     c_side = cat.join(grid, ["block", "cell"]).withColumn("c_tile", tile_of("c_id", "c_tiles")).withColumn(
-        "d_tile", F.explode(F.sequence(F.lit(0), F.col("d_tiles") - 1)))
+        "d_tile", F.explode(F.sequence(F.lit(0), F.col("d_tiles") - 1))).select(*keys, "c_id", "c_vec", "c_ratio")
     d_side = ask.join(grid, ["block", "cell"]).withColumn("d_tile", tile_of("d_id", "d_tiles")).withColumn(
-        "c_tile", F.explode(F.sequence(F.lit(0), F.col("c_tiles") - 1)))
-    keys = ["block", "cell", "c_tile", "d_tile"]
-    c_side = c_side.select(*keys, "c_id", "c_vec")
-    d_side = d_side.select(*keys, "d_id", "d_vec")
+        "c_tile", F.explode(F.sequence(F.lit(0), F.col("c_tiles") - 1))).select(*keys, "d_id", "d_vec", "d_ratio")
+    tolerance = V.ASPECT_TOLERANCE
 
     def compare(c: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(c) and len(d):
             matrix, ids = np.array(c["c_vec"].tolist()), c["c_id"].to_numpy()
-            for d_id, vec in zip(d["d_id"].to_numpy(), d["d_vec"]):
+            ratio = c["c_ratio"].to_numpy()
+            allowed = np.maximum(tolerance, tolerance * ratio)
+            for d_id, vec, r in zip(d["d_id"].to_numpy(), d["d_vec"], d["d_ratio"]):
                 v = np.asarray(vec)
                 score = np.abs(matrix - v).mean(axis=1)
                 if mirrored:
                     score = np.minimum(score, np.abs(matrix - v[::-1]).mean(axis=1))
+                score = np.where(np.abs(ratio - r) > allowed, np.inf, score)
                 if exclude_same:
                     score = np.where(ids == d_id, np.inf, score)
                 for i in np.lexsort((ids, score))[:2]:
@@ -105,15 +152,14 @@ def match_nearest(
     found = c_side.groupBy(*keys).cogroup(d_side.groupBy(*keys)).applyInPandas(
         compare, schema=f"d_id {_type(ask, 'd_id')}, c_id {_type(cat, 'c_id')}, score double")
     two = top_per_group(found, ["d_id"], ["score", "c_id"], 2, "_n")
-    best = two.groupBy("d_id").agg(
+    best = two.groupBy(F.col("d_id").alias(item)).agg(
         F.max(F.when(F.col("_n") == 1, F.col("c_id"))).alias(asset),
         F.max(F.when(F.col("_n") == 1, F.col("score"))).alias("score"),
         F.coalesce(F.max(F.when(F.col("_n") == 2, F.col("score"))), F.lit(1.0)).alias("runner_up_score"),
     )
     clear = (F.col("score") <= best_max) & (
         (F.col("runner_up_score") - F.col("score") >= gap_min) | (F.col("runner_up_score") >= second_ok))
-    # The copy under another name keeps item and asset columns apart.
-    return best.withColumn("accepted", clear).withColumnRenamed("d_id", item if item != asset else f"{item}_item")
+    return best.withColumn("accepted", clear)
 
 
 def _type(df: DataFrame, name: str) -> str:

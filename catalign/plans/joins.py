@@ -61,14 +61,17 @@ def match_exact(spark, sf):
     return exact_matches(spark, sf)[2]
 
 
-@query("e4_match_nearest", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+SQL_NEAREST = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
     scored AS (SELECT a.vec_id, b.vec_id AS neighbour, least(
         list_sum(list_transform(list_zip(a.e, b.e), lambda p: abs(p[1] - p[2]))) / len(a.e),
         list_sum(list_transform(list_zip(list_reverse(a.e), b.e), lambda p: abs(p[1] - p[2]))) / len(a.e)) AS score
       FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, neighbour) AS rn FROM scored WHERE score <= 0.2),
     two AS (SELECT vec_id, max(neighbour) FILTER (rn = 1) AS neighbour, max(score) FILTER (rn = 1) AS score,
-      coalesce(max(score) FILTER (rn = 2), 1.0) AS second FROM ranked WHERE rn <= 2 GROUP BY 1)
+      coalesce(max(score) FILTER (rn = 2), 1.0) AS second FROM ranked WHERE rn <= 2 GROUP BY 1)"""
+
+
+@query("e4_match_nearest", f"""WITH {SQL_NEAREST}
   SELECT vec_id, neighbour, round(score, 6) AS score, round(second, 6) AS runner_up_score,
     score <= 0.115 AND (second - score >= 0.001 OR second >= 0.2) AS accepted FROM two""")
 def nearest(spark, sf):

@@ -77,15 +77,15 @@ def paginate_spread(spark, sf):
                            hot_rows=1)
 
 
-@query("f7_capped_sample", """WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY rule, doc_id) AS rn FROM (
+@query("f7_capped_sample", """WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY rule, doc_id) AS n FROM (
       SELECT CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS rule, doc_id, source, n_chars FROM documents)),
-    walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS seen, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS first_rule,
+    walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS seen, CAST(0 AS BIGINT) AS first_rule,
         CAST(NULL AS BIGINT) AS pick
-      UNION ALL SELECT c.rn, CASE WHEN ok THEN used + n_chars ELSE used END, CASE WHEN ok THEN list_append(seen, source) ELSE seen END,
-        CASE WHEN ok THEN taken + 1 ELSE taken END, CASE WHEN ok AND rule = 0 THEN first_rule + 1 ELSE first_rule END, CASE WHEN ok THEN taken + 1 END
-      FROM (SELECT w.*, c.rule, c.source, c.n_chars, c.rn AS crn, taken < 6 AND n_chars > 0 AND used + n_chars <= 4000 AND NOT list_contains(seen, source)
-          AND NOT (rule = 0 AND first_rule >= 3) AS ok FROM walk w JOIN c ON c.rn = w.rn + 1) x JOIN c ON c.rn = x.crn)
-  SELECT w.pick, c.rule, c.doc_id, c.source, c.n_chars FROM walk w JOIN c USING (rn) WHERE pick IS NOT NULL""")
+      UNION ALL SELECT n, CASE WHEN ok THEN used + n_chars ELSE used END, CASE WHEN ok THEN list_append(seen, source) ELSE seen END,
+        CASE WHEN ok AND rule = 0 THEN first_rule + 1 ELSE first_rule END, CASE WHEN ok THEN len(seen) + 1 END
+      FROM (SELECT w.used, w.seen, w.first_rule, c.n, c.rule, c.source, c.n_chars, len(seen) < 6 AND c.n_chars > 0 AND used + c.n_chars <= 4000
+          AND NOT list_contains(seen, c.source) AND NOT (c.rule = 0 AND first_rule >= 3) AS ok FROM walk w JOIN c ON c.n = w.rn + 1))
+  SELECT w.pick, c.rule, c.doc_id, c.source, c.n_chars FROM walk w JOIN c ON c.n = w.rn WHERE pick IS NOT NULL""")
 def sample(spark, sf):
     d = table(spark, sf, "documents").select(
         F.when(F.col("lang") == "fr", 0).when(F.col("lang") == "de", 1).otherwise(2).alias("rule"), "doc_id", "source", "n_chars")
