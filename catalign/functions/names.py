@@ -13,6 +13,8 @@ def categorize(c, rules=V.CATEGORY_RULES, default: str = V.CATEGORY_DEFAULT) ->
     text = F.lower(forward(c))
     out = None
     for label, needles in rules:
+        # A needle that holds another needle of its rule can never decide alone.
+        needles = [n for n in needles if not any(m != n and m in n for m in needles)]
         hit = text.contains(needles[0])
         for needle in needles[1:]:
             hit = hit | text.contains(needle)

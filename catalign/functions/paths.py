@@ -23,7 +23,7 @@ def col(c) -> Column:
 
 def forward(c) -> Column:
     """Back slashes to slashes."""
-    return F.translate(col(c), "\\", "/")
+    return F.replace(col(c), F.lit("\\"), F.lit("/"))
 
 
 def path_key(c) -> Column:

@@ -49,22 +49,27 @@ def admit_under_budget(archives: DataFrame, limits: dict[str, int], order_by: li
     whole need no ordering at all. Small overflowing scopes are folded by one
     expression each; large ones chunk by chunk, all scopes side by side.
     """
-    judged = archives.withColumn("reason", standing_reason(limits, archive_size))
+    # Archives are read by several branches below; members are not read again.
+    judged = cut(archives.withColumn("reason", standing_reason(limits, archive_size)))
     open_rows = judged.filter(F.col("reason").isNull())
     cap_m, cap_b = limits["max_members"], limits["max_expanded_bytes"]
     size = open_rows.groupBy(*scope).agg(
         F.count("*").alias("_n"), F.sum("members").alias("_m"), F.sum("bytes").alias("_b"))
-    route = size.select(*scope, F.when((F.col("_m") <= cap_m) & (F.col("_b") <= cap_b), "whole")
-                        .when(F.col("_n") <= fold_rows, "fold").otherwise("chunks").alias("_route"))
-    routed = open_rows.join(route, scope)
+    over = (F.col("_m") > cap_m) | (F.col("_b") > cap_b)
+    out = judged.filter(F.col("reason").isNotNull()).withColumn("admitted", F.lit(False))
+    longest = size.agg(F.max("_n")).first()[0] or 0
+    if longest <= fold_rows:
+        return out.unionByName(_fold(open_rows, order_by, scope, cap_m, cap_b))
+    route = size.select(*scope, F.when(~over, "whole").when(F.col("_n") <= fold_rows, "fold").otherwise("chunks")
+                        .alias("_route"))
+    routed = cut(open_rows.join(route, scope))
 
     def part(name):
         return routed.filter(F.col("_route") == name).drop("_route")
 
-    out = judged.filter(F.col("reason").isNotNull()).withColumn("admitted", F.lit(False))
     out = out.unionByName(part("whole").withColumn("admitted", F.lit(True)))
     out = out.unionByName(_fold(part("fold"), order_by, scope, cap_m, cap_b))
-    if not route.filter(F.col("_route") == "chunks").isEmpty():
+    if not part("chunks").isEmpty():
         out = out.unionByName(_by_chunks(part("chunks"), order_by, scope, cap_m, cap_b, chunk_rows))
     return out
 

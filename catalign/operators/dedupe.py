@@ -62,9 +62,10 @@ def leaf_files(files: DataFrame, members: DataFrame, path="path", parent="parent
     return files.join(members.select(F.col(parent).alias(path)).distinct(), path, "left_anti")
 
 
-def missing_names(refs: DataFrame, decoded: DataFrame, keys: list[str]) -> DataFrame:
-    """Referenced names that were never decoded, per payload."""
-    return refs.select(*keys).distinct().join(decoded.select(*keys).distinct(), keys, "left_anti")
+def missing_names(refs: DataFrame, decoded: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
+    """Referenced names that were never decoded, once per ``keys``; compared on ``on``."""
+    on = on or keys
+    return refs.select(*keys).join(decoded.select(*on), on, "left_anti").distinct()
 
 
 def last_write_wins(members: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
+BROADCAST_ROWS = 100_000
+
 
 def _closure(known: DataFrame, members: DataFrame, kinds: list[str] | None, stage: int,
              max_depth: int | None) -> DataFrame:
@@ -21,11 +23,13 @@ def _closure(known: DataFrame, members: DataFrame, kinds: list[str] | None, stag
         return c if max_depth is None else c.filter(F.col("depth") <= max_depth)
 
     frontier, seen = cut(containers(known)), known
-    while not frontier.isEmpty():
-        inside = members.join(frontier.select(F.col("path").alias("parent"), "depth"), "parent").groupBy(
-            F.col("child").alias("path")).agg(
-                F.min("kind").alias("kind"), F.min(F.col("depth") + 1).alias("depth"),
-                F.lit(stage).alias("stage"))
+    while n := frontier.count():
+        opened = frontier.select(F.col("path").alias("parent"), "depth")
+        if n <= BROADCAST_ROWS:
+            # Counted just now: small frontiers save the shuffle of all members.
+            opened = F.broadcast(opened)
+        inside = members.join(opened, "parent").groupBy(F.col("child").alias("path")).agg(
+            F.min("kind").alias("kind"), F.min(F.col("depth") + 1).alias("depth"), F.lit(stage).alias("stage"))
         fresh = cut(inside.join(seen.select("path"), "path", "left_anti"))
         seen = seen.unionByName(fresh)
         frontier = containers(fresh)
@@ -40,6 +44,7 @@ def expand_staged(roots: DataFrame, members: DataFrame, stages: list[list[str]],
     kind found late stays closed. Result: path, kind, depth, stage.
     """
     known = roots.select("path", "kind", F.lit(0).alias("depth"), F.lit(0).alias("stage"))
+    members = cut(members.select("parent", "child", "kind"))
     for number, kinds in enumerate(stages, 1):
         known = _closure(known, members, kinds, number, max_depth)
     return known
@@ -48,7 +53,7 @@ def expand_staged(roots: DataFrame, members: DataFrame, stages: list[list[str]],
 def expand_fixed_point(roots: DataFrame, members: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All kinds until no growth; ``stage`` is 1 for everything that was opened."""
     known = roots.select("path", "kind", F.lit(0).alias("depth"), F.lit(0).alias("stage"))
-    return _closure(known, members, None, 1, max_depth)
+    return _closure(known, cut(members.select("parent", "child", "kind")), None, 1, max_depth)
 
 
 def staged_gap(full: DataFrame, staged: DataFrame) -> DataFrame:

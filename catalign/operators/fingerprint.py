@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
 from .summary import histogram, long_counts
 
 DESCRIPTOR_FIELDS = [
@@ -61,16 +62,24 @@ def catalog_digest(rows: DataFrame, value: str, widths: tuple[int, ...] = (6, 3,
 def fingerprint(assets: DataFrame, sections: dict[str, Column], summaries: dict[str, DataFrame] | None = None,
                 bound: str = "material_binding_count") -> DataFrame:
     """(section, key, value) rows: scalars, histograms, digest, selected counters."""
-    totals = assets.agg(
+    # Scalars, histograms and digest all read this narrow table, and whatever
+    # lies behind the assets is read once.
+    slim = cut(assets.select(
+        (F.coalesce(F.col("candidate_hash"), F.lit("")) != "").alias("_hashed"),
+        F.size(F.coalesce(F.col("verified_hashes"), F.array().cast("array<string>"))).alias("_verified"),
+        (F.coalesce(F.col(bound), F.lit(0)) > 0).alias("_bound"),
+        descriptor(assets).alias("_json"), *[e.cast("string").alias(f"_s_{name}") for name, e in sections.items()]))
+    totals = slim.agg(
         F.count("*").alias("asset_count"),
-        F.count_if(F.coalesce(F.col("candidate_hash"), F.lit("")) != "").alias("candidate_hash_count"),
-        F.coalesce(F.sum(F.size("verified_hashes")), F.lit(0)).alias("verified_runtime_hash_count"),
-        F.count_if(F.col(bound) > 0).alias("material_bound_assets"),
+        F.count_if("_hashed").alias("candidate_hash_count"),
+        F.coalesce(F.sum("_verified"), F.lit(0)).alias("verified_runtime_hash_count"),
+        F.count_if("_bound").alias("material_bound_assets"),
     )
-    counts = long_counts("scalar", totals).unionByName(histogram(assets, sections))
+    counts = long_counts("scalar", totals).unionByName(
+        histogram(slim, {name: F.col(f"_s_{name}") for name in sections}))
     for name, table in (summaries or {}).items():
         counts = counts.unionByName(long_counts(name, table))
-    digest = catalog_digest(assets.select(descriptor(assets).alias("_json")), "_json").select(
+    digest = catalog_digest(slim, "_json").select(
         F.lit("scalar").alias("section"), F.lit("asset_descriptor_sha256").alias("key"), F.col("digest").alias("value")
     )
     return counts.select("section", "key", F.col("n").cast("string").alias("value")).unionByName(digest)

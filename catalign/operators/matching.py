@@ -15,25 +15,29 @@ from .ranking import top_per_group
 TILE_ROWS = 2048
 
 
-def match_exact(dump: DataFrame, catalog: DataFrame, item: str, asset: str, digests: list[str]) -> DataFrame:
+def match_exact(dump: DataFrame, catalog: DataFrame, item: str, asset: str, digests: list[str],
+                carry: list[str] | None = None) -> DataFrame:
     """Items with the one catalogue asset sharing any digest; status verified, ambiguous or unmatched.
 
     The catalogue is reduced to (digest, smallest, largest asset) first, so
     popular digests never multiply. Smallest equal to largest over all digests
-    of an item means one distinct asset.
+    of an item means one distinct asset. ``carry`` names item columns to keep.
     """
-    def spread(df, keep):
-        return df.select(keep, F.explode(F.array_distinct(F.array(*digests))).alias("digest")).filter(
-            F.col("digest").isNotNull())
-
-    index = spread(catalog, asset).groupBy("digest").agg(F.min(asset).alias("_lo"), F.max(asset).alias("_hi"))
-    hits = spread(dump, item).join(index, "digest").groupBy(item).agg(
-        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    return dump.select(item).join(hits, item, "left").select(
+    carry = carry or []
+
+    def spread(df, *keep):
+        return df.select(*keep, F.explode(F.array_distinct(F.array(*digests))).alias("digest"))
+
+    index = spread(catalog, asset).filter(F.col("digest").isNotNull()).groupBy("digest").agg(
+        F.min(asset).alias("_lo"), F.max(asset).alias("_hi"))
+    hits = spread(dump, item, *carry).join(index, "digest", "left").groupBy(item).agg(
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[F.first(c).alias(c) for c in carry])
+    return hits.select(
         item,
         F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias(asset),
         F.when(F.col("_lo").isNull(), "unmatched").when(F.col("_lo") == F.col("_hi"), "verified")
         .otherwise("ambiguous").alias("status"),
+        *carry,
     )
 
 

@@ -68,20 +68,21 @@ def dedupe_names_within(members: DataFrame, parent: str, name: str, order: list[
         "_stem": F.when(F.col("_name").rlike(cut_at), F.regexp_extract("_name", cut_at, 1)).otherwise(F.col("_name")),
         "_ext": F.when(F.col("_name").rlike(cut_at), F.regexp_extract("_name", cut_at, 2)).otherwise(F.lit("")),
     })
+    # A generated name can only meet a member whose own stem ends in a number.
+    numeric_tail = r"(?s)^(.+)_([1-9]\d*)$"
+    could_clash = not leafed.filter(F.col("_stem").rlike(numeric_tail)).isEmpty()
     numbered = number_and_total(leafed, [parent, "_name"], order, number="_k", hot_rows=hot_rows)
-    plain = F.when(F.col("_k") == 1, F.col("_name")).otherwise(
-        F.concat("_stem", F.lit("_"), F.col("_k").cast("string"), "_ext"))
-    named = numbered.withColumn(out, plain)
-    # Archives where a generated name meets another member's own name.
-    natural = named.filter(F.col("_k") == 1).select(parent, F.col("_name").alias(out)).distinct()
-    clash = named.filter(F.col("_k") > 1).join(natural, [parent, out], "left_semi").select(
-        parent, F.regexp_replace("_stem", r"(_\d+)+$", "").alias("_root"), "_ext").distinct()
-    if clash.isEmpty():
+    named = numbered.withColumn(out, F.when(F.col("_k") == 1, F.col("_name")).otherwise(
+        F.concat("_stem", F.lit("_"), F.col("_k").cast("string"), "_ext")))
+    if not could_clash:
         return named.select(*members.columns, out)
-    tagged = named.withColumn("_root", F.regexp_replace("_stem", r"(_\d+)+$", ""))
+    named = cut(named.withColumn("_root", F.regexp_replace("_stem", r"(_\d+)+$", "")))
     keys = [parent, "_root", "_ext"]
-    settled = _settle(tagged.join(clash, keys, "left_semi"), parent, order, out, hot_rows)
-    calm = tagged.join(clash, keys, "left_anti").select(*members.columns, out)
+    natural = named.filter((F.col("_k") == 1) & F.col("_stem").rlike(numeric_tail)).select(
+        parent, F.col("_name").alias(out)).distinct()
+    clash = cut(named.filter(F.col("_k") > 1).join(natural, [parent, out], "left_semi").select(*keys).distinct())
+    settled = _settle(named.join(clash, keys, "left_semi"), parent, order, out, hot_rows)
+    calm = named.join(clash, keys, "left_anti").select(*members.columns, out)
     return calm.unionByName(settled.select(*members.columns, out))
 
 

@@ -8,25 +8,24 @@ slab is numbered by itself and shifted by what the slabs before it hold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
 
 HOT_ROWS = 2_000_000
+HASH_BUCKETS = 65_536
 
 
-def widest_group(df: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group: one map-side combined count."""
-    if not group:
-        return df.count()
-    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+def has_hot_group(df: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether some group may hold more than ``hot_rows`` rows.
 
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+    Rows are counted per hash bucket, not per group: the count of a bucket
+    bounds its groups from above and the shuffle stays small however many
+    groups there are. A false alarm costs time only.
+    """
+    top, total = df.groupBy(F.pmod(F.xxhash64(*group), F.lit(HASH_BUCKETS))).count().agg(
+        F.max("count"), F.sum("count")).first()
+    return (top or 0) > max(hot_rows, 4 * (total or 0) // HASH_BUCKETS)
 
 
 def number_and_total(
@@ -44,7 +43,7 @@ def number_and_total(
     columns.
     """
     totals = totals or {}
-    if widest_group(df, group) <= hot_rows:
+    if not has_hot_group(df, group, hot_rows):
         w = Window.partitionBy(*group).orderBy(*order)
         running = w.rowsBetween(Window.unboundedPreceding, 0)
         out = {number: F.row_number().over(w).cast("bigint")} if number else {}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.paths import forward
+
 
 def rescan_upsert(catalog: DataFrame, incoming: DataFrame, key: list[str], extracted: list[str],
                   user: list[str], classification: list[str], override: str) -> DataFrame:
@@ -41,7 +43,7 @@ def set_user_metadata(catalog: DataFrame, updates: DataFrame, key: str, columns:
 
 def sanitize_refs(df: DataFrame, columns: list[str], prefix: str, status: str) -> DataFrame:
     """Blank path columns below a transient prefix and note it in ``<column>_status``."""
-    gone = {c: F.startswith(F.translate(F.col(c), "\\", "/"), F.lit(prefix)) for c in columns}
+    gone = {c: F.startswith(forward(c), F.lit(prefix)) for c in columns}
     return df.withColumns(
         {f"{c}_status": F.when(g, F.lit(status)) for c, g in gone.items()}
     ).withColumns({c: F.when(F.col(f"{c}_status").isNotNull(), F.lit("")).otherwise(F.col(c)) for c in columns})
@@ -50,7 +52,7 @@ def sanitize_refs(df: DataFrame, columns: list[str], prefix: str, status: str) -
 def sanitize_nested(df: DataFrame, column: str, field: str, prefix: str, status: str) -> DataFrame:
     """The same inside an array of structs."""
     def clean(x):
-        gone = F.startswith(F.translate(x[field], "\\", "/"), F.lit(prefix))
+        gone = F.startswith(forward(x[field]), F.lit(prefix))
         return x.withField(f"{field}_status", F.when(gone, F.lit(status))).withField(
             field, F.when(gone, F.lit("")).otherwise(x[field]))
 

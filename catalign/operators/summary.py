@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import content as C, values as V
+from ..session import cut
 from .dedupe import most_common
 from .ranking import top_per_group
 
@@ -40,11 +41,12 @@ def long_counts(section: str, totals: DataFrame) -> DataFrame:
 def inventory_summary(files: DataFrame, flags: dict[str, Column], ext="ext", content="content",
                       top: int = V.MAGIC_TOP, binary: bool = True) -> DataFrame:
     """File flags, extension counts and the most common leading magics."""
-    slim = files.select(
+    # Content is read once; the three reports below read what is left of it.
+    slim = cut(files.select(
         F.coalesce(F.col(ext), F.lit("(none)")).alias("ext"),
         C.magic_label(content, binary).alias("magic"),
         *[e.alias(name) for name, e in flags.items()],
-    )
+    ))
     totals = slim.agg(F.count("*").alias("files"), *[F.count_if(name).alias(name) for name in flags])
     exts = slim.groupBy(F.col("ext").alias("key")).agg(F.count("*").alias("n"))
     magics = most_common(slim, "magic", top).withColumnRenamed("magic", "key")

@@ -140,12 +140,11 @@ def confirm_errors(spark, sf):
       CASE WHEN status = 'verified' THEN fresh ELSE -fresh END, item) AS rn FROM both_sides)
   SELECT asset, hash, status, method, log_rows FROM ranked WHERE rn = 1""")
 def apply_evidence(spark, sf):
-    dump, catalog, m = exact_matches(spark, sf)
-    labels = table(spark, sf, "labels")
-    stored = catalog.join(labels, F.col("asset") == F.col("doc_id")).select(
+    catalog, m = exact_matches(spark, sf)
+    stored = catalog.join(table(spark, sf, "labels"), F.col("asset") == F.col("doc_id")).select(
         "asset", F.col("candidate_hash").alias("hash"), F.when(F.col("quality") == 1, "verified").otherwise("candidate").alias("status"),
         F.lit("scan").alias("method"), F.col("asset").alias("item"))
-    exact = m.filter("status = 'verified'").join(dump.select("doc_id", "candidate_hash"), "doc_id").select(
+    exact = m.filter("status = 'verified'").select(
         "asset", F.col("candidate_hash").alias("hash"), "status", F.lit("exact").alias("method"), F.col("doc_id").alias("item"))
     similar = catalog.select(
         "asset", F.upper(F.substring(F.md5("source"), 1, 16)).alias("hash"), F.lit("candidate").alias("status"),

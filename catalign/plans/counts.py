@@ -215,13 +215,13 @@ SQL_MATCH = f"""{A.SQL_ASSETS}, keyed AS (SELECT a.*, sha256(text) AS direct, sh
 
 def exact_matches(spark, sf):
     """Unlabelled documents against labelled ones."""
+    known = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("known"))
     d = A.slim_assets(spark, sf).select(
-        "doc_id", "candidate_hash", "source", F.sha2("text", 256).alias("direct"),
-        F.sha2(F.reverse("text"), 256).alias("mirrored"))
-    known = table(spark, sf, "labels").select("doc_id")
-    dump = d.join(known, "doc_id", "left_anti")
-    catalog = d.join(known, "doc_id", "left_semi").withColumnRenamed("doc_id", "asset")
-    return dump, catalog, match_exact(dump, catalog, "doc_id", "asset", ["direct", "mirrored"])
+        "doc_id", "candidate_hash", F.sha2("text", 256).alias("direct"), F.sha2(F.reverse("text"), 256).alias("mirrored"),
+        "source").join(known, "doc_id", "left")
+    dump = d.filter(F.col("known").isNull())
+    catalog = d.filter(F.col("known").isNotNull()).withColumnRenamed("doc_id", "asset")
+    return catalog, match_exact(dump, catalog, "doc_id", "asset", ["direct", "mirrored"], carry=["candidate_hash"])
 
 
 @query("d14_evidence_report", f"""WITH {SQL_MATCH} SELECT count(*) AS found, count(*) FILTER (status = 'verified') AS matched_exact,
@@ -231,11 +231,10 @@ def exact_matches(spark, sf):
     CASE WHEN count(*) FILTER (status = 'verified' AND candidate_hash <> asset_hash) > 0 THEN 'FAIL'
       WHEN count(*) FILTER (status = 'verified') > 0 THEN 'PASS' ELSE 'NO_EXACT_SAMPLES' END AS verdict FROM matches""")
 def evidence_report(spark, sf):
-    dump, catalog, m = exact_matches(spark, sf)
+    catalog, m = exact_matches(spark, sf)
     own = catalog.select("asset", F.col("candidate_hash").alias("asset_hash"))
-    rows = m.join(dump.select("doc_id", "candidate_hash"), "doc_id").join(own, "asset", "left").withColumn(
-        "agrees", F.col("candidate_hash") == F.col("asset_hash"))
-    return S.evidence_report(rows)
+    return S.evidence_report(m.join(own, "asset", "left").withColumn(
+        "agrees", F.col("candidate_hash") == F.col("asset_hash")))
 
 
 @query("d15_bindings_by_name", """WITH b AS (SELECT p_name AS name, l_orderkey AS material, l_linenumber AS slot FROM lineitem JOIN part ON p_partkey = l_partkey),

@@ -58,7 +58,7 @@ def ambiguous_candidates(spark, sf):
 
 @query("e3_match_exact", f"WITH {SQL_MATCH} SELECT doc_id, asset, status FROM matches")
 def match_exact(spark, sf):
-    return exact_matches(spark, sf)[2]
+    return exact_matches(spark, sf)[1].drop("candidate_hash")
 
 
 SQL_NEAREST = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -237,8 +237,7 @@ def missing_names(spark, sf):
         table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("payload"), F.col("l_partkey").alias("name"))
     decoded = table(spark, sf, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("name"))
-    return dedupe.missing_names(refs.select("payload", "name"), refs.join(decoded, "name").select("payload", "name"),
-                                ["payload", "name"])
+    return dedupe.missing_names(refs, decoded, ["payload", "name"], on=["name"])
 
 
 @query("g2_union_roots", f"WITH {A.SQL_FILES} SELECT DISTINCT path, length FROM files WHERE ext = 'html' OR length > 4000 OR page_id < 1000000")

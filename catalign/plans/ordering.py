@@ -118,8 +118,8 @@ def admit(spark, sf):
 @query("f8_admit_in_chunks", SQL_ADMITTED)
 def admit_in_chunks(spark, sf):
     """The same on the path for scopes too large for one task."""
-    return admit_under_budget(A.archives(spark, sf), B, ["o_orderkey"], ["o_custkey"], "archive_size", fold_rows=1,
-                              chunk_rows=8).select("o_orderkey", "admitted", "reason")
+    return admit_under_budget(A.archives(spark, sf), B, ["o_orderkey"], ["o_custkey"], "archive_size", fold_rows=8,
+                              chunk_rows=12).select("o_orderkey", "admitted", "reason")
 
 
 ORACLES["d16_usage_snapshot"] = f"""WITH RECURSIVE {SQL_ADMIT} SELECT o_custkey, count(*) FILTER (admitted) AS archives,

@@ -140,14 +140,16 @@ SQL_SAFE = """coalesce(nullif(substr(trim(regexp_replace(regexp_replace(regexp_r
     CASE WHEN regexp_matches(x, '(?i)^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]) *(\\..*)?$') THEN '_' || x ELSE x END AS export"""
 
 
-@query("c3_safe_component", f"""WITH names AS (SELECT url AS s FROM pages UNION ALL SELECT text FROM documents
-    UNION ALL SELECT 'com' || p_size || '.' || p_name FROM part),
+@query("c3_safe_component", f"""WITH names AS (SELECT url AS s FROM pages UNION ALL SELECT c_name || ' / ' || c_mktsegment FROM customer
+    UNION ALL SELECT 'com' || p_size || '.' || p_name FROM part UNION ALL SELECT '..' || o_orderpriority || ':  ' || o_orderkey FROM orders),
   prepared AS (SELECT s, coalesce(nullif(regexp_replace(regexp_replace(substr(s, 1, 96),
       '[\\x00-\\x1f\\x7f\\s<>:"/\\\\|?*_]+', '_', 'g'), '^[._ ]+|[._ ]+$', '', 'g'), ''), 'texture') AS x FROM names)
   SELECT md5(s) AS id, {SQL_SAFE} FROM prepared""")
 def safe_component(spark, sf):
     names = table(spark, sf, "pages").select(F.col("url").alias("s")).unionByName(
-        table(spark, sf, "documents").select(F.col("text").alias("s"))).unionByName(
+        table(spark, sf, "customer").select(F.concat("c_name", F.lit(" / "), "c_mktsegment").alias("s"))).unionByName(
+        table(spark, sf, "orders").select(F.concat(
+            F.lit(".."), "o_orderpriority", F.lit(":  "), F.col("o_orderkey").cast("string")).alias("s"))).unionByName(
         table(spark, sf, "part").select(F.concat(
             F.lit("com"), F.col("p_size").cast("string"), F.lit("."), "p_name").alias("s")))
     return names.select(F.md5("s").alias("id"), N.safe_flat("s").alias("flat"),

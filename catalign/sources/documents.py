@@ -39,18 +39,18 @@ def read_mapping(df: DataFrame, json_col: str, root: str | None = "textures") ->
     """
     from ..functions.hashes import normalize_hash
 
-    doc = F.get_json_object(json_col, f"$.{root}") if root else F.col(json_col)
-    variant = df.select(F.try_parse_json(doc).alias("v")).filter(F.col("v").isNotNull())
-    each = variant.select(F.call_function("variant_get", F.col("v"), F.lit("$"), F.lit("map<string,variant>")).alias("m"))
-    rows = each.select(F.explode("m").alias("key", "value"))
-    kind = F.call_function("schema_of_variant", F.col("value"))
-    text = F.call_function("try_variant_get", F.col("value"), F.lit("$"), F.lit("string"))
-    items = F.call_function("try_variant_get", F.col("value"), F.lit("$"), F.lit("array<variant>"))
-    names = F.when(kind == "STRING", F.array(text)).when(F.startswith(kind, F.lit("ARRAY")), F.transform(
-        items, lambda x: F.when(
-            F.call_function("schema_of_variant", x) == "STRING",
-            F.call_function("try_variant_get", x, F.lit("$"), F.lit("string")))))
-    return rows.select(normalize_hash("key").alias("hash"), F.explode(names).alias("name")).filter(
+    if root:
+        doc = F.from_json(json_col, f"`{root}` map<string, variant>")[root]
+    else:
+        doc = F.from_json(json_col, "map<string, variant>")
+    entries = df.select(F.explode(doc).alias("key", "value"))
+
+    def as_text(v):
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    items = F.try_variant_get("value", "$", "array<variant>")
+    names = F.coalesce(F.transform(items, as_text), F.array(as_text(F.col("value"))))
+    return entries.select(normalize_hash("key").alias("hash"), F.explode(names).alias("name")).filter(
         F.col("hash").isNotNull() & F.col("name").isNotNull())
 
 
