@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import values as V
-from .paths import col, forward, leaf, stem
+from .paths import col, extension, forward, leaf, stem
 
 
 def categorize(c, rules=V.CATEGORY_RULES, default: str = V.CATEGORY_DEFAULT) -> Column:
@@ -49,6 +49,23 @@ def safe_package(c, fallback) -> Column:
     return F.when(F.coalesce(t, F.lit("")) == "", fb).otherwise(t)
 
 
+def member_name_flat(index, name, suffix: Column) -> Column:
+    """Member name in archives without directories; unnamed members get their index and a guessed suffix."""
+    safe = safe_flat(name)
+    return (
+        F.when(col(name).isNull(), F.concat(F.format_string("hash_00000000_%05d", col(index)), suffix))
+        .when(extension(safe).isNull(), F.concat(safe, suffix)).otherwise(safe)
+    )
+
+
+def member_name_package(index, name, suffix_of) -> Column:
+    """Member name in packages: index first, so it is unique. ``suffix_of`` maps the safe name to a suffix."""
+    base = safe_package(F.coalesce(col(name), F.lit("")), F.format_string("member_%04d", col(index)))
+    want = suffix_of(base)
+    have = F.coalesce(F.concat(F.lit("."), extension(base)), F.lit(""))
+    return F.concat(F.format_string("%04d_", col(index)), base, F.when(have == want, "").otherwise(want))
+
+
 def safe_export(c, fallback: str = "texture") -> Column:
     """Component for exports: 96 characters read, reserved names prefixed."""
     t = F.regexp_replace(F.substring(col(c), 1, 96), r'[\x00-\x1f\x7f\s<>:"/\\|?*_]+', "_")
@@ -122,8 +139,11 @@ def display_seed(name, model, source, asset_id, aux_mask=None) -> Column:
     return s
 
 
-def export_name(seed, hash_) -> Column:
-    return F.concat(safe_export(seed), F.lit("_"), F.lower(F.substring(col(hash_), 1, 8)), F.lit(".png"))
+def export_name(base, width, height, fmt, hash_) -> Column:
+    """File name of an exported asset."""
+    return F.concat(
+        safe_export(base), F.lit("__"), col(width).cast("string"), F.lit("x"), col(height).cast("string"),
+        F.lit("_f"), col(fmt).cast("string"), F.lit("_"), col(hash_), F.lit(".png"))
 
 
 def render_names(shown, total, label: str, detail: str) -> Column:

@@ -57,7 +57,9 @@ def admit_under_budget(archives: DataFrame, limits: dict[str, int], order_by: li
         F.count("*").alias("_n"), F.sum("members").alias("_m"), F.sum("bytes").alias("_b"))
     over = (F.col("_m") > cap_m) | (F.col("_b") > cap_b)
     out = judged.filter(F.col("reason").isNotNull()).withColumn("admitted", F.lit(False))
-    longest = size.agg(F.max("_n")).first()[0] or 0
+    longest, longest_over = size.agg(F.max("_n"), F.max(F.when(over, F.col("_n")))).first()
+    if longest_over is None:
+        return out.unionByName(open_rows.withColumn("admitted", F.lit(True)))
     if longest <= fold_rows:
         return out.unionByName(_fold(open_rows, order_by, scope, cap_m, cap_b))
     route = size.select(*scope, F.when(~over, "whole").when(F.col("_n") <= fold_rows, "fold").otherwise("chunks")
@@ -69,7 +71,7 @@ def admit_under_budget(archives: DataFrame, limits: dict[str, int], order_by: li
 
     out = out.unionByName(part("whole").withColumn("admitted", F.lit(True)))
     out = out.unionByName(_fold(part("fold"), order_by, scope, cap_m, cap_b))
-    if not part("chunks").isEmpty():
+    if longest_over > fold_rows:
         out = out.unionByName(_by_chunks(part("chunks"), order_by, scope, cap_m, cap_b, chunk_rows))
     return out
 

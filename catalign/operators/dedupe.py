@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from .ranking import first_per_group, number_and_total
@@ -31,8 +33,9 @@ def merged_values(assets: DataFrame, kept: DataFrame, keys: list[str], value: st
     distinct = assets.filter(F.coalesce(F.col(value).cast("string"), F.lit("")) != "").select(*keys, value).distinct()
     if not exclude_kept:
         return distinct
-    own = kept.select(*keys, F.col(value).alias("_own"))
-    return distinct.join(own, keys).filter(~F.col(value).eqNullSafe(F.col("_own"))).drop("_own")
+    own = kept.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_own"))
+    same = reduce(lambda a, b: a & b, [distinct[k].eqNullSafe(own[f"_k_{k}"]) for k in keys])
+    return distinct.join(own, same).filter(~F.col(value).eqNullSafe(F.col("_own"))).select(*keys, value)
 
 
 def union_roots(frames: list[DataFrame], path="path") -> DataFrame:

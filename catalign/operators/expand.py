@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
+from .budget import admit_under_budget
 
 BROADCAST_ROWS = 100_000
 
@@ -59,3 +60,50 @@ def expand_fixed_point(roots: DataFrame, members: DataFrame, max_depth: int | No
 def staged_gap(full: DataFrame, staged: DataFrame) -> DataFrame:
     """What the staged order would miss."""
     return full.join(staged.select("path"), "path", "left_anti")
+
+
+def expand_under_budget(roots: DataFrame, members: DataFrame, stages: list[list[str]], limits: dict[str, int],
+                        order: str = "path") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Staged expansion in which every container has to be admitted before it is opened.
+
+    ``members`` also has ``size`` (bigint). Containers of a round are charged
+    in ``order``; what earlier rounds used is gone. Returns the files, the
+    refused containers with the reason, and the usage.
+    """
+    known = roots.select("path", "kind", F.lit(0).alias("depth"), F.lit(0).alias("stage"))
+    members = cut(members.select("parent", "child", "kind", "size"))
+    used = {"archives": 0, "members": 0, "bytes": 0, "max_depth_seen": 0}
+    refused = None
+    for number, kinds in enumerate(stages, 1):
+        frontier = cut(known.filter(F.col("kind").isin(kinds)))
+        while n := frontier.count():
+            ahead = frontier.select(F.col("path").alias("parent"), "depth")
+            inside = members.join(F.broadcast(ahead) if n <= BROADCAST_ROWS else ahead, "parent")
+            held = inside.groupBy("parent").agg(
+                F.count("*").alias("members"), F.sum("size").alias("bytes"), F.max("size").alias("largest"),
+                F.min("size").alias("smallest"))
+            none = F.lit(0).cast("bigint")
+            archives = frontier.select("path", "depth").join(
+                held.withColumnRenamed("parent", "path"), "path", "left").withColumns(
+                {c: F.coalesce(c, none) for c in ("members", "bytes", "largest", "smallest")}).withColumn("_all", F.lit(0))
+            left = {**limits, "max_members": limits["max_members"] - used["members"],
+                    "max_expanded_bytes": limits["max_expanded_bytes"] - used["bytes"]}
+            decided = cut(admit_under_budget(archives, left, [order], ["_all"]))
+            sums = decided.filter("admitted").agg(
+                F.count("*").alias("archives"), F.sum("members").alias("members"), F.sum("bytes").alias("bytes"),
+                F.max("depth").alias("deepest")).first()
+            used = {"archives": used["archives"] + sums["archives"], "members": used["members"] + (sums["members"] or 0),
+                    "bytes": used["bytes"] + (sums["bytes"] or 0),
+                    "max_depth_seen": max(used["max_depth_seen"], sums["deepest"] or 0)}
+            no = decided.filter(~F.col("admitted")).select("path", "reason", F.lit(number).alias("stage"))
+            refused = no if refused is None else refused.unionByName(no)
+            opened = decided.filter("admitted").select(F.col("path").alias("parent"), "depth")
+            fresh = cut(members.join(F.broadcast(opened) if n <= BROADCAST_ROWS else opened, "parent").groupBy(
+                F.col("child").alias("path")).agg(
+                    F.min("kind").alias("kind"), F.min(F.col("depth") + 1).alias("depth"), F.lit(number).alias("stage")
+                ).join(known.select("path"), "path", "left_anti"))
+            known = known.unionByName(fresh)
+            frontier = fresh.filter(F.col("kind").isin(kinds))
+    if refused is None:
+        refused = known.limit(0).select("path", F.lit("").alias("reason"), "stage")
+    return known, refused, used

@@ -60,8 +60,8 @@ def catalog_digest(rows: DataFrame, value: str, widths: tuple[int, ...] = (6, 3,
 
 
 def fingerprint(assets: DataFrame, sections: dict[str, Column], summaries: dict[str, DataFrame] | None = None,
-                bound: str = "material_binding_count") -> DataFrame:
-    """(section, key, value) rows: scalars, histograms, digest, selected counters."""
+                bound: str = "material_binding_count", identity: dict[str, str] | None = None) -> DataFrame:
+    """(section, key, value) rows: identity, scalars, histograms, digest, selected counters."""
     # Scalars, histograms and digest all read this narrow table, and whatever
     # lies behind the assets is read once.
     slim = cut(assets.select(
@@ -82,7 +82,11 @@ def fingerprint(assets: DataFrame, sections: dict[str, Column], summaries: dict[
     digest = catalog_digest(slim, "_json").select(
         F.lit("scalar").alias("section"), F.lit("asset_descriptor_sha256").alias("key"), F.col("digest").alias("value")
     )
-    return counts.select("section", "key", F.col("n").cast("string").alias("value")).unionByName(digest)
+    out = counts.select("section", "key", F.col("n").cast("string").alias("value")).unionByName(digest)
+    header = [("identity", k, v) for k, v in (identity or {}).items()]
+    if header:
+        out = out.unionByName(assets.sparkSession.createDataFrame(header, out.schema))
+    return out
 
 
 def diff_fingerprints(expected: DataFrame, actual: DataFrame, sections: list[str] | None = None) -> DataFrame:

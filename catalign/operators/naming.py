@@ -18,7 +18,9 @@ def assign_unique_names(assets: DataFrame, base: str, owner: str, out: str = "na
     may be somebody's natural base; such bases belong to the owner of the
     generated name, and the numbering is repeated until that set is stable.
     """
-    pairs = assets.select(F.lower(base).alias("_base"), F.col(owner).alias("_owner")).distinct()
+    keyed = assets.withColumns({
+        "_base": F.lower(F.coalesce(base, F.lit(""))), "_owner": F.coalesce(F.col(owner).cast("string"), F.lit(""))})
+    pairs = cut(keyed.select("_base", "_owner").distinct())
     taken = None
     while True:
         keepers = pairs.groupBy("_base").agg(F.min("_owner").alias("_keeper"))
@@ -42,11 +44,7 @@ def assign_unique_names(assets: DataFrame, base: str, owner: str, out: str = "na
         taken = cut(clash)
     names = made.select("_base", "_owner", "_name").unionByName(
         owned.filter(F.col("_owner") == F.col("_keeper")).select("_base", "_owner", F.col("_base").alias("_name")))
-    return (
-        assets.withColumn("_base", F.lower(base)).withColumn("_owner", F.col(owner))
-        .join(names, ["_base", "_owner"])
-        .withColumn(out, F.col("_name")).drop("_base", "_owner", "_name")
-    )
+    return keyed.join(names, ["_base", "_owner"]).withColumn(out, F.col("_name")).drop("_base", "_owner", "_name")
 
 
 def _same(a: DataFrame, b: DataFrame) -> bool:

@@ -10,6 +10,7 @@ from ..operators.budget import check_members
 from ..operators.lookup import keep_live_name, reconcile_counts
 from ..operators.matching import match_nearest
 from ..session import scratch_path
+from ..sources import documents as docs
 from ..streaming import evidence as stream
 from . import adapters as A
 from .adapters import table
@@ -213,9 +214,12 @@ def live_names(spark, sf):
 
 
 def event_stream(spark, sf):
-    """The events file as a stream."""
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events table as a stream: a folder as it is, a single file through its folder."""
+    path, schema = f"{sf}/events.parquet", table(spark, sf, "events").schema
+    reader = spark.readStream.schema(schema)
+    if docs.is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
 @query("j7_stream_upsert", f"""WITH {A.SQL_EVIDENCE} SELECT asset, hash, rank, method, event_id FROM (

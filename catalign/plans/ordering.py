@@ -178,3 +178,16 @@ def staged_gap(spark, sf):
     roots, members = A.hierarchy(spark, sf)
     return X.staged_gap(X.expand_fixed_point(roots, members), X.expand_staged(roots, members, [["A"], ["B"], ["C"]])).select(
         "path", "kind", "depth")
+
+
+EXPANSION = {"max_depth": 16, "max_members": 6_000, "max_expanded_bytes": 150_000, "max_member_bytes": 1_000,
+             "max_archive_bytes": 1 << 40}
+
+
+@query("h1_expand_under_budget")
+def expand_under_budget(spark, sf):
+    """No SQL twin: the charge runs through all rounds in order. Tested against a sequential model."""
+    roots, members = A.hierarchy(spark, sf)
+    sized = members.withColumn("size", F.length("child").cast("bigint") * 4)
+    files, refused, _ = X.expand_under_budget(roots, sized, [["A"], ["B"], ["C"]], EXPANSION)
+    return files.join(refused.select("path", "reason"), "path", "left")

@@ -172,11 +172,11 @@ def parse_asset_name(spark, sf):
 
 
 @query("c5_format_asset_name", f"""WITH {A.SQL_ASSETS} SELECT doc_id, {SQL_ASSET_NAME} AS canonical,
-    source || '_' || lower(substr(candidate_hash, 1, 8)) || '.png' AS exported FROM assets""")
+    source || '__' || width || 'x' || height || '_f' || format || '_' || candidate_hash || '.png' AS exported FROM assets""")
 def format_asset_name(spark, sf):
     return A.slim_assets(spark, sf).select(
         "doc_id", N.format_asset_name("width", "height", "candidate_hash", "format", "mip").alias("canonical"),
-        N.export_name("source", "candidate_hash").alias("exported"))
+        N.export_name("source", "width", "height", "format", "candidate_hash").alias("exported"))
 
 
 @query("c6_normalize_hash", """SELECT doc_id, CASE WHEN 1 + n_chars % 20 <= 16 THEN
@@ -247,6 +247,25 @@ def guess_suffix(spark, sf):
         C.guess_suffix_package("content", "path", [("<htm", ".htm")], False).alias("package"))
 
 
+SQL_MEMBER = f"""{A.SQL_FILES}, m AS (SELECT page_id, content, CASE WHEN length > 4000 THEN path END AS name FROM files),
+    n AS (SELECT *, CASE WHEN contains(content, '***') THEN '.table' WHEN starts_with(content, '<!DO') THEN '.doc' ELSE '.bin' END AS flat_suffix,
+      regexp_replace(translate(name, '/', '_'), '[<>:"|?*]', '_', 'g') AS flat_name,
+      coalesce(nullif(regexp_replace(regexp_replace({A.sql_leaf("coalesce(name, '')")}, '[^A-Za-z0-9._@+\\-]', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''),
+        printf('member_%04d', page_id)) AS base FROM m),
+    o AS (SELECT *, lower(regexp_extract(base, '(?s)^.+(\\.[^.]+)$', 1)) AS own FROM n)"""
+
+
+@query("c12_member_name", f"""WITH {SQL_MEMBER} SELECT page_id,
+    CASE WHEN name IS NULL THEN printf('hash_00000000_%05d', page_id) || flat_suffix
+      WHEN regexp_matches(flat_name, '\\.[^.]+$') THEN flat_name ELSE flat_name || flat_suffix END AS flat,
+    printf('%04d_', page_id) || base || CASE WHEN own <> '' AND length(own) <= 12 THEN '' ELSE '.bin' END AS package FROM o""")
+def member_name(spark, sf):
+    m = A.files(spark, sf).select("page_id", "content", F.when(F.col("length") > 4000, F.col("path")).alias("name"))
+    flat = C.guess_suffix_flat("content", [("<!DO", ".doc")], "***", ".table", False)
+    return m.select("page_id", N.member_name_flat("page_id", "name", flat).alias("flat"), N.member_name_package(
+        "page_id", "name", lambda base: C.guess_suffix_package("content", base, [("<htm", ".htm")], False)).alias("package"))
+
+
 @query("c13_display_seed", f"""WITH p AS (SELECT p_partkey, p_name,
       CASE WHEN p_size < 25 THEN split_part(p_name, ' ', 1) || '_mdl' ELSE '' END AS model,
       CASE WHEN p_size % 3 = 0 THEN p_name || '_mask' WHEN p_size % 3 = 1 THEN split_part(p_name, ' ', 1) || '_tex01'

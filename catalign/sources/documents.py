@@ -11,6 +11,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def read_manifest(spark: SparkSession, paths: list[str], schema: T.StructType | str, assets: str = "assets",
                   lines: bool = False) -> DataFrame:
     """Assets of the first manifest that exists; corrupt documents count as absent.

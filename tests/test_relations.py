@@ -169,6 +169,42 @@ def test_staged_order_misses_what_fixed_point_finds(spark, rows):
     assert rows(X.expand_fixed_point(roots, members, max_depth=0), "path") == [("r1",), ("r1/a",), ("r1/b",), ("r2",), ("r2/a",)]
 
 
+def test_expansion_charges_in_order(spark):
+    rnd = random.Random(4)
+    paths, members = ["r0", "r1", "r2"], []
+    kind = {p: "A" for p in paths}
+    for depth in range(3):
+        nxt = []
+        for p in [x for x in kind if x.count("/") == depth]:
+            for i in range(rnd.randint(0, 5)):
+                child = f"{p}/{i}"
+                kind[child] = rnd.choice(["A", "B", None])
+                members.append((p, child, kind[child], rnd.randint(1, 30)))
+                nxt.append(child)
+    limits = {"max_depth": 2, "max_members": 25, "max_expanded_bytes": 320, "max_member_bytes": 29, "max_archive_bytes": 1 << 40}
+    known, used, refused = list(paths), [0, 0], {}
+    for k in ("A", "B"):
+        frontier = [p for p in known if kind[p] == k]
+        while frontier:
+            fresh = []
+            for p in sorted(frontier):
+                inside = [m for m in members if m[0] == p]
+                size = sum(m[3] for m in inside)
+                if (p.count("/") > 2 or any(m[3] > 29 for m in inside) or used[0] + len(inside) > 25 or used[1] + size > 320):
+                    refused[p] = True
+                    continue
+                used = [used[0] + len(inside), used[1] + size]
+                fresh += [m[1] for m in inside]
+            known += fresh
+            frontier = [p for p in fresh if kind[p] == k]
+    files, no, usage = X.expand_under_budget(
+        spark.createDataFrame([(p, "A") for p in paths], "path string, kind string"),
+        spark.createDataFrame(members, "parent string, child string, kind string, size bigint"), [["A"], ["B"]], limits)
+    assert sorted(r["path"] for r in files.collect()) == sorted(known)
+    assert sorted(r["path"] for r in no.collect()) == sorted(refused)
+    assert [usage["members"], usage["bytes"]] == used and refused
+
+
 def test_validation(spark, rows):
     assets = spark.createDataFrame([("a", "g"), ("a", "g"), ("b", "other")], "asset string, game string")
     ev = spark.createDataFrame([("a", "1", 2), ("b", "1", 3), ("a", "2", 0), ("b", "2", 1), ("a", "3", 2), ("a", "3", 3)], "asset string, hash string, rank int")
