@@ -176,8 +176,9 @@ def capped_sample(rows: DataFrame, rule: str, order: list[str], source: str, siz
     quotas = quotas or {}
     keep = [c for c in dict.fromkeys([rule, *order, source, size])]
     left = rows.filter((F.col(size) > 0) & (F.col(size) <= max_bytes)).select(*keep)
-    left = left.groupBy(rule, source, size).agg(
-        F.min_by(F.struct(*keep), F.struct(*order)).alias("_row")).select("_row.*")
+    # A repeat of a source can only matter at another size or under another rule.
+    left = cut(left.groupBy(rule, source, size).agg(
+        F.min_by(F.struct(*keep), F.struct(*order)).alias("_row")).select("_row.*"))
     used, taken = 0, []
     while len(taken) < max_rows:
         fits = left.filter(F.col(size) <= max_bytes - used)

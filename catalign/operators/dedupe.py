@@ -38,12 +38,13 @@ def merged_values(assets: DataFrame, kept: DataFrame, keys: list[str], value: st
     return distinct.join(own, same).filter(~F.col(value).eqNullSafe(F.col("_own"))).select(*keys, value)
 
 
-def union_roots(frames: list[DataFrame], path="path") -> DataFrame:
-    """Union of several roots, each path once."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.dropDuplicates([path])
+def union_roots(frames: list[DataFrame], order_by: list[str], path="path") -> DataFrame:
+    """Union of several roots, each path once: the first root that has it, then the first row in order."""
+    out = None
+    for i, f in enumerate(frames):
+        f = f.withColumn("_frame", F.lit(i))
+        out = f if out is None else out.unionByName(f)
+    return first_per_group(out, [path], ["_frame", *order_by]).drop("_frame")
 
 
 def carry_forward(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:

@@ -23,10 +23,11 @@ def scan_files(spark, sf):
         F.substring_index("path", "/", -1).alias("file"), "length", "ext")
 
 
-@query("a1_file_inventory", f"WITH {A.SQL_FILES} SELECT DISTINCT path, ext, length FROM files")
+@query("a1_file_inventory", f"""WITH {A.SQL_FILES} SELECT path, ext, length FROM (
+    SELECT *, row_number() OVER (PARTITION BY path ORDER BY page_id) AS rn FROM files) WHERE rn = 1""")
 def file_inventory(spark, sf):
-    files = A.files(spark, sf).select("path", "ext", "length")
-    return union_roots([files.filter(F.col("ext").isNotNull()), files])
+    files = A.files(spark, sf).select("path", "ext", "length", "page_id")
+    return union_roots([files.filter(F.col("ext").isNotNull()), files], ["page_id"]).drop("page_id")
 
 
 @query("a2_read_manifest", f"WITH {A.SQL_ASSETS} SELECT asset_id, width, height, format, candidate_hash, source FROM assets")

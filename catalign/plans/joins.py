@@ -240,10 +240,11 @@ def missing_names(spark, sf):
     return dedupe.missing_names(refs, decoded, ["payload", "name"], on=["name"])
 
 
-@query("g2_union_roots", f"WITH {A.SQL_FILES} SELECT DISTINCT path, length FROM files WHERE ext = 'html' OR length > 4000 OR page_id < 1000000")
+@query("g2_union_roots", f"""WITH {A.SQL_FILES} SELECT path, length FROM (SELECT *, row_number() OVER (PARTITION BY path
+    ORDER BY CASE WHEN ext = 'html' THEN 0 WHEN length > 4000 THEN 1 ELSE 2 END, page_id) AS rn FROM files) WHERE rn = 1""")
 def union_roots(spark, sf):
-    f = A.files(spark, sf).select("path", "length", "ext")
-    return dedupe.union_roots([f.filter("ext = 'html'"), f.filter("length > 4000"), f]).drop("ext")
+    f = A.files(spark, sf).select("path", "length", "ext", "page_id")
+    return dedupe.union_roots([f.filter("ext = 'html'"), f.filter("length > 4000"), f], ["page_id"]).drop("ext", "page_id")
 
 
 @query("g3_carry_forward", """WITH newer AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1),

@@ -246,6 +246,13 @@ def test_dedupe_and_sets(spark, rows):
     assert rows(DD.leaf_files(spark.createDataFrame([("a",), ("b",)], "path string"), spark.createDataFrame([("a",)], "parent string"))) == [("b",)]
 
 
+def test_union_of_roots_keeps_the_first(spark, rows):
+    a = spark.createDataFrame([("x", 2, "late"), ("x", 1, "early"), ("y", 3, "a")], "path string, i int, v string")
+    b = spark.createDataFrame([("x", 0, "other root"), ("z", 0, "b")], "path string, i int, v string")
+    for parts in (1, 9):
+        assert rows(DD.union_roots([a.repartition(parts), b], ["i"]), "path", "v") == [("x", "early"), ("y", "a"), ("z", "b")]
+
+
 def test_countable_issues(spark):
     data = [("a.bin", "romfs_read", True), ("a.HPI", "romfs_read", False), ("x/a.stex", "texture_decode", True),
             ("a.bch", "texture_decode", False), ("a", "bch", True), ("a", "archive_budget", False)]
