@@ -111,8 +111,8 @@ SQL_EVIDENCE = f"""evidence AS (
 def event_evidence(events: DataFrame) -> DataFrame:
     rank = (F.when(F.col("event_type").isin("view", "error"), 0).when(F.col("event_type") == "click", 1)
             .when(F.col("event_type") == "purchase", 2).otherwise(3))
-    return events.select(
-        F.col("user_id").alias("asset"), normalize_hash(F.get_json_object("props", "$.k")).alias("hash"),
+    return events.withColumn("k", F.get_json_object("props", "$.k")).select(
+        F.col("user_id").alias("asset"), normalize_hash("k").alias("hash"),
         rank.alias("rank"), F.col("event_type").alias("method"), "ts", "event_id")
 
 

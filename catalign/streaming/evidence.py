@@ -38,8 +38,7 @@ def read_merged(spark: SparkSession, root: str, keys: list[str], rank: str, orde
 
 def compact(spark: SparkSession, root: str, keys: list[str], rank: str, order_by: list[str]) -> None:
     """Fold the deltas into a new published base. Deltas may stay: merging them again changes nothing."""
-    publish(read_merged(spark, root, keys, rank, order_by), f"{root}/base", keys=keys,
-            checks={"null_key": F.col(keys[0]).isNull()})
+    publish(read_merged(spark, root, keys, rank, order_by), f"{root}/base", checks={"null_key": F.col(keys[0]).isNull()})
 
 
 def stream_dedupe(source: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
