@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut
@@ -96,3 +98,20 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits_per_row:
     passed = flagged.filter(~F.col("_maybe")).select("doc.*")
     held = flagged.filter("_maybe").select("doc")
     return passed.unionByName(held.join(ids, held["doc"][key] == ids["_drop"], "left_anti").select("doc.*"))
+
+
+def text_chunks(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of (…, text) batches whose texts have about ``size`` characters together, with these texts.
+
+    Bounds the memory of a task; a longer text is a slice of its own. Null is the empty text.
+    """
+    for batch in batches:
+        texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        begin = held = 0
+        for n, t in enumerate(texts):
+            if held and held + len(t) > size:
+                yield batch.slice(begin, n - begin), texts[begin:n]
+                begin, held = n, 0
+            held += len(t)
+        if begin < len(texts):
+            yield batch.slice(begin), texts[begin:]

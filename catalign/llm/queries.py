@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secret_scan, urls
+from . import exact_dedup, mixing, packing, quality, secret_scan, token_counts, urls
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -19,6 +20,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_token_counts")
+def tokens(spark, sf):
+    return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op2_exact_dedup", """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
     doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
   FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
@@ -60,6 +66,11 @@ def secrets(spark, sf):
         F.sha2(secret_scan.listed(kinds), 256).alias("base_sha256"), secret_scan.listed([*kinds, "entropy"]).alias("spans"))
 
 
+@query("op7_best_fit_packing")
+def packed(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op8_url_filter", r"""WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
     ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
   cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -73,3 +84,8 @@ def secrets(spark, sf):
   FROM p LEFT JOIN won w ON p.host = w.host AND p.path = w.path AND n = 1""")
 def url_filter(spark, sf):
     return urls.filter_urls(table(spark, sf, "pages"), urls.rule_table(spark))
+
+
+@query("op10_quality_rules")
+def rules(spark, sf):
+    return quality.quality_rules(table(spark, sf, "documents"))

@@ -37,3 +37,32 @@ def listed(found, kinds):
 def secret_row(doc_id, text, classes, allow):
     f, kinds = secrets(text, classes, allow), ["assign", "access", "hex"]
     return (doc_id, *[len(f[k]) for k in kinds], hashlib.sha256(listed(f, kinds).encode()).hexdigest(), listed(f, [*kinds, "entropy"]))
+
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cover(text, words, n):
+    """Flags of the words in n-word windows found twice or more."""
+    at = [" ".join(w[0] for w in words[i:i + n]) for i in range(len(words) - n + 1)]
+    seen, inside = Counter(at), [False] * len(words)
+    for i, k in enumerate(at):
+        if seen[k] > 1:
+            inside[i:i + n] = [True] * n
+    return inside
+
+
+def quality_row(doc_id, text, ngrams, max_line_share):
+    text = text or ""
+    words = list(WORDS.finditer(text))
+    chars = sum(len(w[0]) for w in words)
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    seen = Counter(lines)
+    repeat = sum(cover(text, words, 8))
+    lines_cover = sum(len("".join(WORDS.findall(x))) for x in lines if seen[x] > 1)
+    covers = {n: sum(len(w[0]) for w, c in zip(words, cover(text, words, n)) if c) for n in ngrams}
+    failed = len(words) < 20 or 100 * repeat > 30 * len(words)
+    kept = not failed and lines_cover <= max_line_share * chars and all(covers[n] <= m * chars for n, m in ngrams.items())
+    return (doc_id, len(words), chars, len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(seen), repeat, lines_cover,
+            *covers.values(), failed, kept)
+
