@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, secret_scan, token_counts, urls
+from . import exact_dedup, language_id, mixing, packing, quality, secret_scan, token_counts, urls
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -66,6 +66,14 @@ def secrets(spark, sf):
         F.sha2(secret_scan.listed(kinds), 256).alias("base_sha256"), secret_scan.listed([*kinds, "entropy"]).alias("spans"))
 
 
+@query("op5_language_id")
+def languages(spark, sf):
+    docs = table(spark, sf, "documents")
+    known = language_id.fit(docs.filter(~language_id.is_held_out("doc_id")))
+    return language_id.identify(docs, known).withColumn("held_out", language_id.is_held_out("doc_id")).select(
+        "doc_id", "held_out", "lang_pred", "score", "share")
+
+
 @query("op7_best_fit_packing")
 def packed(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
