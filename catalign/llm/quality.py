@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import text_chunks
+from .text_scan import TEXT_CODE, Scan
 
 #: Characters that count as symbols, and the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -33,27 +34,6 @@ MAX_REPEAT_PERCENT = 30
 NGRAMS = {4: 0.6, 6: 0.5, 12: 0.4}
 MAX_LINE_SHARE = 0.5
 
-_RANDOM = np.random.default_rng(20)
-BYTE_CODES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE, WORD_BASE, TEXT_CODE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class Rolling:
-    """Hashes of slices of a sequence of codes."""
-
-    def __init__(self, codes: np.ndarray, base: np.uint64):
-        steps = np.full(len(codes) + 1, base, np.uint64)
-        steps[0] = 1
-        powers = np.cumprod(steps)
-        steps[1:] = np.uint64(pow(int(base), -1, 1 << 64))
-        self.back = np.cumprod(steps)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[:-1])])
-
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[begin]) * self.back[begin]
-        h ^= h >> np.uint64(32)
-        return h * np.uint64(0xFF51AFD7ED558CCD)
-
 
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys occur twice or more, and which equal an earlier one."""
@@ -69,23 +49,11 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def measure(texts: list[str], lengths: list[int]) -> dict[str, np.ndarray]:
     """Figures of each text; ``cover_n`` for each length has characters inside repeated windows of n words."""
-    raw = [t.encode() for t in texts]
-    count = len(raw)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw], dtype=np.int64)])
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    white = (data == 32) | ((data >= 9) & (data <= 13))
-    chars = np.concatenate([[0], np.cumsum(((data & 0xC0) != 0x80) & ~white)])
+    scan = Scan(texts)
+    count, data, offsets, chars, rolling = len(texts), scan.data, scan.offsets, scan.chars, scan.rolling
+    begin, end, owner, n_words = scan.begin, scan.end, scan.owner, scan.n_words
     symbols = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(SYMBOLS, np.uint8)))])
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    inner = ~white
-    begin = np.flatnonzero(inner & np.concatenate([[True], white[:-1]])[:len(data)] | inner & edge[:-1])
-    end = np.flatnonzero(inner & np.concatenate([white[1:], [True]])[:len(data)] | inner & edge[1:]) + 1
-    words_to = np.searchsorted(begin, offsets)
-    n_words = np.diff(words_to)
-    owner = np.repeat(np.arange(count), n_words)
-    rolling = Rolling(BYTE_CODES[data], BASE)
-    over_words = Rolling(rolling.of(begin, end), WORD_BASE)
+    over_words = scan.over_words
     word_chars = chars[end] - chars[begin]
     text_code = np.arange(count, dtype=np.uint64) * TEXT_CODE
     out = {"n_words": n_words, "word_chars": np.diff(chars[offsets]), "n_symbols": np.diff(symbols[offsets])}

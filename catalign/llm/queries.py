@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, quality, secret_scan, token_counts, urls
+from . import exact_dedup, language_id, mixing, near_dup, packing, quality, secret_scan, token_counts, urls
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -74,6 +74,11 @@ def languages(spark, sf):
         "doc_id", "held_out", "lang_pred", "score", "share")
 
 
+@query("op6_near_dup")
+def near_duplicates(spark, sf):
+    return near_dup.near_classes(table(spark, sf, "documents"))
+
+
 @query("op7_best_fit_packing")
 def packed(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
