@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dup, packing, quality, secret_scan, token_counts, urls
+from . import exact_dedup, html_extract, language_id, mixing, near_dup, packing, quality, secret_scan, token_counts, urls
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -99,6 +99,11 @@ def url_filter(spark, sf):
     return urls.filter_urls(table(spark, sf, "pages"), urls.rule_table(spark))
 
 
+@query("op9_html_extract")
+def main_texts(spark, sf):
+    return html_extract.extract_pages(table(spark, sf, "pages"))
+
+
 @query("op10_quality_rules")
 def rules(spark, sf):
     return quality.quality_rules(table(spark, sf, "documents"))
