@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import paths as P
 
-SMALL_DIMENSION_ROWS = 10_000
-
 
 def unique_owner(catalog: DataFrame, keys: list[str], owner: str) -> DataFrame:
     """Per key the smallest owner and whether it is the only one.
@@ -90,20 +88,25 @@ def ingest_external(files: DataFrame, manifest: DataFrame, path: str, hash_: str
 def lookup_profile(df: DataFrame, profiles: DataFrame, exact: str, code: str) -> DataFrame:
     """Profile by exact id, else the first whose family is part of the code.
 
-    ``profiles`` has (profile, exact_id, family, priority). The contains test
-    has no equi key, so it runs only over distinct unmatched codes, against a
-    profile table whose size is checked.
+    ``profiles`` has (profile, exact_id, family, priority). A code contains a
+    family exactly if one of its substrings of the family's length equals it, so
+    the distinct unmatched codes are expanded at the lengths that occur among
+    families and joined on equality.
     """
-    n = profiles.limit(SMALL_DIMENSION_ROWS + 1).count()
-    if n > SMALL_DIMENSION_ROWS:
-        raise ValueError("profiles is a dimension; it has too many rows to test by containment")
     ids = profiles.filter(F.col("exact_id").isNotNull()).groupBy(F.col("exact_id").alias(exact)).agg(
         F.min_by("profile", "priority").alias("_by_id"))
-    step = df.join(F.broadcast(ids), exact, "left")
-    family = profiles.select("family", "profile", "priority")
-    codes = step.filter(F.col("_by_id").isNull()).select(code).distinct()
-    by_family = codes.join(F.broadcast(family), F.col(code).contains(F.col("family"))).groupBy(code).agg(
-        F.min_by("profile", "priority").alias("_by_family"))
+    step = df.join(ids, exact, "left")
+    family = profiles.filter(F.col("family").isNotNull()).groupBy(F.col("family").alias("_part")).agg(
+        F.min_by(F.struct("profile", "priority"), "priority").alias("_row"))
+    # Distinct lengths: a handful of numbers, bounded by the longest family.
+    lengths = sorted(r[0] for r in family.select(F.length("_part")).distinct().collect())
+    codes = step.filter(F.col("_by_id").isNull() & F.col(code).isNotNull()).select(code).distinct()
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(code))
+    pieces = codes.select(code, F.explode(sizes).alias("_n")).select(code, F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(code) - F.col("_n") + 1, F.lit(1))),
+        lambda i: F.substring(F.col(code), i, F.col("_n"))))).alias("_part"))
+    by_family = pieces.join(family, "_part").groupBy(code).agg(
+        F.min_by("_row.profile", "_row.priority").alias("_by_family"))
     return (
         step.join(by_family, code, "left")
         .withColumn("profile", F.coalesce("_by_id", F.when(F.col("_by_id").isNull(), F.col("_by_family"))))

@@ -90,10 +90,12 @@ def match_nearest(
     With ``aspect`` (width and height columns) both sides must also agree in
     aspect ratio within the tolerance.
 
-    Rows within reach are returned with best asset, ``score``,
-    ``runner_up_score`` (1.0 when there is none within reach) and ``accepted``.
+    Every item gets a row with best asset, ``score``, ``runner_up_score`` (1.0
+    when there is none within reach) and ``accepted``; an item without any
+    neighbour within reach has neither asset nor scores and is not accepted.
     """
-    reach = max(best_max + gap_min, second_ok)
+    # Beyond this a runner-up cannot change the verdict: it leaves enough of a gap to any best that is near enough.
+    reach = max(best_max, min(best_max + gap_min, second_ok))
 
     def prepared(df, key, prefix):
         vec = f"{prefix}_vec"
@@ -163,7 +165,7 @@ def match_nearest(
     )
     clear = (F.col("score") <= best_max) & (
         (F.col("runner_up_score") - F.col("score") >= gap_min) | (F.col("runner_up_score") >= second_ok))
-    return best.withColumn("accepted", clear)
+    return dump.select(item).join(best, item, "left").withColumn("accepted", F.coalesce(clear, F.lit(False)))
 
 
 def _type(df: DataFrame, name: str) -> str:

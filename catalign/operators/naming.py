@@ -9,6 +9,10 @@ from ..session import cut
 from .ranking import HOT_ROWS, number_and_total
 
 
+#: A stem that ends in a number; eighteen digits are more than any count of repeats.
+NUMERIC_TAIL = r"(?s)^(.+)_([1-9]\d{0,17})$"
+
+
 def assign_unique_names(assets: DataFrame, base: str, owner: str, out: str = "name",
                         hot_rows: int = HOT_ROWS) -> DataFrame:
     """One name per (base, owner), unique over all owners.
@@ -67,7 +71,7 @@ def dedupe_names_within(members: DataFrame, parent: str, name: str, order: list[
         "_ext": F.when(F.col("_name").rlike(cut_at), F.regexp_extract("_name", cut_at, 2)).otherwise(F.lit("")),
     })
     # A generated name can only meet a member whose own stem ends in a number.
-    numeric_tail = r"(?s)^(.+)_([1-9]\d*)$"
+    numeric_tail = NUMERIC_TAIL
     could_clash = not leafed.filter(F.col("_stem").rlike(numeric_tail)).isEmpty()
     numbered = number_and_total(leafed, [parent, "_name"], order, number="_k", hot_rows=hot_rows)
     named = numbered.withColumn(out, F.when(F.col("_k") == 1, F.col("_name")).otherwise(
@@ -115,7 +119,7 @@ def _settle(rows: DataFrame, parent: str, order: list[str], out: str, hot_rows:
 
 def _number_repeats(repeats: DataFrame, state: DataFrame, parent: str, out: str) -> DataFrame:
     """Smallest free number of each repeat, skipping numbers whose holder came earlier."""
-    tail = r"(?s)^(.+)_([1-9]\d{0,8})$"
+    tail = NUMERIC_TAIL
     holders = state.filter((F.col("_k") == 1) & (F.col("_push") == 0) & F.col("_stem").rlike(tail)).select(
         parent, F.regexp_extract("_stem", tail, 1).alias("_stem"), "_ext",
         F.regexp_extract("_stem", tail, 2).cast("bigint").alias("_number"), F.col("_at").alias("_held_at"),

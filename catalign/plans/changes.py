@@ -228,15 +228,14 @@ def stream_upsert(spark, sf):
     root = scratch_path(spark, "stream")
     how = (["asset", "hash"], "rank", ["ts", "event_id"])
     stream.stream_upsert(A.event_evidence(event_stream(spark, sf)), root, *how, f"{root}/progress").awaitTermination()
-    stream.compact(spark, root, *how)
-    return stream.read_merged(spark, root, *how).select("asset", "hash", "rank", "method", "event_id")
+    schema = A.evidence(spark, sf).schema
+    stream.compact(spark, root, *how, schema)
+    return stream.read_merged(spark, root, *how, schema).select("asset", "hash", "rank", "method", "event_id")
 
 
 @query("j8_stream_dedupe", f"WITH {A.SQL_EVIDENCE} SELECT DISTINCT asset, hash FROM evidence")
 def stream_dedupe(spark, sf):
     root = scratch_path(spark, "dedupe")
-    arriving = A.event_evidence(event_stream(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp"))
-    once = stream.stream_dedupe(arriving.select("asset", "hash", "ts"), ["asset", "hash"], "ts", "10 minutes")
-    once.writeStream.format("parquet").option("path", f"{root}/out").option(
-        "checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(once.schema).parquet(f"{root}/out").select("asset", "hash")
+    keys = ["asset", "hash"]
+    stream.stream_dedupe(A.event_evidence(event_stream(spark, sf)), root, keys, f"{root}/progress").awaitTermination()
+    return stream.read_deduped(spark, root, keys, A.evidence(spark, sf).schema)

@@ -66,14 +66,14 @@ SQL_NEAREST = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x:
         list_sum(list_transform(list_zip(a.e, b.e), lambda p: abs(p[1] - p[2]))) / len(a.e),
         list_sum(list_transform(list_zip(list_reverse(a.e), b.e), lambda p: abs(p[1] - p[2]))) / len(a.e)) AS score
       FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, neighbour) AS rn FROM scored WHERE score <= 0.2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, neighbour) AS rn FROM scored WHERE score <= 0.116),
     two AS (SELECT vec_id, max(neighbour) FILTER (rn = 1) AS neighbour, max(score) FILTER (rn = 1) AS score,
       coalesce(max(score) FILTER (rn = 2), 1.0) AS second FROM ranked WHERE rn <= 2 GROUP BY 1)"""
 
 
 @query("e4_match_nearest", f"""WITH {SQL_NEAREST}
   SELECT vec_id, neighbour, round(score, 6) AS score, round(second, 6) AS runner_up_score,
-    score <= 0.115 AND (second - score >= 0.001 OR second >= 0.2) AS accepted FROM two""")
+    coalesce(score <= 0.115 AND (second - score >= 0.001 OR second >= 0.2), false) AS accepted FROM v LEFT JOIN two USING (vec_id)""")
 def nearest(spark, sf):
     """Every vector against all the others of its label."""
     e = table(spark, sf, "embeddings")
@@ -268,7 +268,7 @@ def union_nested(spark, sf):
     ).select("l_suppkey", "identity", "l_orderkey", "l_returnflag")
 
 
-@query("g5_leaf_files", f"WITH {A.SQL_MEMBERS} SELECT child AS path, kind FROM members WHERE child NOT IN (SELECT parent FROM members)")
+@query("g5_leaf_files", f"WITH {A.SQL_MEMBERS} SELECT child AS path, kind FROM members WHERE NOT EXISTS (SELECT 1 FROM members p WHERE p.parent = members.child)")
 def leaf_files(spark, sf):
     _, members = A.hierarchy(spark, sf)
     return dedupe.leaf_files(members.select(F.col("child").alias("path"), "kind"), members)

@@ -10,6 +10,7 @@ with the batch, not with the table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.evidence import merge_evidence
 from ..sources.documents import path_exists
@@ -25,22 +26,56 @@ def stream_upsert(source: DataFrame, root: str, keys: list[str], rank: str, orde
         availableNow=True).start()
 
 
-def read_merged(spark: SparkSession, root: str, keys: list[str], rank: str, order_by: list[str]) -> DataFrame:
-    """The current table."""
-    parts = []
+def _arrived(spark: SparkSession, root: str, schema: StructType | None) -> tuple[DataFrame, int]:
+    """Rows of the base and of the deltas that it does not hold yet, and the last batch among them."""
+    parts, upto = [], -1
     if has_published(spark, f"{root}/base"):
-        parts.append(read_published(spark, f"{root}/base"))
+        base = read_published(spark, f"{root}/base")
+        upto = base.agg(F.max("_upto")).first()[0]
+        upto = -1 if upto is None else upto
+        parts.append(base.drop("_upto"))
     if path_exists(spark, f"{root}/deltas"):
-        parts.append(spark.read.parquet(f"{root}/deltas").drop("batch"))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return merge_evidence(both, keys, rank, order_by)
+        # The batch is a folder, so folded batches are not read again.
+        deltas = spark.read.parquet(f"{root}/deltas").filter(F.col("batch") > upto)
+        parts.append(deltas.drop("batch"))
+        last = deltas.agg(F.max("batch")).first()[0]
+        upto = upto if last is None else last
+    if not parts:
+        if schema is None:
+            raise ValueError(f"nothing has arrived below {root}; give a schema to read an empty table")
+        parts.append(spark.createDataFrame([], schema))
+    return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])), upto
 
 
-def compact(spark: SparkSession, root: str, keys: list[str], rank: str, order_by: list[str]) -> None:
-    """Fold the deltas into a new published base. Deltas may stay: merging them again changes nothing."""
-    publish(read_merged(spark, root, keys, rank, order_by), f"{root}/base", checks={"null_key": F.col(keys[0]).isNull()})
+def read_merged(spark: SparkSession, root: str, keys: list[str], rank: str, order_by: list[str],
+                schema: StructType | None = None) -> DataFrame:
+    """The current table; ``schema`` is that of the source, for a root where nothing has arrived."""
+    return merge_evidence(_arrived(spark, root, schema)[0], keys, rank, order_by)
 
 
-def stream_dedupe(source: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
-    """Each key once within the watermark; state older than the delay is dropped."""
-    return source.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+def compact(spark: SparkSession, root: str, keys: list[str], rank: str, order_by: list[str],
+            schema: StructType | None = None) -> None:
+    """Fold the deltas into a new published base, which records the last batch it holds; only later ones are read then."""
+    rows, upto = _arrived(spark, root, schema)
+    publish(merge_evidence(rows, keys, rank, order_by).withColumn("_upto", F.lit(upto).cast("bigint")), f"{root}/base",
+            checks={"null_key": F.col(keys[0]).isNull()})
+
+
+def stream_dedupe(source: DataFrame, root: str, keys: list[str], checkpoint: str):
+    """Start the stream over what is available; each micro-batch appends its distinct keys under its batch id.
+
+    No state and no watermark: no key is lost however late it comes, and a
+    replayed batch overwrites its own folder. Keys that recur over batches are
+    merged when they are read.
+    """
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.select(*keys).distinct().write.mode("overwrite").parquet(f"{root}/deltas/batch={batch_id}")
+
+    return source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
+
+
+def read_deduped(spark: SparkSession, root: str, keys: list[str], schema: StructType | None = None) -> DataFrame:
+    """Each key that has arrived, once."""
+    rows, _ = _arrived(spark, root, schema)
+    return rows.select(*keys).distinct()

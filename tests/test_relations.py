@@ -74,8 +74,12 @@ def test_profiles(spark, rows):
     df = spark.createDataFrame([("T1", "zzz"), ("T9", "xABx"), ("T8", "xBx"), ("T7", "q")], "t string, c string")
     assert rows(L.lookup_profile(df, profiles, "t", "c"), "t", "profile", "profile_status") == [
         ("T1", "one", "exact"), ("T7", None, "unsupported"), ("T8", "three", "family"), ("T9", "two", "family")]
-    with pytest.raises(ValueError):
-        L.lookup_profile(df, spark.range(L.SMALL_DIMENSION_ROWS + 1), "t", "c")
+    # As many profiles as there are: no limit on their number.
+    many = spark.range(20_000).select(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("profile"), F.lit(None).cast("string").alias("exact_id"),
+        F.lpad(F.col("id").cast("string"), 5, "0").alias("family"), F.col("id").cast("int").alias("priority"))
+    codes = spark.createDataFrame([("a", "x19999y00123"), ("b", "none")], "t string, c string")
+    assert rows(L.lookup_profile(codes, many, "t", "c"), "t", "profile") == [("a", "p123"), ("b", None)]
 
 
 def test_mapping_resolution(spark, rows):

@@ -98,3 +98,27 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_path, rows):
     spark.createDataFrame(late, schema).write.mode("append").parquet(src)
     ST.stream_upsert(source, root, *HOW, f"{root}/progress").awaitTermination()
     assert rows(ST.read_merged(spark, root, *HOW)) == rows(merge_evidence(spark.createDataFrame(data + late, schema), *HOW))
+    # What a base holds is not read from deltas again, so these may go.
+    ST.compact(spark, root, *HOW)
+    (tmp_path / "out" / "deltas").rename(tmp_path / "gone")
+    assert rows(ST.read_merged(spark, root, *HOW)) == rows(merge_evidence(spark.createDataFrame(data + late, schema), *HOW))
+    empty = str(tmp_path / "empty")
+    with pytest.raises(ValueError):
+        ST.read_merged(spark, empty, *HOW)
+    assert ST.read_merged(spark, empty, *HOW, spark.createDataFrame(data, schema).schema).count() == 0
+
+
+def test_stream_dedupe_loses_no_key(spark, tmp_path, rows):
+    """One file per batch, times out of order, keys that recur over batches; a replayed batch changes nothing."""
+    src, root = str(tmp_path / "src"), str(tmp_path / "out")
+    schema = "asset int, hash int, ts timestamp"
+    data = [(i % 11, i % 7, f"2024-01-{1 + (i * 13) % 28:02d} 00:00:00") for i in range(200)]
+    for part in range(4):
+        frame = spark.createDataFrame(data[part::4], "asset int, hash int, ts string").selectExpr("asset", "hash", "cast(ts AS timestamp) AS ts")
+        frame.coalesce(1).write.mode("append").parquet(src)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ST.stream_dedupe(source, root, ["asset", "hash"], f"{root}/progress").awaitTermination()
+    want = sorted({(a, h) for a, h, _ in data})
+    assert sorted(rows(ST.read_deduped(spark, root, ["asset", "hash"]))) == want and len(list((tmp_path / "out" / "deltas").glob("batch=*"))) == 4
+    ST.stream_dedupe(source, root, ["asset", "hash"], f"{root}/again").awaitTermination()
+    assert sorted(rows(ST.read_deduped(spark, root, ["asset", "hash"]))) == want
