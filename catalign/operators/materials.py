@@ -18,14 +18,22 @@ def slot_of():
     return F.when(F.col("source_id").between(lo, hi), F.col("source_id") - lo)
 
 
-def stage_resolvable(inputs: DataFrame, material: list[str], slots: DataFrame | None = None) -> DataFrame:
+def stage_resolvable(inputs: DataFrame, material: list[str], slots: DataFrame | None = None,
+                     stages: DataFrame | None = None) -> DataFrame:
     """Whether a material's alpha pipeline resolves, per material.
 
+    ``stages`` lists all stages (material, stage, combiner_id); one without any
+    input makes its material unresolvable. Left out, the stages are those with
+    inputs.
+
     Every input is a bound texture slot or the previous stage, the first stage
     has no previous, arity suffices and some texture is used. All stages must
     resolve, so "previous is there" means "not in the first stage", and the
     whole test is a few partial aggregates without any ordering.
     """
+    if stages is not None:
+        given = inputs.select(*material, "stage", "source_id", "operand_id")
+        inputs = stages.select(*material, "stage", "combiner_id").distinct().join(given, [*material, "stage"], "left")
     rows = inputs.withColumn("_slot", slot_of())
     if slots is not None:
         bound = slots.select(*material, F.col("slot").alias("_slot")).distinct().withColumn("_bound", F.lit(True))
@@ -41,8 +49,9 @@ def stage_resolvable(inputs: DataFrame, material: list[str], slots: DataFrame |
         hit = F.col("combiner_id") == mode
         need = F.when(hit, n) if need is None else need.when(hit, n)
     per_stage = rows.groupBy(*material, "stage").agg(
-        F.bool_and(good).alias("_good"), F.bool_or(texture).alias("_texture"), F.bool_or(previous).alias("_previous"),
-        (F.count("*") >= F.coalesce(F.min(need), F.lit(1 << 30))).alias("_arity"))
+        F.bool_and(F.coalesce(good, F.lit(False))).alias("_good"), F.bool_or(texture).alias("_texture"),
+        F.bool_or(previous).alias("_previous"),
+        (F.count("source_id") >= F.coalesce(F.min(need), F.lit(1 << 30))).alias("_arity"))
     per_material = per_stage.groupBy(*material).agg(
         F.bool_and(F.col("_good") & F.col("_arity")).alias("_all"), F.bool_or("_texture").alias("_used"),
         F.min("stage").alias("_first"), F.min(F.when(F.col("_previous"), F.col("stage"))).alias("_previous_at"))
@@ -75,6 +84,15 @@ def material_rollup(bindings: DataFrame, material: list[str], slot: str, enabled
     return nested.withColumn("slot_count", F.size("slots"))
 
 
+def material_report(slots: DataFrame, resolvable: DataFrame, uses: DataFrame, material: list[str]) -> DataFrame:
+    """Status of every material with at least one bound slot; materials without stages use no texture alpha."""
+    return material_status(
+        slots.select(*material).distinct().join(resolvable, material, "left").join(uses, material, "left").withColumns({
+            "resolvable": F.coalesce("resolvable", F.lit(False)),
+            "alpha_rows": F.coalesce(F.col("constant_inputs") + F.col("explicit_channels"), F.lit(0).cast("bigint")),
+        }).drop("constant_inputs", "explicit_channels"))
+
+
 def material_status(materials: DataFrame, resolvable="resolvable", rows="alpha_rows"):
     """resolved / unresolved / no_texture_alpha."""
     return materials.withColumn(

@@ -104,6 +104,21 @@ def rescan_upsert(spark, sf):
     return ST.rescan_upsert(old, new, ["doc_id"], ["n_chars", "lang"], ["quality"], ["category"], "pinned")
 
 
+SQL_RESCAN = f"""{A.SQL_EVIDENCE}, halves AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS fresh FROM evidence),
+  side AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fresh, asset, hash ORDER BY rank DESC, ts, event_id) AS rn FROM halves) WHERE rn = 1)"""
+
+
+@query("j1_rescan_evidence", f"""WITH {SQL_RESCAN} SELECT coalesce(s.asset, n.asset) AS asset, coalesce(s.hash, n.hash) AS hash,
+    CASE WHEN n.rank > coalesce(s.rank, -1) THEN n.rank ELSE s.rank END AS rank, CASE WHEN n.rank > coalesce(s.rank, -1) THEN n.event_id ELSE s.event_id END AS event_id
+  FROM (SELECT * FROM side WHERE fresh = 0) s FULL JOIN (SELECT * FROM side WHERE fresh = 1) n ON s.asset = n.asset AND s.hash IS NOT DISTINCT FROM n.hash""")
+def rescan_evidence(spark, sf):
+    """Odd events are a rescan of what the even ones left in the catalogue."""
+    how = (["asset", "hash"], "rank", ["ts", "event_id"])
+    ev = A.evidence(spark, sf)
+    stored = EV.merge_evidence(ev.filter("event_id % 2 = 0"), *how)
+    return EV.rescan_evidence(stored, ev.filter("event_id % 2 <> 0"), *how).select("asset", "hash", "rank", "event_id")
+
+
 SQL_PENDING = f"""{A.SQL_EVIDENCE}, best AS (SELECT asset, hash, rank, CASE WHEN rank >= 2 THEN 'verified' ELSE 'candidate' END AS status, method FROM (
     SELECT *, row_number() OVER (PARTITION BY asset, hash ORDER BY rank DESC, ts, event_id) AS rn FROM evidence) WHERE rn = 1),
   decisions AS (SELECT DISTINCT c_custkey AS asset, lpad((c_nationkey * 4)::VARCHAR, 16, '0') AS hash FROM customer)"""
@@ -125,7 +140,15 @@ def confirm(spark, sf):
     return EV.confirm(best, decisions, ["asset", "hash"])[0]
 
 
-@query("j2_confirm_errors", f"""WITH {SQL_PENDING} SELECT asset, hash FROM decisions
+@query("j2_confirm_log", f"""WITH {SQL_PENDING} SELECT b.asset, b.hash, b.method AS candidate_method, 'user_confirmed_visual_candidate' AS method
+  FROM best b JOIN decisions d ON d.asset = b.asset AND d.hash = b.hash WHERE status = 'candidate'""")
+def confirm_log(spark, sf):
+    best, decisions = pending(spark, sf)
+    return EV.confirm(best, decisions, ["asset", "hash"])[2].select("asset", "hash", "candidate_method", "method")
+
+
+@query("j2_confirm_errors", f"""WITH {SQL_PENDING} SELECT asset, hash,
+    CASE WHEN EXISTS (SELECT 1 FROM best b WHERE b.asset = decisions.asset) THEN 'no_pending' ELSE 'unknown_asset' END AS error FROM decisions
   WHERE (asset, hash) NOT IN (SELECT (asset, hash) FROM best WHERE status = 'candidate')""")
 def confirm_errors(spark, sf):
     best, decisions = pending(spark, sf)
@@ -155,7 +178,12 @@ def apply_evidence(spark, sf):
 
 @query("j3_similar_to_pending", f"""WITH {SQL_NEAREST} SELECT neighbour AS asset, lpad(vec_id::VARCHAR, 16, '0') AS hash,
     'candidate' AS status, 'similar' AS method, CAST(1 AS BIGINT) AS log_rows FROM two
-  WHERE score <= 0.115 AND (second - score >= 0.001 OR second >= 0.2)""")
+  WHERE score <= 0.115 AND (second - score >= 0.001 OR second >= 0.2) AND neighbour <> vec_id
+  UNION ALL SELECT vec_id, lpad(vec_id::VARCHAR, 16, '0'), CASE WHEN vec_id % 5 = 0 THEN 'verified' ELSE 'candidate' END,
+    CASE WHEN vec_id % 5 = 0 OR NOT ok THEN 'stored' ELSE 'similar' END,
+    CAST(CASE WHEN ok AND (vec_id % 3 = 0 OR vec_id % 5 = 0) THEN 2 ELSE 1 END AS BIGINT) FROM (
+      SELECT vec_id, coalesce(score <= 0.115 AND (second - score >= 0.001 OR second >= 0.2), false) AS ok FROM v LEFT JOIN two USING (vec_id))
+  WHERE ok OR vec_id % 3 = 0 OR vec_id % 5 = 0""")
 def similar_to_pending(spark, sf):
     """Accepted similar matches enter as candidates, never as verified."""
     e = table(spark, sf, "embeddings")
@@ -163,7 +191,13 @@ def similar_to_pending(spark, sf):
                       best_max=0.115, gap_min=0.001, second_ok=0.2, exclude_same=True).filter("accepted")
     found = m.select("asset", F.lpad(F.col("vec_id").cast("string"), 16, "0").alias("hash"), F.lit("candidate").alias("status"),
                      F.lit("similar").alias("method"), F.col("vec_id").alias("item"))
-    return EV.apply_evidence(found.limit(0), found, ["asset", "hash"], ["item"]).drop("item")
+    # The catalogue already has a pending row for every third item and a verified one for every fifth.
+    stored = e.filter("vec_id % 3 = 0 OR vec_id % 5 = 0").select(
+        F.col("vec_id").alias("asset"), F.lpad(F.col("vec_id").cast("string"), 16, "0").alias("hash"),
+        F.when(F.col("vec_id") % 5 == 0, "verified").otherwise("candidate").alias("status"), F.lit("stored").alias("method"),
+        F.col("vec_id").alias("item"))
+    pairs = found.select(F.col("item").alias("asset"), "hash", "status", "method", "item")
+    return EV.apply_evidence(stored, found.unionByName(pairs), ["asset", "hash"], ["item"]).drop("item")
 
 
 SQL_USER = """updates AS (SELECT doc_id + CASE WHEN toxic = 1 THEN 1000000 ELSE 0 END AS doc_id, quality AS stars, 'reviewed' AS tag FROM labels)"""

@@ -128,12 +128,10 @@ def fingerprint(spark, sf):
     return FP.fingerprint(a, sections(), {"summary": files})
 
 
-@query("d7_material_rollup", f"""WITH {A.SQL_SLOTS} SELECT material, count(*) AS slot_count,
-    string_agg(slot || ':' || asset, ',' ORDER BY slot) AS slots FROM slots GROUP BY 1""")
-def material_rollup(spark, sf):
+def rollup(spark, sf):
     b = A.bindings(spark, sf).withColumnRenamed("l_orderkey", "material")
-    r = M.material_rollup(b, ["material"], "slot", "enabled", "l_partkey", A.LINE_ORDER)
-    return r.select("material", F.col("slot_count").cast("bigint").alias("slot_count"), F.array_join(F.transform(
+    r = M.material_rollup(b, ["material"], "slot", "enabled", "l_partkey", A.LINE_ORDER).join(report(spark, sf), "material")
+    return r.select("material", "status", "alpha_rows", F.col("slot_count").cast("bigint").alias("slot_count"), F.array_join(F.transform(
         "slots", lambda s: F.concat(s["slot"].cast("string"), F.lit(":"), s["asset"].cast("string"))), ",").alias("slots"))
 
 
@@ -150,16 +148,40 @@ def stage_use_counts(spark, sf):
     return M.stage_use_counts(A.stages(spark, sf), A.slots(spark, sf), ["material"])
 
 
-SQL_RESOLVABLE = """resolved AS (SELECT st.material, bool_and(CASE
-      WHEN source_id BETWEEN 3 AND 5 THEN sl.slot IS NOT NULL AND operand_id <= 7
-      WHEN source_id = 15 THEN operand_id IN (0, 1) AND EXISTS (SELECT 1 FROM stages p WHERE p.material = st.material AND p.stage < st.stage)
-      ELSE false END) AND bool_or(source_id BETWEEN 3 AND 5) AS resolvable
-    FROM stages st LEFT JOIN slots sl ON sl.material = st.material AND sl.slot = st.source_id - 3 GROUP BY 1)"""
+# System turns are stages without inputs: their material cannot be resolved.
+SQL_RESOLVABLE = """inputs AS (SELECT * FROM stages WHERE source_id <> 0),
+  resolved AS (SELECT st.material, bool_and(CASE
+      WHEN i.source_id BETWEEN 3 AND 5 THEN sl.slot IS NOT NULL AND i.operand_id <= 7
+      WHEN i.source_id = 15 THEN i.operand_id IN (0, 1) AND EXISTS (SELECT 1 FROM stages p WHERE p.material = st.material AND p.stage < st.stage)
+      ELSE false END) AND coalesce(bool_or(i.source_id BETWEEN 3 AND 5), false) AS resolvable
+    FROM stages st LEFT JOIN inputs i ON i.material = st.material AND i.stage = st.stage
+    LEFT JOIN slots sl ON sl.material = st.material AND sl.slot = i.source_id - 3 GROUP BY 1)"""
+SQL_REPORT = f"""{A.SQL_SLOTS}, {A.SQL_STAGES}, {SQL_USES}, {SQL_RESOLVABLE}, report AS (SELECT material,
+    coalesce(constant_inputs + explicit_channels, 0) AS alpha_rows, CASE WHEN resolvable THEN 'resolved'
+      WHEN coalesce(constant_inputs + explicit_channels, 0) > 0 THEN 'unresolved' ELSE 'no_texture_alpha' END AS status
+    FROM (SELECT DISTINCT material FROM slots) LEFT JOIN resolved USING (material) LEFT JOIN counted USING (material))"""
+
+
+def resolvable(spark, sf):
+    stages = A.stages(spark, sf)
+    return M.stage_resolvable(stages.filter("source_id <> 0"), ["material"], A.slots(spark, sf), stages)
+
+
+def report(spark, sf):
+    """Materials with a bound slot and their status."""
+    uses = M.stage_use_counts(A.stages(spark, sf), A.slots(spark, sf), ["material"])
+    return M.material_report(A.slots(spark, sf), resolvable(spark, sf), uses, ["material"])
+
+
+@query("d7_material_rollup", f"""WITH {SQL_REPORT} SELECT material, status, alpha_rows, count(*) AS slot_count,
+    string_agg(slot || ':' || asset, ',' ORDER BY slot) AS slots FROM slots JOIN report USING (material) GROUP BY 1, 2, 3""")
+def material_rollup(spark, sf):
+    return rollup(spark, sf)
 
 
 @query("d9_stage_resolvable", f"WITH {A.SQL_SLOTS}, {A.SQL_STAGES}, {SQL_RESOLVABLE} SELECT * FROM resolved")
 def stage_resolvable(spark, sf):
-    return M.stage_resolvable(A.stages(spark, sf), ["material"], A.slots(spark, sf))
+    return resolvable(spark, sf)
 
 
 @query("d10_merge_evidence", f"""WITH {A.SQL_EVIDENCE} SELECT asset, hash, rank, method, event_id FROM (
@@ -169,17 +191,10 @@ def merge_evidence(spark, sf):
         "asset", "hash", "rank", "method", "event_id")
 
 
-@query("d11_status_rollup", f"""WITH {A.SQL_SLOTS}, {A.SQL_STAGES}, {SQL_USES}, {SQL_RESOLVABLE}, s AS (SELECT CASE WHEN resolvable THEN 'resolved'
-      WHEN coalesce(constant_inputs + explicit_channels, 0) > 0 THEN 'unresolved' ELSE 'no_texture_alpha' END AS status
-    FROM resolved LEFT JOIN counted USING (material))
-  SELECT count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'unresolved') AS unresolved,
-    count(*) FILTER (status = 'no_texture_alpha') AS no_texture_alpha FROM s""")
+@query("d11_status_rollup", f"""WITH {SQL_REPORT} SELECT count(*) FILTER (status = 'resolved') AS resolved,
+    count(*) FILTER (status = 'unresolved') AS unresolved, count(*) FILTER (status = 'no_texture_alpha') AS no_texture_alpha FROM report""")
 def status_rollup(spark, sf):
-    inputs, slots = A.stages(spark, sf), A.slots(spark, sf)
-    rows = M.stage_resolvable(inputs, ["material"], slots).join(
-        M.stage_use_counts(inputs, slots, ["material"]), "material", "left").withColumn(
-        "alpha_rows", F.coalesce(F.col("constant_inputs") + F.col("explicit_channels"), F.lit(0)))
-    return S.status_rollup(M.material_status(rows), "status", ["resolved", "unresolved", "no_texture_alpha"])
+    return S.status_rollup(report(spark, sf), "status", ["resolved", "unresolved", "no_texture_alpha"])
 
 
 @query("d12_archive_report", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {A.SQL_LINE_ORDER}) AS rn FROM lineitem)

@@ -119,9 +119,14 @@ def test_evidence_never_downgrades(spark, rows):
 
 def test_confirm_and_apply(spark, rows):
     ev = spark.createDataFrame([("a", "1", "candidate", "m", 1), ("a", "2", "verified", "m", 2)], "asset string, hash string, status string, method string, at int")
-    out, errors = EV.confirm(ev, spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "asset string, hash string"), ["asset", "hash"])
+    out, errors, log = EV.confirm(ev, spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "asset string, hash string"), ["asset", "hash"])
     assert rows(out, "hash", "status", "method") == [("1", "verified", "user_confirmed_visual_candidate"), ("2", "verified", "m")]
-    assert rows(errors) == [("a", "2"), ("b", "1")]
+    assert rows(errors) == [("a", "2", "no_pending"), ("b", "1", "unknown_asset")]
+    assert rows(log, "asset", "hash", "candidate_method", "method") == [("a", "1", "m", "user_confirmed_visual_candidate")]
+    stored = spark.createDataFrame([("a", 1, 2, "old"), ("a", 2, 1, "old"), ("c", 1, 1, "old")], "asset string, hash int, rank int, file string")
+    scan = spark.createDataFrame([("a", 1, 1, "new"), ("a", 2, 1, "new"), ("c", 1, 3, "new"), ("d", 1, 1, "new")], stored.schema)
+    assert rows(EV.rescan_evidence(stored, scan, ["asset", "hash"], "rank", ["file"])) == [
+        ("a", 1, 2, "old"), ("a", 2, 1, "old"), ("c", 1, 3, "new"), ("d", 1, 1, "new")]
     new = spark.createDataFrame([("a", "1", "verified", "exact", 3), ("a", "2", "candidate", "similar", 4), ("c", "9", "candidate", "similar", 5)], ev.schema)
     assert rows(EV.apply_evidence(ev, new, ["asset", "hash"], ["at"]), "asset", "hash", "status", "method", "log_rows") == [
         ("a", "1", "verified", "exact", 2), ("a", "2", "verified", "m", 2), ("c", "9", "candidate", "similar", 1)]
@@ -157,6 +162,15 @@ def test_stages(spark, rows):
     slots = inputs.select("material").distinct().withColumns({"slot": F.explode(F.array(F.lit(0), F.lit(1))), "format": F.lit(1)})
     got = dict(rows(M.stage_resolvable(inputs, ["material"], slots)))
     assert {k for k, v in got.items() if v} == {"ok"} and len(got) == 8
+    # A stage without inputs, and materials without stages or without slots.
+    stages = inputs.select("material", "stage", "combiner_id").unionByName(
+        spark.createDataFrame([("ok", 2, 0), ("empty", 0, 0)], "material string, stage int, combiner_id int"))
+    with_empty = M.stage_resolvable(inputs, ["material"], slots, stages)
+    assert dict(rows(with_empty)) == {**got, "ok": False, "empty": False}
+    bound = slots.filter("material <> 'dot'").unionByName(spark.createDataFrame([("no_stage", 0, 1)], slots.schema))
+    report = dict(rows(M.material_report(bound, M.stage_resolvable(inputs, ["material"], slots), M.stage_use_counts(inputs, slots, ["material"]),
+                                         ["material"]), "material", "status"))
+    assert report["ok"] == "resolved" and report["no_stage"] == "no_texture_alpha" and report["arity"] == "unresolved" and "dot" not in report
     uses = {r["material"]: (r["constant_inputs"], r["explicit_channels"]) for r in M.stage_use_counts(inputs, slots, ["material"]).collect()}
     assert uses["ok"] == (1, 1) and uses["operand"] == (0, 0) and "constant" not in uses
 
