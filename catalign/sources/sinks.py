@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .documents import path_exists
@@ -21,11 +22,15 @@ def write_csv_report(df: DataFrame, path: str, columns: list[str], redact: tuple
 
 
 def write_partitioned(df: DataFrame, path: str, by: str = "category", label: Column | None = None) -> None:
-    """Parquet laid out by a sanitised category; hot categories keep several files."""
+    """Parquet laid out by a sanitised category.
+
+    Rows are rebalanced by category first: small categories meet in one task and
+    one file, hot ones are split to the advisory size.
+    """
     from ..functions.names import safe_export
 
     laid = df.withColumn(by, label if label is not None else safe_export(by))
-    laid.write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", 5_000_000).parquet(path)
+    laid.hint("rebalance", by).write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", 5_000_000).parquet(path)
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -50,13 +55,14 @@ def publish(df: DataFrame, root: str, checks: dict[str, Column] | None = None, k
     """Write, audit, then publish.
 
     The data goes to a new version folder. Each check is a condition that marks
-    violating rows, ``keys`` must be unique. Only when all counts are zero is
-    the version appended to the pointer log that readers follow; until then,
-    and after a failure, readers see the previous version.
+    violating rows, ``keys`` must be unique. Only when all counts are zero does
+    the version get the next number in the pointer log that readers follow;
+    until then, and after a failure, readers see the previous version. Numbers are
+    given at the commit by creating a file that must not exist yet: of two
+    publishers the one that ends last is the one that is read. Returns the number.
     """
     spark = df.sparkSession
-    version = time.time_ns()
-    staged = f"{root}/versions/{version}"
+    staged = f"{root}/versions/{uuid.uuid4().hex}"
     try:
         df.write.parquet(staged)
         written = spark.read.schema(df.schema).parquet(staged)
@@ -72,21 +78,48 @@ def publish(df: DataFrame, root: str, checks: dict[str, Column] | None = None, k
     except Exception:
         _drop(spark, staged)
         raise
-    spark.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("append").json(f"{root}/pointers")
-    return version
+    return _commit(spark, root, staged.rpartition("/")[2])
 
 
 def read_published(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The version the pointer log names last."""
-    if version is None:
-        version = spark.read.schema("version bigint").json(f"{root}/pointers").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/versions/{version}")
+    """The version of that number, or the last one."""
+    pointers = _pointers(spark, root)
+    return spark.read.parquet(f"{root}/versions/{pointers[max(pointers) if version is None else version]}")
 
 
 def has_published(spark: SparkSession, root: str) -> bool:
-    return path_exists(spark, f"{root}/pointers")
+    return bool(_pointers(spark, root))
+
+
+def _pointers(spark: SparkSession, root: str) -> dict[int, str]:
+    """Folder of each version by number. A pointer is a file ``<number>`` that holds the folder's name."""
+    if not path_exists(spark, f"{root}/pointers"):
+        return {}
+    found = spark.read.text(f"{root}/pointers", wholetext=True).select("value", F.input_file_name().alias("file")).collect()
+    return {int(r["file"].rpartition("/")[2]): r["value"] for r in found}
+
+
+def _commit(spark: SparkSession, root: str, folder: str) -> int:
+    number = max(_pointers(spark, root), default=0) + 1
+    while True:
+        fs, path = _file(spark, f"{root}/pointers/{number}")
+        try:
+            out = fs.create(path, False)  # fails if somebody else has the number
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            number += 1
+            continue
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return number
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _drop(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file(spark, path)
+    fs.delete(p, True)

@@ -64,6 +64,12 @@ def test_publish_failure_keeps_previous(spark, tmp_path, rows):
         K.publish(one.withColumn("v", F.raise_error(F.lit("disk full")).cast("string")), root)
     assert rows(K.read_published(spark, root)) == [(1, "a")]
     assert set((tmp_path / "table" / "versions").iterdir()) == versions
+    # A publisher that starts first and ends last is the one that is read; a taken number is skipped.
+    (tmp_path / "table" / "pointers" / "2").write_text(K._pointers(spark, root)[1])
+    late = one.withColumn("v", F.lit("late"))
+    numbers = [K._commit(spark, root, K._pointers(spark, root)[1]), K.publish(late, root)]
+    assert numbers == [3, 4] and rows(K.read_published(spark, root)) == [(1, "late")]
+    assert rows(K.read_published(spark, root, 1)) == [(1, "a")]
     # Publishing may read what is published.
     K.publish(K.read_published(spark, root).withColumn("v", F.lit("b")), root)
     assert rows(K.read_published(spark, root)) == [(1, "b")]
