@@ -89,15 +89,24 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits_per_row:
     A Bloom filter of the ids lets documents pass that cannot be meant; the
     rest, ids to drop and a few false hits, are anti-joined exactly.
     """
+    flagged, ids = _flag_ids(docs, ids, key, bits_per_row, hashes)
+    passed = flagged.filter(~F.col("_maybe")).select("doc.*")
+    held = flagged.filter("_maybe").select("doc")
+    return passed.unionByName(held.join(ids, held["doc"][key] == ids["_drop"], "left_anti").select("doc.*"))
+
+
+def likely_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits_per_row: int = 12, hashes: int = 3) -> DataFrame:
+    """Documents whose id may be in ``ids``: all that are, and a few more. Nothing is shuffled; join what comes out."""
+    return _flag_ids(docs, ids, key, bits_per_row, hashes)[0].filter("_maybe").select("doc.*")
+
+
+def _flag_ids(docs: DataFrame, ids: DataFrame, key: str, bits_per_row: int, hashes: int) -> tuple[DataFrame, DataFrame]:
     ids = cut(ids.select(F.col(key).alias("_drop")).filter(F.col("_drop").isNotNull()).distinct())
     n = ids.count()
     blocks = filter_blocks(n, bits_per_row)
     slots = ids.select(F.explode(F.array(*filter_slots(F.col("_drop"), blocks, hashes))).alias("slot"))
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
-    flagged = flag_hits(packed, cut(build_filter(slots)), filter_slots(F.col("doc")[key], blocks, hashes))
-    passed = flagged.filter(~F.col("_maybe")).select("doc.*")
-    held = flagged.filter("_maybe").select("doc")
-    return passed.unionByName(held.join(ids, held["doc"][key] == ids["_drop"], "left_anti").select("doc.*"))
+    return flag_hits(packed, cut(build_filter(slots)), filter_slots(F.col("doc")[key], blocks, hashes)), ids
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

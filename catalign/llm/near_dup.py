@@ -13,10 +13,12 @@
    t = floor(ln w / r + b), ln a = ln c - r * (t - b) - r; the shingle with the least
    a is the sample, together with t. Two documents agree in a sample with about
    the probability of their weighted Jaccard similarity. ROWS samples make a band.
-4. Documents that share a band meet in its bucket. Each is compared with a centre
-   of the bucket and with the next ones by weight, not with all. Hot buckets are
-   dealt out by salt; the centre joins the parts. Weights that differ too much
-   for the threshold are left out, which loses nothing.
+4. Documents that share a band meet in its bucket. Each is paired with a centre
+   of the bucket and with the next one by weight; only in a bucket of at most SMALL
+   documents with all others. Hot buckets are dealt out by salt; the centre joins the
+   parts. Pairs whose weights differ too much for the threshold are left out, and
+   those that agree in fewer than AGREE of all samples: at the threshold that happens
+   to about one pair in a hundred thousand.
 5. Pairs at or above the threshold are links. Linked documents are contracted to
    components, and buckets that hold several components are tried again with other
    centres, until a round adds no link.
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
-from .common import attach_groups, drop_ids, text_chunks, text_of
+from .common import attach_groups, drop_ids, likely_ids, text_chunks, text_of
 from .text_scan import Scan
 
 WORDS = 5
@@ -47,7 +49,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SKETCH_BITS, BLOCK_BITS = 20, 12
 RARE, IDF_FLOOR = 1e-3, 0.75
-NEXT = 4
+SMALL, AGREE = 6, 26
 #: Members of one part of a bucket, about.
 PART = 500
 
@@ -142,10 +144,10 @@ def ordered(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, ~bits, bits | np.int32(-0x80000000)).view(np.uint32).astype(np.uint64)
 
 
-def band_keys(owner: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts that have shingles, and a row of band hashes for each."""
+def band_keys(owner: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts that have shingles, and for each a row of band hashes and one of the samples, in 32 bits."""
     if not len(owner):
-        return owner, np.zeros((0, BANDS), np.int64)
+        return owner, np.zeros((0, BANDS), np.int64), np.zeros((0, BANDS * ROWS), np.int32)
     log_c, r, b, multipliers = draw_tables()
     begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     unit = ordered(log_c + r * b - r) << np.uint64(32)  # weight 1: t = 0
@@ -153,6 +155,7 @@ def band_keys(owner: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
     log_w = np.log(w[other])
     low = h * _M2 >> np.uint64(32)
     out = np.zeros((len(begin), BANDS), np.uint64)
+    samples = np.zeros((len(begin), BANDS * ROWS), np.uint32)
     for k, m in enumerate(multipliers):
         at = (h * m >> np.uint64(48)).astype(np.int64)
         keys = unit[at]
@@ -161,28 +164,34 @@ def band_keys(owner: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
             t = np.floor(log_w / r[at] + b[at])
             keys[other] = ordered(log_c[at] - r[at] * (t - b[at]) - r[at]) << np.uint64(32)
         sample = np.minimum.reduceat(keys | low, begin)
+        samples[:, k] = sample * _M2 >> np.uint64(32)
         band = k // ROWS
         out[:, band] = (out[:, band] ^ sample) * _M1
         out[:, band] ^= out[:, band] >> np.uint64(31)
-    return owner[begin], (out + np.arange(BANDS, dtype=np.uint64) * _M2).view(np.int64)
+    return owner[begin], (out + np.arange(BANDS, dtype=np.uint64) * _M2).view(np.int64), samples.view(np.int32)
 
 
 def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(id, weight, bands) of each document with words."""
+    """(id, weight, bands, samples) of each document with words."""
     sent = docs.sparkSession.sparkContext.broadcast(idf)  # of fixed size
 
     def run(batches):
         for part, texts in text_chunks(batches):
             owner, h, tf = shingles(texts)
             w = weigh(h, tf, sent.value)
-            has, bands = band_keys(owner, h, w)
+            has, bands, samples = band_keys(owner, h, w)
+
+            def rows(table):
+                at = pa.array(np.arange(len(has) + 1, dtype=np.int32) * table.shape[1])
+                return pa.ListArray.from_arrays(at, pa.array(table.ravel()))
+
             total = np.bincount(owner, weights=w, minlength=len(texts))[has]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(has)), pa.array(total),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))],
-                names=["id", "weight", "bands"])
+                [part.column(0).take(pa.array(has)), pa.array(total), rows(bands), rows(samples)],
+                names=["id", "weight", "bands", "samples"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, weight double, bands array<long>")
+    return docs.select("id", "text").mapInArrow(
+        run, f"id {docs.schema['id'].dataType.simpleString()}, weight double, bands array<long>, samples array<int>")
 
 
 def similarities(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarray:
@@ -219,6 +228,8 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
                     begin, held = n + 1, 0
 
     id_type = pairs.schema["a"].dataType.simpleString()
+    # Only the texts of these pairs are shuffled.
+    texts = likely_ids(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     with_left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     with_both = with_left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
     return with_both.mapInArrow(run, f"a {id_type}, b {id_type}, similarity double")
@@ -259,28 +270,38 @@ def candidates(members: DataFrame, turn: int, threshold: float) -> DataFrame:
     star = mixed.filter("comp <> c.comp").select(F.col("id").alias("x"), "weight", F.col("c.id").alias("y"), F.col("c.weight").alias("other"))
     salt = F.pmod(F.xxhash64(F.lit(-1 - turn), "id"), F.ceil(F.col("size") / PART))
     w = Window.partitionBy("bucket", salt).orderBy("weight", "id")
-    near = mixed.select("id", "comp", "weight", *[
-        F.lead(F.struct("id", "comp", "weight"), k).over(w).alias(f"n{k}") for k in range(1, NEXT + 1)])
-    near = near.select("id", "comp", "weight", F.explode(F.array(*[f"n{k}" for k in range(1, NEXT + 1)])).alias("o"))
+    near = mixed.select("id", "comp", "weight", "size", *[
+        F.lead(F.struct("id", "comp", "weight"), k).over(w).alias(f"n{k}") for k in range(1, SMALL)])
+    others = F.array(*[F.when((F.col("size") <= SMALL) | F.lit(k == 1), F.col(f"n{k}")) for k in range(1, SMALL)])
+    near = near.select("id", "comp", "weight", F.explode(others).alias("o"))
     near = near.filter("o IS NOT NULL AND o.comp <> comp").select(F.col("id").alias("x"), "weight", F.col("o.id").alias("y"), F.col("o.weight").alias("other"))
     pairs = star.unionByName(near).filter(
         F.least("weight", "other") >= (threshold - 1e-6) * F.greatest("weight", "other"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def agreeing(pairs: DataFrame, samples: DataFrame, least: int = AGREE) -> DataFrame:
+    """Pairs that agree in enough samples to be worth the shuffle of their texts."""
+    both = pairs.join(samples.select(F.col("id").alias("a"), F.col("samples").alias("x")), "a").join(
+        samples.select(F.col("id").alias("b"), F.col("samples").alias("y")), "b")
+    same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z))
+    return both.filter(same >= least).select("a", "b")
+
+
 def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between texts (id, text), and components (id, label) of those that have any."""
-    signed = sign(texts, idf).select("id", "weight", F.explode("bands").alias("bucket"))
-    signed = cut(signed)
-    shared = signed.groupBy("bucket").count().filter("count > 1")
-    members = attach_groups(signed, cut(shared), "bucket", "count", signed.count(), "inner").select("id", "weight", "bucket")
+    signed = cut(sign(texts, idf))
+    banded = signed.select("id", "weight", F.explode("bands").alias("bucket"))
+    shared = cut(banded.groupBy("bucket").count().filter("count > 1"))
+    members = attach_groups(banded, shared, "bucket", "count", signed.count() * BANDS, "inner").select("id", "weight", "bucket")
+    samples = signed.select("id", "samples")
     members = cut(members.withColumn("comp", F.col("id")))
-    links, tested, turn = None, None, 0
+    links, tested, label, turn = None, None, None, 0
     while True:
         pairs = candidates(members, turn, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = cut(agreeing(pairs, samples))
         if pairs.isEmpty():
             break
         found = cut(verify(pairs, texts, idf, threshold))
@@ -288,13 +309,13 @@ def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD)
         if turn and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        label = components(links)
-        label = cut(label)
+        label = cut(components(links))
         members = cut(members.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label"))
         turn += 1
     if links is None:
-        links = pairs.withColumn("similarity", F.lit(1.0)).limit(0)
-    return links, components(links)
+        links = pairs.withColumn("similarity", F.lit(1.0))
+        label = pairs.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    return links, label
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
