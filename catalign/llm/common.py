@@ -92,7 +92,17 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits_per_row:
     flagged, ids = _flag_ids(docs, ids, key, bits_per_row, hashes)
     passed = flagged.filter(~F.col("_maybe")).select("doc.*")
     held = flagged.filter("_maybe").select("doc")
-    return passed.unionByName(held.join(ids, held["doc"][key] == ids["_drop"], "left_anti").select("doc.*"))
+    return passed.unionByName(without(held, held["doc"][key], ids, "_drop").select("doc.*"))
+
+
+def without(rows: DataFrame, value: Column, ids: DataFrame, name: str) -> DataFrame:
+    """Rows whose value is not among the distinct ``ids``.
+
+    An outer join: an anti join would be pushed below the filter that keeps most
+    rows from being shuffled.
+    """
+    marked = ids.select(name, F.lit(True).alias("_meant"))
+    return rows.join(marked, value.eqNullSafe(marked[name]), "left").filter("_meant IS NULL").select(*rows.columns)
 
 
 def likely_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits_per_row: int = 12, hashes: int = 3) -> DataFrame:

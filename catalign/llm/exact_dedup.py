@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import attach_groups, build_filter, filter_blocks, filter_slots, flag_hits, text_of
+from .common import attach_groups, build_filter, filter_blocks, filter_slots, flag_hits, text_of, without
 
 HASHES = 2
 BITS_PER_ROW = 16
@@ -66,5 +66,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     flagged = flag_hits(keyed, bitmaps, slots)
     passed = flagged.filter(~F.col("_maybe")).select("doc.*")
     held = flagged.filter("_maybe").select("doc")
-    return passed.unionByName(
-        held.join(lost, held["doc"][id_col].eqNullSafe(F.col("_lost")), "left_anti").select("doc.*"))
+    return passed.unionByName(without(held, held["doc"][id_col], lost.distinct(), "_lost").select("doc.*"))

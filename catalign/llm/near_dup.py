@@ -13,15 +13,17 @@
    t = floor(ln w / r + b), ln a = ln c - r * (t - b) - r; the shingle with the least
    a is the sample, together with t. Two documents agree in a sample with about
    the probability of their weighted Jaccard similarity. ROWS samples make a band.
-4. Documents that share a band meet in its bucket. Each is paired with a centre
-   of the bucket and with the next one by weight; only in a bucket of at most SMALL
-   documents with all others. Hot buckets are dealt out by salt; the centre joins the
+4. Documents that share a band meet in its bucket. Each is paired with two centres
+   of the bucket, first those documents that meet most others, which in a group of
+   copies are near its origin, and with the next ones in the order of their other
+   bands, where neighbours agree in most; only in a bucket of at most SMALL documents
+   with all others. Hot buckets are dealt out by a further band; the centres join the
    parts. Pairs whose weights differ too much for the threshold are left out, and
    those that agree in fewer than AGREE of all samples: at the threshold that happens
    to about one pair in a hundred thousand.
 5. Pairs at or above the threshold are links. Linked documents are contracted to
    components, and buckets that hold several components are tried again with other
-   centres, until a round adds no link.
+   centres, drawn anew for each bucket, until a round adds no link.
 
 Edge cases: texts without words are near-duplicates of nothing but equal texts; a
 null text equals the empty text. Rows that repeat an id are equal or near each by
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
@@ -49,7 +51,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SKETCH_BITS, BLOCK_BITS = 20, 12
 RARE, IDF_FLOOR = 1e-3, 0.75
-SMALL, AGREE = 6, 26
+SMALL, AHEAD, AGREE = 6, 2, 26
 #: Members of one part of a bucket, about.
 PART = 500
 
@@ -171,10 +173,8 @@ def band_keys(owner: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
     return owner[begin], (out + np.arange(BANDS, dtype=np.uint64) * _M2).view(np.int64), samples.view(np.int32)
 
 
-def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def sign(docs: DataFrame, sent: Broadcast) -> DataFrame:
     """(id, weight, bands, samples) of each document with words."""
-    sent = docs.sparkSession.sparkContext.broadcast(idf)  # of fixed size
-
     def run(batches):
         for part, texts in text_chunks(batches):
             owner, h, tf = shingles(texts)
@@ -208,9 +208,8 @@ def similarities(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarr
     return shared / np.maximum(total - shared, 1e-12)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) that are at or above the threshold, with their similarity."""
-    sent = pairs.sparkSession.sparkContext.broadcast(idf)
+def verify(pairs: DataFrame, texts: DataFrame, sent: Broadcast, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) that are at or above the threshold, with their similarity. ``sent`` is the idf table."""
 
     def run(batches):
         for batch in batches:
@@ -259,25 +258,24 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("id")))
 
 
-def candidates(members: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a bucket: with its centre, and with the next ones by weight."""
-    seed = F.xxhash64(F.lit(turn), "id")
-    centre = members.groupBy("bucket").agg(
-        F.min_by(F.struct("id", "comp", "weight"), seed).alias("c"), F.count("*").alias("n"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "c", "n")
-    total = members.count()
-    mixed = cut(attach_groups(members, cut(centre.withColumn("size", F.col("n"))), "bucket", "n", total, "inner"))
-    star = mixed.filter("comp <> c.comp").select(F.col("id").alias("x"), "weight", F.col("c.id").alias("y"), F.col("c.weight").alias("other"))
-    salt = F.pmod(F.xxhash64(F.lit(-1 - turn), "id"), F.ceil(F.col("size") / PART))
-    w = Window.partitionBy("bucket", salt).orderBy("weight", "id")
-    near = mixed.select("id", "comp", "weight", "size", *[
-        F.lead(F.struct("id", "comp", "weight"), k).over(w).alias(f"n{k}") for k in range(1, SMALL)])
-    others = F.array(*[F.when((F.col("size") <= SMALL) | F.lit(k == 1), F.col(f"n{k}")) for k in range(1, SMALL)])
-    near = near.select("id", "comp", "weight", F.explode(others).alias("o"))
-    near = near.filter("o IS NOT NULL AND o.comp <> comp").select(F.col("id").alias("x"), "weight", F.col("o.id").alias("y"), F.col("o.weight").alias("other"))
-    pairs = star.unionByName(near).filter(
-        F.least("weight", "other") >= (threshold - 1e-6) * F.greatest("weight", "other"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def candidates(members: DataFrame, total: int, turn: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a bucket: with its centres, and with the next ones in order."""
+    row = F.struct("id", "comp", "weight")
+    draws = [F.xxhash64(F.lit(2 * turn + k), "bucket", "id") for k in range(2)]
+    if turn == 0:
+        draws[0] = F.struct(-F.col("met"), "id")
+    centres = cut(members.groupBy("bucket").agg(
+        *[F.min_by(row, d).alias(f"c{k}") for k, d in enumerate(draws)], F.count("*").alias("n"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "c0", "c1", "n", F.col("n").alias("size")))
+    mixed = cut(attach_groups(members, centres, "bucket", "n", total, "inner"))
+    part = F.pmod("next", F.ceil(F.col("size") / PART))
+    w = Window.partitionBy("bucket", part).orderBy("next", "after", "weight", "id")
+    ahead = mixed.select(*mixed.columns, *[F.lead(row, k).over(w).alias(f"n{k}") for k in range(1, SMALL)])
+    others = [F.when((F.col("size") <= SMALL) | F.lit(k <= AHEAD), F.col(f"n{k}")) for k in range(1, SMALL)]
+    pairs = ahead.select("id", "comp", "weight", F.explode(F.array("c0", "c1", *others)).alias("o")).filter(
+        "o IS NOT NULL AND o.comp <> comp").filter(
+        F.least("weight", "o.weight") >= (threshold - 1e-6) * F.greatest("weight", "o.weight"))
+    return pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
 
 
 def agreeing(pairs: DataFrame, samples: DataFrame, least: int = AGREE) -> DataFrame:
@@ -290,21 +288,30 @@ def agreeing(pairs: DataFrame, samples: DataFrame, least: int = AGREE) -> DataFr
 
 def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between texts (id, text), and components (id, label) of those that have any."""
-    signed = cut(sign(texts, idf))
-    banded = signed.select("id", "weight", F.explode("bands").alias("bucket"))
+    sent = texts.sparkSession.sparkContext.broadcast(idf)  # of fixed size
+    signed = cut(sign(texts, sent))
+    def band(at):
+        return F.element_at("bands", at % BANDS + 1)
+
+    banded = signed.select("id", "weight", "bands", F.posexplode("bands").alias("at", "bucket")).select(
+        "id", "weight", "bucket", band(F.col("at") + 1).alias("next"), band(F.col("at") + 2).alias("after"))
     shared = cut(banded.groupBy("bucket").count().filter("count > 1"))
-    members = attach_groups(banded, shared, "bucket", "count", signed.count() * BANDS, "inner").select("id", "weight", "bucket")
-    samples = signed.select("id", "samples")
+    members = attach_groups(banded, shared, "bucket", "count", signed.count() * BANDS, "inner")
     members = cut(members.withColumn("comp", F.col("id")))
+    # How many others a document meets, over all its buckets.
+    met = members.groupBy("id").agg(F.sum("count").alias("met"))
+    members = cut(members.drop("count").join(met, "id"))
+    samples = signed.select("id", "samples")
+    total = members.count()
     links, tested, label, turn = None, None, None, 0
     while True:
-        pairs = candidates(members, turn, threshold)
+        pairs = candidates(members, total, turn, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(agreeing(pairs, samples))
         if pairs.isEmpty():
             break
-        found = cut(verify(pairs, texts, idf, threshold))
+        found = cut(verify(pairs, texts, sent, threshold))
         tested = pairs if tested is None else tested.unionByName(pairs)
         if turn and found.isEmpty():
             break
@@ -347,5 +354,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Documents without all but the smallest id of each class."""
-    lost = near_classes(docs, id_col, text_col, threshold).filter("doc_id <> class_id")
+    owners, texts = distinct_texts(docs, id_col, text_col)
+    n, sketch = frequency_sketch(texts)
+    _, label = near_links(texts, idf_table(n, sketch), threshold)
+    lost = owners.filter("doc_id <> id").select("doc_id").unionByName(label.filter("id <> label").select(F.col("id").alias("doc_id")))
     return drop_ids(docs, lost.select(F.col("doc_id").alias(id_col)), id_col)
