@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from catalign.llm import (exact_dedup, html_extract as H, language_id as L, mixing, near_dup as N, packing, quality,
                           secret_scan as S, token_counts, urls)
 from catalign.llm.bpe_transducer import Transducer
-from conftest import ODD
+from odd import ODD
 
 WORD_BPE, BYTE_BPE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 

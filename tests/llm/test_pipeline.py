@@ -6,7 +6,6 @@ import corpus_pipeline as C
 import duckdb
 import pytest
 from catalign.llm import queries
-from test_operators import check_packing  # noqa: F401
 
 
 def test_stages(spark, small, tmp_path):
