@@ -22,6 +22,12 @@ def split_unsafe(df: DataFrame, path="path") -> tuple[DataFrame, DataFrame]:
     return df.filter(reason.isNull()), df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
+def flag_size(df: DataFrame, ceiling: int, size="length") -> DataFrame:
+    """All rows in one pass: ``kept``, and the issue's message for those above the ceiling."""
+    over = F.col(size) > ceiling
+    return df.withColumns({"kept": ~over, "message": F.when(over, F.format_string("size %d exceeds %d", F.col(size), F.lit(ceiling)))})
+
+
 def size_guard(df: DataFrame, ceiling: int, size="length") -> tuple[DataFrame, DataFrame]:
     """Rows within the ceiling, and an issue for each row above it.
 

@@ -8,6 +8,7 @@ from ..functions import content as C, values as V
 from ..operators import dedupe, evidence, fingerprint as FP, materials as M, summary as S
 from ..operators.budget import admit_under_budget
 from ..operators.matching import match_exact
+from ..session import cut
 from . import adapters as A
 from .adapters import table
 from .registry import query
@@ -24,7 +25,7 @@ KEYS = ["candidate_hash", "format", "width", "height"]
   SELECT candidate_hash, format, width, height, doc_id, source, copies, coalesce(alternates, 0) AS alternates
   FROM first LEFT JOIN alt USING (candidate_hash, format, width, height) WHERE rn = 1""")
 def dedupe_assets(spark, sf):
-    a = A.slim_assets(spark, sf).select(*KEYS, "doc_id", "source")
+    a = cut(A.slim_assets(spark, sf).select(*KEYS, "doc_id", "source"))  # content is read here and not again
     kept = dedupe.dedupe_assets(a, KEYS, ["doc_id"])
     alternates = dedupe.merged_values(a, kept, KEYS, "source", exclude_kept=True).groupBy(*KEYS).agg(
         F.count("*").alias("alternates"))
@@ -36,7 +37,7 @@ def dedupe_assets(spark, sf):
   SELECT DISTINCT f.doc_id, a.source FROM assets a JOIN first f USING (candidate_hash, format, width, height)
   WHERE f.rn = 1 AND a.source <> f.source""")
 def alternate_sources(spark, sf):
-    a = A.slim_assets(spark, sf).select(*KEYS, "doc_id", "source")
+    a = cut(A.slim_assets(spark, sf).select(*KEYS, "doc_id", "source"))  # content is read here and not again
     kept = dedupe.dedupe_assets(a, KEYS, ["doc_id"])
     return dedupe.merged_values(a, kept, KEYS, "source", exclude_kept=True).join(
         kept.select(*KEYS, "doc_id"), KEYS).select("doc_id", "source")
@@ -231,9 +232,9 @@ SQL_MATCH = f"""{A.SQL_ASSETS}, keyed AS (SELECT a.*, sha256(text) AS direct, sh
 def exact_matches(spark, sf):
     """Unlabelled documents against labelled ones."""
     known = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("known"))
-    d = A.slim_assets(spark, sf).select(
+    d = cut(A.slim_assets(spark, sf).select(
         "doc_id", "candidate_hash", F.sha2("text", 256).alias("direct"), F.sha2(F.reverse("text"), 256).alias("mirrored"),
-        "source").join(known, "doc_id", "left")
+        "source").join(known, "doc_id", "left"))
     dump = d.filter(F.col("known").isNull())
     catalog = d.filter(F.col("known").isNotNull()).withColumnRenamed("doc_id", "asset")
     return catalog, match_exact(dump, catalog, "doc_id", "asset", ["direct", "mirrored"], carry=["candidate_hash"])

@@ -8,7 +8,7 @@ from ..functions import hashes as H
 from ..operators.dedupe import union_roots
 from ..operators.lookup import ingest_external
 from ..operators.materials import unresolved_rows
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..sources import documents as docs, sinks
 from ..sources.files import scan_files as scan
 from . import adapters as A
@@ -26,7 +26,7 @@ def scan_files(spark, sf):
 @query("a1_file_inventory", f"""WITH {A.SQL_FILES} SELECT path, ext, length FROM (
     SELECT *, row_number() OVER (PARTITION BY path ORDER BY page_id) AS rn FROM files) WHERE rn = 1""")
 def file_inventory(spark, sf):
-    files = A.files(spark, sf).select("path", "ext", "length", "page_id")
+    files = cut(A.files(spark, sf).select("path", "ext", "length", "page_id"))  # content is read here and not again
     return union_roots([files.filter(F.col("ext").isNotNull()), files], ["page_id"]).drop("page_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import content as C, hashes as H, paths as P, values as V
 from ..operators import dedupe, filters as B, lookup as L
 from ..operators.matching import match_nearest
+from ..session import cut
 from . import adapters as A
 from .adapters import table
 from .counts import SQL_MATCH, exact_matches
@@ -243,7 +244,7 @@ def missing_names(spark, sf):
 @query("g2_union_roots", f"""WITH {A.SQL_FILES} SELECT path, length FROM (SELECT *, row_number() OVER (PARTITION BY path
     ORDER BY CASE WHEN ext = 'html' THEN 0 WHEN length > 4000 THEN 1 ELSE 2 END, page_id) AS rn FROM files) WHERE rn = 1""")
 def union_roots(spark, sf):
-    f = A.files(spark, sf).select("path", "length", "ext", "page_id")
+    f = cut(A.files(spark, sf).select("path", "length", "ext", "page_id"))  # content is read here and not again
     return dedupe.union_roots([f.filter("ext = 'html'"), f.filter("length > 4000"), f], ["page_id"]).drop("ext", "page_id")
 
 

@@ -53,9 +53,7 @@ def safe_path(spark, sf):
 @query("b4_size_guard", f"""WITH {A.SQL_FILES} SELECT path, length, length <= 6000 AS kept,
   CASE WHEN length > 6000 THEN 'size ' || length || ' exceeds 6000' END AS message FROM files""")
 def size_guard(spark, sf):
-    ok, issues = B.size_guard(A.files(spark, sf).select("path", "length"), 6000)
-    return ok.withColumns({"kept": F.lit(True), "message": F.lit(None).cast("string")}).unionByName(
-        issues.withColumn("kept", F.lit(False)).drop("stage"))
+    return B.flag_size(A.files(spark, sf).select("path", "length"), 6000)
 
 
 @query("b5_skip_extensions", f"""WITH {A.SQL_FILES} SELECT path FROM files

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -46,3 +47,11 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["a1_file_inventory", "b4_size_guard", "d1_dedupe_assets", "d1_alternate_sources", "d14_evidence_report",
+                                  "e3_match_exact", "g2_union_roots", "j3_apply_evidence"])
+def test_content_is_read_once(spark, name):
+    """A plan reads whole texts or pages at most once; what is read before lies in a narrow checkpoint."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ReadSchema: struct<[^>]*\b(?:text|html):", plan)) <= 1
