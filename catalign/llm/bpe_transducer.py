@@ -150,13 +150,14 @@ class Transducer:
         """Make the transition; returns next state and emitted count, packed.
 
         A state is written as the open positions (bytes read since, token before,
-        relative count) and the bytes since the earliest.
+        relative count), the bytes since the earliest, how many positions there are
+        less one, and what closes the word.
         """
         written = self.info[state]
         open_at = array("i")
-        size = 12 * (1 + written[-1]) if state != START else 12
+        size = 12 * (1 + written[-2]) if state != START else 12
         open_at.frombytes(written[:size])
-        text = (written[size:-1] if state != START else b"") + bytes((byte,))
+        text = (written[size:-2] if state != START else b"") + bytes((byte,))
         token, count = self._last(text, open_at, False)
         closing = self._last(text, open_at, True)[1] if self.end else count
         ahead = array("i")
@@ -167,12 +168,11 @@ class Transducer:
         settled = min(ahead[2::3])
         for k in range(2, len(ahead), 3):
             ahead[k] -= settled
-        body = ahead.tobytes() + text[len(text) - ahead[0]:] + bytes((len(ahead) // 3 - 1,))
-        key = body + bytes((closing - settled + 128,))
+        key = ahead.tobytes() + text[len(text) - ahead[0]:] + bytes((len(ahead) // 3 - 1, closing - settled + 128))
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = len(self.info)
-            self.info.append(body)
+            self.info.append(key)
             if to >= len(self.last):
                 self.closing = np.concatenate([self.closing, np.zeros_like(self.closing)])
                 self.last = np.concatenate([self.last, np.zeros_like(self.last)])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut
@@ -120,17 +122,17 @@ def _flag_ids(docs: DataFrame, ids: DataFrame, key: str, bits_per_row: int, hash
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of (…, text) batches whose texts have about ``size`` characters together, with these texts.
+    """Slices of (…, text) batches whose texts have about ``size`` bytes together, with these texts.
 
-    Bounds the memory of a task; a longer text is a slice of its own. Null is the empty text.
+    Bounds the memory of a task: only the texts of one slice are Python strings at a
+    time. A longer text is a slice of its own. Null is the empty text.
     """
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-        begin = held = 0
-        for n, t in enumerate(texts):
-            if held and held + len(t) > size:
-                yield batch.slice(begin, n - begin), texts[begin:n]
-                begin, held = n, 0
-            held += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        column = batch.column(batch.num_columns - 1)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(column):
+            before = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, before + size, side="right")))
+            yield batch.slice(begin, end - begin), [t or "" for t in column.slice(begin, end - begin).to_pylist()]
+            begin = end
