@@ -258,16 +258,16 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("id")))
 
 
-def candidates(members: DataFrame, total: int, turn: int, threshold: float) -> DataFrame:
+def candidates(members: DataFrame, turn: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of different components that meet in a bucket: with its centres, and with the next ones in order."""
     row = F.struct("id", "comp", "weight")
     draws = [F.xxhash64(F.lit(2 * turn + k), "bucket", "id") for k in range(2)]
     if turn == 0:
         draws[0] = F.struct(-F.col("met"), "id")
     centres = cut(members.groupBy("bucket").agg(
-        *[F.min_by(row, d).alias(f"c{k}") for k, d in enumerate(draws)], F.count("*").alias("n"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "c0", "c1", "n", F.col("n").alias("size")))
-    mixed = cut(attach_groups(members, centres, "bucket", "n", total, "inner"))
+        *[F.min_by(row, d).alias(f"c{k}") for k, d in enumerate(draws)], F.count("*").alias("size"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "c0", "c1", "size"))
+    mixed = cut(members.join(centres, "bucket"))
     part = F.pmod("next", F.ceil(F.col("size") / PART))
     w = Window.partitionBy("bucket", part).orderBy("next", "after", "weight", "id")
     ahead = mixed.select(*mixed.columns, *[F.lead(row, k).over(w).alias(f"n{k}") for k in range(1, SMALL)])
@@ -290,22 +290,23 @@ def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD)
     """Links (a, b, similarity) between texts (id, text), and components (id, label) of those that have any."""
     sent = texts.sparkSession.sparkContext.broadcast(idf)  # of fixed size
     signed = cut(sign(texts, sent))
+
     def band(at):
         return F.element_at("bands", at % BANDS + 1)
 
     banded = signed.select("id", "weight", "bands", F.posexplode("bands").alias("at", "bucket")).select(
         "id", "weight", "bucket", band(F.col("at") + 1).alias("next"), band(F.col("at") + 2).alias("after"))
     shared = cut(banded.groupBy("bucket").count().filter("count > 1"))
-    members = attach_groups(banded, shared, "bucket", "count", signed.count() * BANDS, "inner")
+    # A plain join: a hot bucket has one row in ``shared``, and adaptive execution splits the other side.
+    members = banded.join(shared, "bucket")
     members = cut(members.withColumn("comp", F.col("id")))
     # How many others a document meets, over all its buckets.
     met = members.groupBy("id").agg(F.sum("count").alias("met"))
     members = cut(members.drop("count").join(met, "id"))
     samples = signed.select("id", "samples")
-    total = members.count()
     links, tested, label, turn = None, None, None, 0
     while True:
-        pairs = candidates(members, total, turn, threshold)
+        pairs = candidates(members, turn, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(agreeing(pairs, samples))
