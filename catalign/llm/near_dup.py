@@ -24,6 +24,11 @@
 5. Pairs at or above the threshold are links. Linked documents are contracted to
    components, and buckets that hold several components are tried again with other
    centres, drawn anew for each bucket, until a round adds no link.
+6. What centres and neighbours leave open is finished exactly: in each bucket of more
+   than SMALL documents that still holds several components, all documents outside its
+   largest component are compared by their samples with all of other components, block
+   against block, each pair of blocks a group of its own. After that every two documents
+   that share a band are in one component or were tested.
 
 Edge cases: texts without words are near-duplicates of nothing but equal texts; a
 null text equals the empty text. Rows that repeat an id are equal or near each by
@@ -54,6 +59,8 @@ RARE, IDF_FLOOR = 1e-3, 0.75
 SMALL, AHEAD, AGREE = 6, 2, 26
 #: Members of one part of a bucket, about.
 PART = 500
+#: Members of one block of the exact finish, about.
+BLOCK = 512
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -286,6 +293,49 @@ def agreeing(pairs: DataFrame, samples: DataFrame, least: int = AGREE) -> DataFr
     return both.filter(same >= least).select("a", "b")
 
 
+def open_pairs(members: DataFrame, samples: DataFrame, threshold: float, least: int = AGREE) -> DataFrame:
+    """All pairs (a, b) of different components that meet in a bucket of more than SMALL and agree in enough samples.
+
+    A member outside the bucket's largest component meets all blocks, one inside only the blocks of those outside.
+    """
+    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    buckets = cut(parts.groupBy("bucket").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("size")).filter(
+        (F.col("size") > SMALL) & (F.col("size") > F.col("inside"))).select(
+        "bucket", "main", F.ceil((F.col("size") - F.col("inside")) / BLOCK).alias("outer"), F.ceil(F.col("inside") / BLOCK).alias("inner")))
+    is_outer = F.col("comp") != F.col("main")
+    draw = F.xxhash64(F.lit("block"), "id")
+    placed = members.select("bucket", "id", "comp", "weight").join(buckets, "bucket").withColumn(
+        "block", F.when(is_outer, F.pmod(draw, "outer")).otherwise(F.col("outer") + F.pmod(draw, "inner"))).withColumn(
+        "blocks", F.when(is_outer, F.col("outer") + F.col("inner")).otherwise(F.col("outer")))
+    dealt = placed.join(samples, "id").select(
+        "bucket", "block", "id", "comp", "weight", "samples", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        block, weight = group.column("block").to_numpy(), group.column("weight").to_numpy()
+        comp = group.column("comp").combine_chunks().dictionary_encode()
+        comp = (comp.chunk(0) if isinstance(comp, pa.ChunkedArray) else comp).indices.to_numpy()
+        drawn = group.column("samples").combine_chunks().flatten().to_numpy().reshape(len(block), -1)
+        x, y = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        agree = np.zeros((len(x), len(y)), np.uint8)
+        for k in range(drawn.shape[1]):
+            agree += drawn[x, k][:, None] == drawn[y, k][None, :]
+        good = (agree >= least) & (comp[x][:, None] != comp[y][None, :])
+        u, v = weight[x][:, None], weight[y][None, :]
+        good &= np.minimum(u, v) >= (threshold - 1e-6) * np.maximum(u, v)
+        if block.min() == block.max():
+            good = np.triu(good)
+        a, b = np.nonzero(good)
+        ids = group.column("id").combine_chunks()
+        return pa.table({"a": ids.take(pa.array(x[a])), "b": ids.take(pa.array(y[b]))})
+
+    id_type = members.schema["id"].dataType.simpleString()
+    met = dealt.groupBy("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).applyInArrow(
+        compare, f"a {id_type}, b {id_type}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between texts (id, text), and components (id, label) of those that have any."""
     sent = texts.sparkSession.sparkContext.broadcast(idf)  # of fixed size
@@ -320,6 +370,14 @@ def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD)
         label = cut(components(links))
         members = cut(members.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label"))
         turn += 1
+    pairs = open_pairs(members, samples, threshold)
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = cut(pairs)
+    if not pairs.isEmpty():
+        found = cut(verify(pairs, texts, sent, threshold))
+        links = found if links is None else links.unionByName(found)
+        label = cut(components(links))
     if links is None:
         links = pairs.withColumn("similarity", F.lit(1.0))
         label = pairs.select(F.col("a").alias("id"), F.col("b").alias("label"))

@@ -201,6 +201,27 @@ def test_near_classes(spark, odd_docs, no_docs):
     assert N.near_classes(no_docs).count() == 0
 
 
+def test_near_pairs_off_centre(spark):
+    """Texts changed from one base meet in hot buckets, but each is near to one other text only, often not next in order."""
+    rng = random.Random(1)
+    word = lambda: f"w{rng.randrange(10**9)}"
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = word()
+        return words
+
+    base = [word() for _ in range(200)]
+    texts = [changed(base, 9) for _ in range(1200)]
+    texts = [" ".join(t) for t in texts + [changed(t, 3) for t in texts[:600]]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in N.near_classes(docs).collect()}
+    sketch = N.frequency_sketch(docs)[1]
+    assert N.similarities(texts[:600], texts[1200:], N.idf_table(len(texts), sketch)).min() > 0.82
+    assert [n for n in range(600) if got[n] != got[1200 + n]] == []
+
+
 def test_weighted_similarity():
     idf = np.ones(1 << N.SKETCH_BITS, np.float32)
     a, b = "a b c d e f g h", "a b c d e f g x"
