@@ -1,12 +1,14 @@
 """Main text of web pages by consensus of hosts.
 
 Each page is read once to score its containers: text of content, without what is in
-boilerplate elements and half of what is in links. The deepest container with most
-of a page's content is its vote, written as a path of tags and generalised classes
-(digits, which number posts, become ``#``). Spark counts the votes of each host; the
+boilerplate elements and half of what is in links. From the deepest container with most
+of a page's content it climbs to the nearest article or main around it; where there is
+none, to the lowest container that holds all text outside boilerplate. That is the
+page's vote, written as a path of tags and generalised classes (digits, which number
+posts, become ``#``). Spark counts the votes of each host; the
 path with most wins, ties go to the one with more characters, then to the greater
 path. Pages are then read again and the text is taken from the container on the
-winning path; a page that has none, or whose host has fewer than ``min_pages``
+winning path, from all of them in page order if several stand on it; a page that has none, or whose host has fewer than ``min_pages``
 pages, keeps its own best container.
 
 What is left out inside the container: menus, headers, footers, sidebars, notices,
@@ -152,38 +154,51 @@ def path_of(node: Node) -> str:
     return ">".join(reversed(steps))
 
 
-def _scores(root: Node) -> dict[int, tuple[Node, float]]:
-    """Content of each container, by node."""
-    out, open_sums = {}, [0.0]
+def _scores(root: Node) -> dict[int, tuple[Node, float, int]]:
+    """Content of each container and of the root, by node, and its characters where links count in full."""
+    out, open_sums = {}, [(0.0, 0)]
     for item, ends in _walk(root):
         if isinstance(item, str):
-            open_sums[-1] += len(item.strip())
+            n = len(item.strip())
+            open_sums[-1] = (open_sums[-1][0] + n, open_sums[-1][1] + n)
         elif not ends:
-            open_sums.append(0.0)
+            open_sums.append((0.0, 0))
         else:
-            held = open_sums.pop() * (0.5 if item.tag == "a" else 1)
-            if open_sums:
-                open_sums[-1] += held
-            if item.tag in CONTAINERS:
-                out[id(item)] = (item, held)
+            held, full = open_sums.pop()
+            held *= 0.5 if item.tag == "a" else 1
+            open_sums[-1] = (open_sums[-1][0] + held, open_sums[-1][1] + full)
+            if item.tag in CONTAINERS or item is root:
+                out[id(item)] = (item, held, full)
     return out
 
 
-def best_container(root: Node, path: str | None = None) -> Node | None:
-    """The container on ``path`` with most content; without one the deepest with most of the page's content."""
+def best_containers(root: Node, path: str | None = None) -> list[Node]:
+    """All containers with content on ``path``, in page order; without one the page's own best container.
+
+    That is the nearest article or main around the deepest container with most of the page's content, or else the
+    lowest container that holds all of it.
+    """
     scores = list(_scores(root).values())
     if path:
-        on_path = [(s, n) for n, (node, s) in enumerate(scores) if path_of(node) == path]
-        if on_path and max(on_path)[0] > 0:
-            return scores[max(on_path, key=lambda x: (x[0], -x[1]))[1]][0]
-    top = max((s for _, s in scores), default=0)
+        on_path = {id(node) for node, s, _ in scores if s > 0 and path_of(node) == path}
+        if on_path:
+            return [node for node, ends in _walk(root) if not ends and id(node) in on_path]
+    top = max(s for _, s, _ in scores)
     if top <= 0:
-        return None
+        return []
     # Containers end in order from the deepest outwards: the first that holds most is the deepest.
-    return next(node for node, s in scores if s >= MOST * top)
+    best = next(n for n, (_, s, _) in enumerate(scores) if s >= MOST * top)
+    node = scores[best][0]
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    if node is not None:
+        return [node]
+    # From the deepest outwards the first that holds all; one beside it cannot. The root comes last.
+    whole = next(node for node, _, full in scores[best:] if full == scores[-1][2])
+    return [whole]
 
 
-def text_of_node(root: Node) -> str:
+def text_of_nodes(nodes: list[Node]) -> str:
     blocks, held = [], []
 
     def close():
@@ -192,30 +207,31 @@ def text_of_node(root: Node) -> str:
             blocks.append(joined)
         held.clear()
 
-    for item, _ in _walk(root):
-        if isinstance(item, str):
-            held.append(item)
-        elif item.tag in BLOCKS:
-            close()
-        elif item.tag == "br":
-            held.append(" ")
-    close()
+    for node in nodes:
+        for item, _ in _walk(node):
+            if isinstance(item, str):
+                held.append(item)
+            elif item.tag in BLOCKS:
+                close()
+            elif item.tag == "br":
+                held.append(" ")
+        close()
     return "\n".join(blocks)
 
 
 def vote(page: str | None) -> tuple[str | None, int]:
     """Path and content of a page's own best container."""
     root = parse(page or "")
-    best = best_container(root)
-    return (None, 0) if best is None else (path_of(best), int(_scores(root)[id(best)][1]))
+    best = best_containers(root)
+    return (path_of(best[0]), int(_scores(root)[id(best[0])][1])) if best else (None, 0)
 
 
 def extract(page: str | None, path: str | None = None) -> str:
-    """Main text of a page, from the container on ``path`` if it has that."""
+    """Main text of a page, from the containers on ``path`` if it has any."""
     if not page:
         return ""
     root = parse(page)
-    return text_of_node(best_container(root, path) or root)
+    return text_of_nodes(best_containers(root, path) or [root])
 
 
 def winning_paths(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:

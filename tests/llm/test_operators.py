@@ -341,6 +341,29 @@ def test_extraction_by_consensus(spark):
     assert H.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_extraction_of_whole_articles(spark):
+    long, short = "many words of the long part {0} " * 20, "few words of the short part {0}"
+    kinds = {
+        "sections": ("<body><nav>menu</nav><article><h1>T {0}</h1><section><p>" + long + "</p></section><section><p>" + short
+                     + "</p></section></article>", "T {0}\n" + long + "\n" + short),
+        "body": ("<body><main><article><h1>T {0}</h1><div class=body><p>" + long + "</p></div></article></main><footer>f</footer>", "T {0}\n" + long),
+        "plain": ("<body><div class=sidebar>side</div><div id=w><h1>T {0}</h1><div class=body><p>" + long + "</p></div><p>" + short
+                  + "</p></div>", "T {0}\n" + long + "\n" + short),
+        "split": ("<body><main><article><p>" + long + "</p></article><aside>ad</aside><article><p>" + short + "</p></article></main>",
+                  long + "\n" + short),
+        "link": ("<body><a href=x><div><p>" + long + "</p></div></a>" + short, long + "\n" + short),
+        "bare": (short + "<div><p>" + long + "</p></div>", short + "\n" + long),
+    }
+    rows, want = [], {}
+    for kind, (page, text) in kinds.items():
+        for n in range(4):
+            want[len(rows)] = "\n".join(" ".join(x.split()) for x in text.format(n).split("\n"))
+            rows.append((len(rows), f"http://{kind}.example/{n}", page.format(n)))
+    for shown in (rows, [(n, None, page) for n, _, page in rows if "<aside>" not in page]):  # by the host's vote, and each for itself
+        got = H.extract_pages(spark.createDataFrame(shown, "page_id long, url string, html string"))
+        assert {r.page_id: r.text for r in got.collect()} == {n: want[n] for n, _, _ in shown}
+
+
 def test_extraction_of_given_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
