@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, mixing, near_dup, packing, quality, secret_scan, token_counts, urls
+from . import (exact_dedup, html_extract, language_id, mixing, near_dup, packing, periodic, quality, secret_scan, spelling, token_counts,
+               token_files, urls)
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -107,3 +108,39 @@ def main_texts(spark, sf):
 @query("op10_quality_rules")
 def rules(spark, sf):
     return quality.quality_rules(table(spark, sf, "documents"))
+
+
+def with_periods(docs):
+    """Documents of which, by a checksum of the id, one in ten repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.expr(
+        r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")).alias("words"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    placed = words.withColumn("n", n).withColumn("a", F.when(n > 0, g % n)).withColumn(
+        "p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    return placed.select("doc_id", F.expr("""CASE WHEN p IS NULL THEN text ELSE concat_ws(' ', transform(sequence(0L, n - 1L),
+        i -> words[int(if(i < a, i, a + (i - a) % p))])) END""").alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark, sf):
+    found = periodic.find_runs(with_periods(table(spark, sf, "documents")))
+    # Of runs with the same exponent the first in the list stays.
+    best = F.expr("""aggregate(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>),
+        (b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)""")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark, sf):
+    return spelling.variants(spelling.count_words(table(spark, sf, "documents"), change=spelling.drop_letter))
+
+
+@query("op13_token_files")
+def token_ids(spark, sf):
+    docs = table(spark, sf, "documents")
+    return token_files.read(spark, token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), closing_id=1))
