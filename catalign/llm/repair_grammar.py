@@ -86,16 +86,19 @@ class Grammar:
         return symbols[begin - before:end - before]
 
 
-def _occurrences(rank: np.ndarray, none: int) -> np.ndarray:
-    """Places to replace: of overlapping pairs the one of lower rank, of a pair that overlaps itself every other one."""
-    edge = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
-    size = np.diff(np.concatenate([edge, [len(rank)]]))
+def _occurrences(at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places to replace, with their ranks: of overlapping pairs the one of lower rank, of a pair that overlaps itself every other one."""
+    beside = at[1:] == at[:-1] + 1
+    edge = np.flatnonzero(np.concatenate([[True], ~beside | (rank[1:] != rank[:-1])])[:len(at)])
+    size = np.diff(np.concatenate([edge, [len(at)]]))
     value = rank[edge]
-    before = np.concatenate([[none], value[:-1]])
-    after = np.concatenate([value[1:], [none]])
-    wins = (value < none) & (value < before) & (value < after)
-    begin, n = edge[wins], (size[wins] + 1) // 2
-    return np.repeat(begin, n) + 2 * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    touches = beside[edge[1:] - 1]
+    wins = np.ones(len(edge), bool)
+    wins[1:] &= ~touches | (value[1:] < value[:-1])
+    wins[:-1] &= ~touches | (value[:-1] < value[1:])
+    n = (size[wins] + 1) // 2
+    place = np.repeat(at[edge[wins]], n) + 2 * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return place, np.repeat(value[wins], n)
 
 
 def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> Grammar:
@@ -120,22 +123,22 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> Grammar:
         left, right = np.zeros(base + made, bool), np.zeros(base + made, bool)
         first, second = pairs >> kind(shift), pairs & kind((1 << shift) - 1)
         left[first] = right[second] = True
-        maybe = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        at = np.minimum(np.searchsorted(pairs, key[maybe]), len(pairs) - 1)
-        hit = pairs[at] == key[maybe]
-        rank = np.full(len(key), len(pairs))
-        rank[maybe[hit]] = place[at[hit]]
-        where = _occurrences(rank, len(pairs))
-        used = np.flatnonzero(np.bincount(rank[where], minlength=len(pairs)) > 1)
+        maybe = np.flatnonzero(left.take(seq[:-1]) & right.take(seq[1:]))
+        key = key[maybe]
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        hit = pairs[at] == key
+        where, rank = _occurrences(maybe[hit], place[at[hit]])
+        used = np.flatnonzero(np.bincount(rank, minlength=len(pairs)) > 1)
         symbol = np.full(len(pairs), -1)
         symbol[used] = base + made + np.arange(len(used))
-        where = where[symbol[rank[where]] >= 0]
+        symbol = symbol[rank]
+        where, symbol = where[symbol >= 0], symbol[symbol >= 0]
         new = np.stack([first[order[used]], second[order[used]]], axis=1).astype(np.int64)
         known = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         lengths.append(np.where(new < base, 1, known[np.maximum(new - base, 0)] if made else 1).sum(axis=1))
         rules.append(new)
         made += len(used)
-        seq[where] = symbol[rank[where]]
+        seq[where] = symbol
         stays = np.ones(len(seq), bool)
         stays[where + 1] = False
         seq = seq[stays]

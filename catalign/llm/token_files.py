@@ -1,10 +1,9 @@
 """Token ids of all documents in files of Re-Pair grammars, in ascending order of the documents.
 
-Writing. Texts are tokenized where they are read. Words between ASCII white space are
-tokenized once and remembered, as no tokenizer that drops white space looks across it. The
-ids travel, two or four bytes each, to range partitions of the document id; a partition
-writes its documents as blocks of about ``block_ids`` ids. A block is one row of a Parquet
-folder, so that Spark's own commit protects the files on any store and a reader can skip
+Writing. Texts travel once, to range partitions of the document id; each partition
+tokenizes its documents in order and writes them as blocks of about ``block_ids`` ids.
+Words between ASCII white space are tokenized once and remembered, as a tokenizer that
+drops white space does not look across it. A block is one row of a Parquet folder, so that Spark's own commit protects the files on any store and a reader can skip
 blocks by ``first_doc`` and ``last_doc``:
 
 | column | content |
@@ -17,7 +16,7 @@ Reading. Blocks are decoded one by one. What comes before a partition is the sum
 earlier ones, of which there are at most ``MAX_PARTS``.
 
 Edge cases: a null or empty text is the closing id alone. Null ids come first. Rows that
-repeat an id are documents of their own, the shorter first; rows equal in full are dealt to
+repeat an id are documents of their own, the one of fewer bytes first; rows equal in full are dealt to
 several partitions if they are many. A document longer than a block is a block of its own.
 """
 
@@ -36,13 +35,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from ..session import cut, scratch_path
+from ..session import scratch_path
 from .bpe_transducer import byte_symbols
 from .common import text_chunks
 from .repair_grammar import Grammar, compress
 
 BLOCK_IDS = 1 << 18
-IDS_PER_PART = 1 << 22
+#: Text of one partition, about.
+BYTES_PER_PART = 1 << 24
 MAX_PARTS = 20_000
 #: Words and ids remembered at a time.
 HELD_WORDS, HELD_IDS = 3 << 18, 1 << 23
@@ -77,10 +77,11 @@ class Words:
             [t.id for w in (letters.encode().decode("latin-1").translate(self.symbols), sign) for t in self.model.tokenize(w)]
             == self.library.encode(letters.upper() + sign, add_special_tokens=False).ids
             for letters, sign in [(chr(c) * 2 + "at", s) for c in [*range(97, 123), *range(224, 247), *range(248, 255)] for s in SIGNS])
+        self.signs = {s: [t.id for t in self.model.tokenize(s)] for s in SIGNS}
         self._forget()
 
     def _forget(self) -> None:
-        self.known = Numbered()
+        self.known, self.letters = Numbered(), {}
         self.ids = np.array([self.closing_id], np.uint32)
         self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
 
@@ -99,8 +100,11 @@ class Words:
             plain = PLAIN.fullmatch(w.lower()) if self.is_plain else None
             if plain:
                 letters, sign = plain.groups()
-                ids = [t.id for t in self.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols))]
-                found.append(ids + [t.id for t in self.model.tokenize(sign)] if sign else ids)
+                ids = self.letters.get(letters)
+                if ids is None:
+                    symbols = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols)
+                    ids = self.letters[letters] = [t.id for t in self.model.tokenize(symbols)]
+                found.append(ids + self.signs[sign] if sign else ids)
             else:
                 found.append(None)
         rest = [n for n, f in enumerate(found) if f is None]
@@ -138,54 +142,40 @@ def number_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def tokenize(docs: DataFrame, path: str, closing_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n (ids with the closing one), ids (little-endian, as wide as the vocabulary needs)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        words = load(path, closing_id)
-        kind = np.dtype(number_type(words.size))
-        for part, texts in text_chunks(batches):
-            ids, sizes = words.encode(texts)
-            ends = np.concatenate([[0], np.cumsum(sizes)]) * kind.itemsize
-            packed = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(kind).tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), packed.cast(pa.binary())], names=["doc_id", "n", "ids"])
-
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, n long, ids binary")
-
-
 def write(docs: DataFrame, path: str, closing_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-          block_ids: int = BLOCK_IDS, ids_per_part: int = IDS_PER_PART) -> str:
+          block_ids: int = BLOCK_IDS, bytes_per_part: int = BYTES_PER_PART) -> str:
     """Write the files below ``out``, a new folder by default, and return it. ``path`` is the vocabulary file on every node."""
     spark = docs.sparkSession
     out = out or scratch_path(spark, "token-files")
     size = load(path, closing_id).size
-    tokens = cut(tokenize(docs, path, closing_id, id_col, text_col)).withColumn("place", F.monotonically_increasing_id())
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    parts = min(MAX_PARTS, max(1, -(-total // ids_per_part)))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("place")]
-    id_type = tokens.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumns(
+        {"n_bytes": F.octet_length("text").cast("bigint"), "place": F.monotonically_increasing_id()})
+    total = texts.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = min(MAX_PARTS, max(1, -(-total // bytes_per_part)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n_bytes"), F.col("place")]
+    id_type = texts.schema["doc_id"].dataType.simpleString()
     fields = {"part": "int", "block": "int", "start": "long", "n_ids": "long", "first_doc": id_type, "last_doc": id_type,
               "doc_ids": f"array<{id_type}>", "doc_sizes": "array<long>", "base": "int", "width": "int", "rules": "binary",
               "lengths": "binary", "sequence": "binary"}
 
     def run(batches):
-        part, block, start, held = TaskContext.get().partitionId(), 0, 0, []
-        waiting = 0
-        for batch in batches:
-            for doc, n, ids in zip(batch.column("doc_id"), batch.column("n").to_pylist(), batch.column("ids")):
+        words = load(path, closing_id)
+        part, block, start, held, waiting = TaskContext.get().partitionId(), 0, 0, [], 0
+        for docs, texts in text_chunks(batches):
+            ids, sizes = words.encode(texts)
+            upto = 0
+            for doc, n in zip(docs.column(0).to_pylist(), sizes.tolist()):
                 if held and waiting + n > block_ids:
                     yield row(part, block, start, held)
                     block, start, held, waiting = block + 1, start + waiting, [], 0
-                held.append((doc.as_py(), n, ids.as_py()))
+                held.append((doc, n, ids[upto:upto + n]))
+                upto += n
                 waiting += n
         if held:
             yield row(part, block, start, held)
 
     def row(part, block, start, held):
-        ids = np.frombuffer(b"".join(d[2] for d in held), number_type(size))
+        ids = np.concatenate([d[2] for d in held])
         g = compress(ids, size)
         kind = np.dtype(number_type(size + len(g.rules)))
         values = [part, block, start, len(ids), held[0][0], held[-1][0], [d[0] for d in held], [d[1] for d in held], size, kind.itemsize,
@@ -194,7 +184,7 @@ def write(docs: DataFrame, path: str, closing_id: int, out: str | None = None, i
 
     ddl = ", ".join(f"{k} {t}" for k, t in fields.items())
     schema = to_arrow_schema(StructType.fromDDL(ddl))
-    tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids").mapInArrow(
+    texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(
         run, ddl).write.parquet(out)
     return out
 

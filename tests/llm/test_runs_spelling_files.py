@@ -173,8 +173,8 @@ def test_grammar_round_trip_and_ranges():
 
 def plain_files(docs, path, closing_id):
     library, start, out = Tokenizer.from_file(path), 0, []
-    coded = [(d, library.encode(t or "", add_special_tokens=False).ids + [closing_id]) for d, t in docs]
-    for d, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]))):
+    coded = [(d, len((t or "").encode()), library.encode(t or "", add_special_tokens=False).ids + [closing_id]) for d, t in docs]
+    for d, _, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
@@ -185,7 +185,7 @@ def test_token_files(spark, small, odd_docs, no_docs, tmp_path, size):
     docs = queries.table(spark, small, "documents").select("doc_id", "text").unionByName(
         odd_docs.selectExpr("doc_id + 1000000 AS doc_id", "text")).unionByName(
         spark.createDataFrame([(None, "no id"), (None, "no id, longer")], "doc_id long, text string"))
-    path = token_files.write(docs, WORD_BPE, 1, block_ids=size, ids_per_part=size * 40)
+    path = token_files.write(docs, WORD_BPE, 1, block_ids=size, bytes_per_part=size * 100)
     want = plain_files([tuple(r) for r in docs.collect()], WORD_BPE, 1)
     assert rows_of(token_files.read(spark, path)) == sorted(want, key=str)
     one = want[len(want) // 2]
@@ -196,7 +196,7 @@ def test_token_files(spark, small, odd_docs, no_docs, tmp_path, size):
 
 def test_token_files_of_repeated_rows(spark):
     docs = spark.createDataFrame([(5, "same text here")] * 300 + [(5, "other"), (4, None)], "doc_id long, text string")
-    path = token_files.write(docs, WORD_BPE, 1, block_ids=64, ids_per_part=200)
+    path = token_files.write(docs, WORD_BPE, 1, block_ids=64, bytes_per_part=700)
     assert rows_of(token_files.read(spark, path)) == sorted(plain_files([tuple(r) for r in docs.collect()], WORD_BPE, 1), key=str)
     assert spark.read.parquet(path).select("part").distinct().count() > 2
 
