@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -77,7 +78,7 @@ class Words:
             [t.id for w in (letters.encode().decode("latin-1").translate(self.symbols), sign) for t in self.model.tokenize(w)]
             == self.library.encode(letters.upper() + sign, add_special_tokens=False).ids
             for letters, sign in [(chr(c) * 2 + "at", s) for c in [*range(97, 123), *range(224, 247), *range(248, 255)] for s in SIGNS])
-        self.signs = {s: [t.id for t in self.model.tokenize(s)] for s in SIGNS}
+        self.signs = {s: self._model(s) for s in SIGNS}
         self._forget()
 
     def _forget(self) -> None:
@@ -88,28 +89,32 @@ class Words:
     def _learn(self) -> None:
         found = self._tokens([w.decode() for w in self.known.new])
         self.known.new = []
-        sizes = np.array([len(f) for f in found], np.int64)
+        sizes = np.array([len(f) for f in found], np.int64) // 4
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.ids = np.concatenate([self.ids, np.array([*chain.from_iterable(found)], np.uint32)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
         self.sizes = np.concatenate([self.sizes, sizes])
 
-    def _tokens(self, words: list[str]) -> list[list[int]]:
+    def _model(self, letters: str) -> bytes:
+        """Ids of lower-case letters or a sign, four bytes each: plain bytes are no burden for Python's garbage collection."""
+        symbols = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def _tokens(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Plain letters, with or without one sign behind them, go to the library's model at once."""
-        found: list[list[int] | None] = []
-        for w in words:
+        found, rest, known = [], [], self.letters
+        for n, w in enumerate(words):
             plain = PLAIN.fullmatch(w.lower()) if self.is_plain else None
             if plain:
                 letters, sign = plain.groups()
-                ids = self.letters.get(letters)
+                ids = known.get(letters)
                 if ids is None:
-                    symbols = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols)
-                    ids = self.letters[letters] = [t.id for t in self.model.tokenize(symbols)]
+                    ids = known[letters] = self._model(letters)
                 found.append(ids + self.signs[sign] if sign else ids)
             else:
-                found.append(None)
-        rest = [n for n, f in enumerate(found) if f is None]
+                found.append(b"")
+                rest.append(n)
         for n, e in zip(rest, self.library.encode_batch_fast([words[n] for n in rest], add_special_tokens=False)):
-            found[n] = e.ids
+            found[n] = array("I", e.ids).tobytes()
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
