@@ -85,26 +85,33 @@ def flag_hits(rows: DataFrame, bitmaps: DataFrame, slots: list[Column], name: st
     return joined.withColumn(name, F.col("_bits").isNotNull() & F.coalesce(hit, F.lit(False))).drop("_at", "_block", "_bits")
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits_per_row: int = 12, hashes: int = 3) -> DataFrame:
-    """Documents whose id is not in ``ids``; the texts of most that stay are not shuffled.
-
-    A Bloom filter of the ids lets documents pass that cannot be meant; the
-    rest, ids to drop and a few false hits, are anti-joined exactly.
-    """
-    flagged, ids = _flag_ids(docs, ids, key, bits_per_row, hashes)
-    passed = flagged.filter(~F.col("_maybe")).select("doc.*")
-    held = flagged.filter("_maybe").select("doc")
-    return passed.unionByName(without(held, held["doc"][key], ids, "_drop").select("doc.*"))
+def row_key(doc_id, digest) -> Column:
+    """Key of a document and its text, for rows whose id may be repeated or null."""
+    doc_id, digest = (F.col(c) if isinstance(c, str) else c for c in (doc_id, digest))
+    return F.substring(F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.hex(digest)), 256)), 1, 16)
 
 
-def without(rows: DataFrame, value: Column, ids: DataFrame, name: str) -> DataFrame:
-    """Rows whose value is not among the distinct ``ids``.
+def keep_one(docs: DataFrame, key: Column, lost: DataFrame, twice: DataFrame, bits_per_row: int = 12, hashes: int = 3) -> DataFrame:
+    """Documents whose key is not in ``lost``, and one only of those that share a key in ``twice``.
 
-    An outer join: an anti join would be pushed below the filter that keeps most
-    rows from being shuffled.
+    A Bloom filter of the keys lets documents pass that cannot be meant, so the texts of most
+    are not shuffled; the others are joined exactly. Of several rows with one key the one
+    with the smallest hash of its columns stays.
     """
-    marked = ids.select(name, F.lit(True).alias("_meant"))
-    return rows.join(marked, value.eqNullSafe(marked[name]), "left").filter("_meant IS NULL").select(*rows.columns)
+    marks = cut(lost.select("row", F.lit(True).alias("_lost")).distinct().unionByName(twice.select("row", F.lit(False).alias("_lost")).distinct()))
+    blocks = filter_blocks(marks.count(), bits_per_row)
+    slots = marks.select(F.explode(F.array(*filter_slots(F.col("row"), blocks, hashes))).alias("slot"))
+    # The document travels as one value, so that no column of it can clash.
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("_row"))
+    flagged = flag_hits(keyed, cut(build_filter(slots)), filter_slots(F.col("_row"), blocks, hashes))
+    passed = flagged.filter(~F.col("_maybe")).select("doc")
+    held = flagged.filter("_maybe").select("doc", "_row")
+    judged = held.join(marks, held["_row"] == marks["row"], "left")
+    single = judged.filter("_lost IS NULL").select("doc")
+    if twice.isEmpty():
+        return passed.unionByName(single).select("doc.*")
+    first = judged.filter("NOT _lost").groupBy("_row").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
+    return passed.unionByName(single).unionByName(first).select("doc.*")
 
 
 def likely_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits_per_row: int = 12, hashes: int = 3) -> DataFrame:

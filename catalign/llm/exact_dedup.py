@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import attach_groups, build_filter, filter_blocks, filter_slots, flag_hits, text_of, without
+from .common import attach_groups, build_filter, filter_blocks, filter_slots, flag_hits, keep_one, row_key, text_of
 
 HASHES = 2
 BITS_PER_ROW = 16
@@ -50,7 +50,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without all but the largest id of each group of equal texts.
+    """Documents without all but the largest id of each group of equal texts; of rows that share id and text one stays.
 
     Only the texts of rows that may be repeated are shuffled.
     """
@@ -59,11 +59,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bitmaps, slots = repeated_filter(digests, total)
     maybe = flag_hits(digests, bitmaps, slots).filter("_maybe").drop("_maybe")
     groups = cut(maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    lost = attach_groups(maybe, groups, "digest", "group_size", total, "inner").filter(
-        ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_lost"))
-    # The document travels as one value, so that no column of it can clash.
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.unhex(F.sha2(text_of(docs, text_col), 256)).alias("digest"))
-    flagged = flag_hits(keyed, bitmaps, slots)
-    passed = flagged.filter(~F.col("_maybe")).select("doc.*")
-    held = flagged.filter("_maybe").select("doc")
-    return passed.unionByName(without(held, held["doc"][id_col], lost.distinct(), "_lost").select("doc.*"))
+    judged = cut(attach_groups(maybe, groups.filter("group_size > 1"), "digest", "group_size", total, "inner").select(
+        row_key("doc_id", "digest").alias("row"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")))
+    lost = judged.filter("NOT kept").select("row")
+    twice = judged.filter("kept").groupBy("row").count().filter("count > 1").select("row")
+    return keep_one(docs, row_key(docs[id_col], F.unhex(F.sha2(text_of(docs, text_col), 256))), lost, twice)

@@ -22,18 +22,22 @@
    those that agree in fewer than AGREE of all samples: at the threshold that happens
    to about one pair in a hundred thousand.
 5. Pairs at or above the threshold are links. Linked documents are contracted to
-   components, and buckets that hold several components are tried again with other
-   centres, drawn anew for each bucket, until a round adds no link.
+   components. One round does nearly all; further rounds with other centres found one link
+   in 50,000 pairs.
 6. What centres and neighbours leave open is finished exactly: in each bucket of more
    than SMALL documents that still holds several components, all documents outside its
-   largest component are compared by their samples with all of other components, block
-   against block, each pair of blocks a group of its own. After that every two documents
-   that share a band are in one component or were tested.
+   largest component are compared with all of other components, block against block,
+   each pair of blocks a group of its own. Blocks carry the samples and the shingles of
+   their documents; pairs that agree in enough samples are verified there and then, and
+   of the links only a spanning forest leaves the task, at most one row for each document
+   of the two blocks. After that every two documents that share a band are in one
+   component or were tested. Components found before are contracted to one node each.
+
+Documents are known by a digest of their text, so repeated and null ids do no harm.
 
 Edge cases: texts without words are near-duplicates of nothing but equal texts; a
-null text equals the empty text. Rows that repeat an id are equal or near each by
-its text; the id then stands in one class only if its texts do. Rows with a null
-id are left out.
+null text equals the empty text. Rows that repeat an id, or have none, are judged each
+by its text. The id of a class is the smallest id in it, null only if all are null.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
-from .common import attach_groups, drop_ids, likely_ids, text_chunks, text_of
+from .common import attach_groups, keep_one, likely_ids, row_key, text_chunks, text_of
 from .text_scan import Scan
 
 WORDS = 5
@@ -56,6 +60,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SKETCH_BITS, BLOCK_BITS = 20, 12
 RARE, IDF_FLOOR = 1e-3, 0.75
+#: Bits for how often a shingle occurs in a text.
+TF_BITS = 20
 SMALL, AHEAD, AGREE = 6, 2, 26
 #: Members of one part of a bucket, about.
 PART = 500
@@ -244,33 +250,32 @@ def verify(pairs: DataFrame, texts: DataFrame, sent: Broadcast, threshold: float
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every id in edges (a, b): the smallest id of its connected component.
 
-    Large-star and small-star steps in turn: each hangs neighbours onto the smallest
-    one. What a step reads is combined in map tasks first, so a hub is no hot group.
+    Large-star and small-star steps in turn: each hangs neighbours onto the smallest one.
+    What a step reads is combined in map tasks first, and what belongs to a hub is
+    broadcast to its neighbours, so a hub is no hot group.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
+    before, n = None, pairs.count()
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = attach_groups(both.filter("v > u"), least, "u", "n", 2 * n, "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        n, total = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, total) == before:
             break
-        before = now
+        before = n, total
     roots = pairs.select(F.col("v").alias("id")).distinct()
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("id")))
 
 
-def candidates(members: DataFrame, turn: int, threshold: float) -> DataFrame:
+def candidates(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different components that meet in a bucket: with its centres, and with the next ones in order."""
     row = F.struct("id", "comp", "weight")
-    draws = [F.xxhash64(F.lit(2 * turn + k), "bucket", "id") for k in range(2)]
-    if turn == 0:
-        draws[0] = F.struct(-F.col("met"), "id")
+    draws = [F.struct(-F.col("met"), "id"), F.xxhash64("bucket", "id")]
     centres = cut(members.groupBy("bucket").agg(
         *[F.min_by(row, d).alias(f"c{k}") for k, d in enumerate(draws)], F.count("*").alias("size"),
         F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "c0", "c1", "size"))
@@ -293,8 +298,76 @@ def agreeing(pairs: DataFrame, samples: DataFrame, least: int = AGREE) -> DataFr
     return both.filter(same >= least).select("a", "b")
 
 
-def open_pairs(members: DataFrame, samples: DataFrame, threshold: float, least: int = AGREE) -> DataFrame:
-    """All pairs (a, b) of different components that meet in a bucket of more than SMALL and agree in enough samples.
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles): the shingles of each text and how often they occur, eight bytes each, in order."""
+    def run(batches):
+        for part, chunk in text_chunks(batches):
+            owner, h, tf = shingles(chunk)
+            packed = (h << np.uint64(TF_BITS) | np.minimum(tf, (1 << TF_BITS) - 1).astype(np.uint64)).astype("<u8")
+            at = np.searchsorted(owner, np.arange(len(chunk) + 1))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles binary")
+
+
+def cross_similarities(left: list[bytes], right: list[bytes], idf: np.ndarray, width: int = 2048) -> np.ndarray:
+    """Weighted Jaccard similarity of each of some shingle sets with each of others.
+
+    The smaller of two weights of a shingle is a sum over the frequencies up to the smaller
+    one, so what two texts share is a product of flags, taken by slices of shingles that
+    occur on both sides.
+    """
+    sets = [np.frombuffer(b, "<u8") for b in left + right]
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    h = known >> np.uint64(TF_BITS)
+    w = weigh(h, (known & np.uint64((1 << TF_BITS) - 1)).astype(np.int64), idf).astype(np.float64)
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    step = w - np.where(new, 0, np.concatenate([[0], w[:-1]]))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))[at]
+    total = np.bincount(owner, w[at], len(sets))
+    n = at - first + 1
+    flag = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    owner = np.repeat(owner, n)
+    is_left = owner < len(left)
+    seen = [np.bincount(flag[side], minlength=len(h)) > 0 for side in (is_left, ~is_left)]
+    column = np.cumsum(seen[0] & seen[1]) - 1
+    keep = (seen[0] & seen[1])[flag]
+    flag, owner = flag[keep], owner[keep]
+    order = np.argsort(flag, kind="stable")
+    flag, owner = flag[order], owner[order]
+    place = column[flag]
+    shared = np.zeros((len(left), len(right)))
+    for begin in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        part = slice(*np.searchsorted(place, [begin, begin + width]))
+        x, y = np.zeros((len(left), width)), np.zeros((len(right), width))
+        o, c, f = owner[part], place[part] - begin, flag[part]
+        is_left = o < len(left)
+        x[o[is_left], c[is_left]] = 1
+        y[o[~is_left] - len(left), c[~is_left]] = step[f[~is_left]]
+        shared += x @ y.T
+    return shared / np.maximum(total[:len(left), None] + total[None, len(left):] - shared, 1e-12)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the links (a, b) between numbered nodes join two trees, taken in order."""
+    parent = list(range(int(max(a.max(initial=-1), b.max(initial=-1))) + 1))
+    kept = []
+    for n, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            kept.append(n)
+    return kept
+
+
+def open_links(members: DataFrame, texts: DataFrame, samples: DataFrame, sent: Broadcast, threshold: float, least: int = AGREE) -> DataFrame:
+    """Links (a, b, similarity, comp_a, comp_b) that join all components which meet in a bucket of more than SMALL and are linked.
 
     A member outside the bucket's largest component meets all blocks, one inside only the blocks of those outside.
     """
@@ -305,17 +378,19 @@ def open_pairs(members: DataFrame, samples: DataFrame, threshold: float, least:
         "bucket", "main", F.ceil((F.col("size") - F.col("inside")) / BLOCK).alias("outer"), F.ceil(F.col("inside") / BLOCK).alias("inner")))
     is_outer = F.col("comp") != F.col("main")
     draw = F.xxhash64(F.lit("block"), "id")
-    placed = members.select("bucket", "id", "comp", "weight").join(buckets, "bucket").withColumn(
+    placed = cut(members.select("bucket", "id", "comp", "weight").join(buckets, "bucket").withColumn(
         "block", F.when(is_outer, F.pmod(draw, "outer")).otherwise(F.col("outer") + F.pmod(draw, "inner"))).withColumn(
-        "blocks", F.when(is_outer, F.col("outer") + F.col("inner")).otherwise(F.col("outer")))
-    dealt = placed.join(samples, "id").select(
-        "bucket", "block", "id", "comp", "weight", "samples", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+        "blocks", F.when(is_outer, F.col("outer") + F.col("inner")).otherwise(F.col("outer"))))
+    sets = shingle_sets(likely_ids(texts, placed.select("id"), "id"))
+    dealt = placed.join(samples.join(sets, "id"), "id").select(
+        "bucket", "block", "id", "comp", "weight", "samples", "shingles",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        block, weight = group.column("block").to_numpy(), group.column("weight").to_numpy()
-        comp = group.column("comp").combine_chunks().dictionary_encode()
-        comp = (comp.chunk(0) if isinstance(comp, pa.ChunkedArray) else comp).indices.to_numpy()
+        block, weight, ids = group.column("block").to_numpy(), group.column("weight").to_numpy(), group.column("id").combine_chunks()
+        comps = group.column("comp").combine_chunks()
+        comp = comps.dictionary_encode().indices.to_numpy()
         drawn = group.column("samples").combine_chunks().flatten().to_numpy().reshape(len(block), -1)
         x, y = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         agree = np.zeros((len(x), len(y)), np.uint8)
@@ -324,16 +399,25 @@ def open_pairs(members: DataFrame, samples: DataFrame, threshold: float, least:
         good = (agree >= least) & (comp[x][:, None] != comp[y][None, :])
         u, v = weight[x][:, None], weight[y][None, :]
         good &= np.minimum(u, v) >= (threshold - 1e-6) * np.maximum(u, v)
-        if block.min() == block.max():
-            good = np.triu(good)
-        a, b = np.nonzero(good)
-        ids = group.column("id").combine_chunks()
-        return pa.table({"a": ids.take(pa.array(x[a])), "b": ids.take(pa.array(y[b]))})
+        rows, columns = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
+        x, y, good = x[rows], y[columns], good[np.ix_(rows, columns)]
+        a = b = sim = np.zeros(0, np.int64)
+        if len(x):
+            held = group.column("shingles").combine_chunks()
+            similar = cross_similarities(*([held[n].as_py() for n in side.tolist()] for side in (x, y)), sent.value)
+            a, b = np.nonzero(good & (similar >= threshold - 1e-9))
+            sim = similar[a, b]
+            order = np.argsort(-sim, kind="stable")
+            a, b, sim = x[a[order]], y[b[order]], sim[order]
+            kept = forest(comp[a], comp[b])
+            a, b, sim = a[kept], b[kept], sim[kept]
+        a_at, b_at = pa.array(a, pa.int64()), pa.array(b, pa.int64())
+        return pa.table({"a": ids.take(a_at), "b": ids.take(b_at), "similarity": pa.array(sim, pa.float64()),
+                         "comp_a": comps.take(a_at), "comp_b": comps.take(b_at)})
 
     id_type = members.schema["id"].dataType.simpleString()
-    met = dealt.groupBy("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).applyInArrow(
-        compare, f"a {id_type}, b {id_type}")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.groupBy("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).applyInArrow(
+        compare, f"a {id_type}, b {id_type}, similarity double, comp_a {id_type}, comp_b {id_type}")
 
 
 def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -348,51 +432,40 @@ def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD)
         "id", "weight", "bucket", band(F.col("at") + 1).alias("next"), band(F.col("at") + 2).alias("after"))
     shared = cut(banded.groupBy("bucket").count().filter("count > 1"))
     # A plain join: a hot bucket has one row in ``shared``, and adaptive execution splits the other side.
-    members = banded.join(shared, "bucket")
-    members = cut(members.withColumn("comp", F.col("id")))
+    members = cut(banded.join(shared, "bucket"))
     # How many others a document meets, over all its buckets.
     met = members.groupBy("id").agg(F.sum("count").alias("met"))
-    members = cut(members.drop("count").join(met, "id"))
+    members = cut(members.drop("count").join(met, "id").withColumn("comp", F.col("id")))
     samples = signed.select("id", "samples")
-    links, tested, label, turn = None, None, None, 0
-    while True:
-        pairs = candidates(members, turn, threshold)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(agreeing(pairs, samples))
-        if pairs.isEmpty():
-            break
-        found = cut(verify(pairs, texts, sent, threshold))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if turn and found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        label = cut(components(links))
-        members = cut(members.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label"))
-        turn += 1
-    pairs = open_pairs(members, samples, threshold)
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    pairs = cut(pairs)
-    if not pairs.isEmpty():
-        found = cut(verify(pairs, texts, sent, threshold))
-        links = found if links is None else links.unionByName(found)
-        label = cut(components(links))
-    if links is None:
-        links = pairs.withColumn("similarity", F.lit(1.0))
-        label = pairs.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    pairs = cut(agreeing(candidates(members, threshold), samples))
+    links = cut(verify(pairs, texts, sent, threshold))
+    label = cut(components(links))
+    members = cut(members.drop("comp", "met").join(label, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label"))
+    joined = cut(open_links(members, texts, samples, sent, threshold))
+    sent.destroy()
+    if not joined.isEmpty():
+        links = links.unionByName(joined.select("a", "b", "similarity"))
+        onto = cut(components(joined.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(
+            F.col("id").alias("_from"), F.col("label").alias("_to")))
+        alone = onto.join(label, onto["_from"] == label["id"], "left_anti").select(F.col("_from").alias("id"), F.col("_to").alias("label"))
+        label = cut(label.join(onto, label["label"] == onto["_from"], "left").select(
+            "id", F.coalesce("_to", "label").alias("label")).unionByName(alone))
     return links, label
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, id) for every document, where id stands for its text; and (id, text) for one document of each text."""
-    kept = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text")).filter("doc_id IS NOT NULL")
-    rows = cut(kept.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")))
+    """(doc_id, id, row, first) for every document, where id is the digest of its text, row the key of document and text, and
+    first the smallest document id with that text; and (id, text) for each text once."""
+    kept = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
+    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
+    rows = cut(kept.select("doc_id", digest.alias("id")))
     total = rows.count()
-    groups = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    owners = cut(attach_groups(rows, groups, "digest", "n", total, "inner").select("doc_id", "id"))
-    copies = owners.filter("doc_id <> id").select("doc_id")
-    return owners, drop_ids(kept, copies).select(F.col("doc_id").alias("id"), "text")
+    groups = cut(rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    owners = cut(attach_groups(rows, groups, "id", "n", total, "inner").select("doc_id", "id", row_key("doc_id", "id").alias("row"), "first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first"))
+    lost = owners.filter(~is_first).select("row")
+    twice = owners.filter(is_first).groupBy("row").count().filter("count > 1").select("row")
+    return owners, keep_one(kept, row_key("doc_id", digest), lost, twice).select(digest.alias("id"), "text")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -403,18 +476,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links, label = near_links(texts, idf_table(n, sketch), threshold)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = cut(label.join(degree, "id", "left"))
-    rows = owners.join(known, "id", "left").select(
-        "doc_id", F.coalesce("label", "id").alias("class_id"), F.col("id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = cut(rows)
-    sizes = cut(rows.groupBy("class_id").agg(F.count("*").alias("class_size")).withColumn("n", F.col("class_size")))
-    return attach_groups(rows, sizes, "class_id", "n", rows.count(), "inner").select(
+    rows = cut(owners.join(known, "id", "left").select(
+        "doc_id", F.coalesce("label", "id").alias("_class"), F.col("first").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    sizes = cut(rows.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).withColumn("n", F.col("class_size")))
+    return attach_groups(rows, sizes, "_class", "n", rows.count(), "inner").select(
         "doc_id", "class_id", "class_size", "copy_of", "n_links")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Documents without all but the smallest id of each class."""
+    """Documents without all but one of each class: the row with the smallest id, of several such the one of the smallest digest."""
     owners, texts = distinct_texts(docs, id_col, text_col)
     n, sketch = frequency_sketch(texts)
     _, label = near_links(texts, idf_table(n, sketch), threshold)
-    lost = owners.filter("doc_id <> id").select("doc_id").unionByName(label.filter("id <> label").select(F.col("id").alias("doc_id")))
-    return drop_ids(docs, lost.select(F.col("doc_id").alias(id_col)), id_col)
+    rows = cut(owners.join(label, "id", "left").select("doc_id", "id", "row", F.coalesce("label", "id").alias("_class")))
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "row")
+    classes = cut(rows.groupBy("_class").agg(F.min(best)["row"].alias("stays"), F.count("*").alias("n")))
+    judged = cut(attach_groups(rows, classes.filter("n > 1"), "_class", "n", rows.count(), "inner").select("row", "stays"))
+    stays = F.col("row") == F.col("stays")
+    lost = judged.filter(~stays).select("row")
+    twice = judged.filter(stays).groupBy("row").count().filter("count > 1").select("row")
+    key = row_key(docs[id_col], F.substring(F.unhex(F.sha2(text_of(docs, text_col), 256)), 1, 16))
+    return keep_one(docs, key, lost, twice)

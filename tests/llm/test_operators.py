@@ -382,3 +382,54 @@ def test_quality(spark, odd_docs, no_docs):
     got = [tuple(r) for r in quality.quality_rules(docs).collect() if len(texts[r.doc_id] or "") < 30000]
     assert sorted(got) == sorted(want)
     assert quality.quality_rules(odd_docs).count() == 2 * len(ODD) and quality.quality_rules(no_docs).count() == 0
+
+
+def test_repeated_and_null_ids_lose_no_text(spark):
+    schema = "doc_id long, text string, digest string"
+    rows = [(1, "x"), (2, "x"), (1, "y"), (0, "y"), (5, "t"), (5, "t"), (None, "n"), (None, "n"), (None, "m"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], schema)
+    kept = collected(exact_dedup.drop_exact_copies(docs).drop("digest"))
+    assert kept == sorted([(2, "x"), (1, "y"), (5, "t"), (None, "n"), (None, "m"), (8, "")], key=str)
+    kept = collected(N.drop_near_copies(docs).drop("digest"))
+    assert sorted(t or "" for _, t in kept) == sorted({t or "" for _, t in rows})
+    assert (1, "x") in kept and (0, "y") in kept
+    classes = N.near_classes(docs).collect()
+    assert len(classes) == len(rows) and sum(r.class_id is None for r in classes) == 3
+    a, b = [" ".join(f"{k}{n}" for n in range(60)) for k in "ab"]
+    near = spark.createDataFrame([(1, a), (0, a + " more"), (1, b), (2, b + " more"), (None, a + " less")], "doc_id long, text string")
+    assert collected(N.drop_near_copies(near)) == [(0, a + " more"), (1, b)]
+    assert sorted((r.doc_id is None, r.class_id, r.class_size) for r in N.near_classes(near).collect()) == [
+        (False, 0, 3), (False, 0, 3), (False, 1, 2), (False, 1, 2), (True, 0, 3)]
+
+
+def test_similarities_of_sets_equal_those_of_texts(spark):
+    rng = random.Random(16)
+    texts = [" ".join(rng.choices("ab", k=rng.randrange(5, 200))) for _ in range(12)] + near_texts(7)[:20]
+    texts = [t or "" for t in texts if t]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = [r.shingles for r in N.shingle_sets(frame).orderBy("id").collect()]
+    idf = np.random.default_rng(3).uniform(0.75, 1, 1 << N.SKETCH_BITS).astype(np.float32)
+    got = N.cross_similarities(sets[:9], sets, idf, width=7)
+    want = N.similarities([a for a in texts[:9] for _ in texts], texts * 9, idf).reshape(9, -1)
+    assert np.abs(got - want).max() < 1e-9
+
+
+def test_links_of_a_hot_group_are_a_forest(spark):
+    """Members of a hot bucket that are all near each other leave the task as fewer links than members."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        words[rng.randrange(150)] = f"w{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "id long, text string").cache()
+    idf = np.ones(1 << N.SKETCH_BITS, np.float32)
+    sent = spark.sparkContext.broadcast(idf)
+    signed = N.sign(frame, sent).cache()
+    members = signed.select("id", "weight", F.explode("bands").alias("bucket"), F.col("id").alias("comp"))
+    buckets = members.groupBy("bucket").count().filter("count > 6")
+    found = N.open_links(members, frame, signed.select("id", "samples"), sent, 0.8)
+    n, most = found.count(), buckets.agg(F.sum(F.col("count") - 1)).first()[0]
+    assert 299 <= n <= 2 * most  # of some 45,000 pairs in each bucket
+    assert {r.label for r in N.components(found.select("a", "b")).collect()} == {0}
