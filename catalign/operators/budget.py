@@ -7,7 +7,7 @@ later, smaller archives may still fit.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import values as V
 from ..session import cut
@@ -100,10 +100,12 @@ def _fold(rows: DataFrame, order: list[str], scope: list[str], cap_m: int, cap_b
 
 
 def _by_chunks(rows: DataFrame, order: list[str], scope: list[str], cap_m: int, cap_b: int, chunk: int) -> DataFrame:
-    """Large scopes: each round folds the next chunk that can still hold an admission.
+    """Large scopes, by running sums over chunks of rows in order.
 
-    Usage only grows, so a row above the remaining budget is out for good and
-    whole chunks of such rows are never opened.
+    Usage only grows, so in each round all rows above the remaining budget are out for
+    good. Of what is left, the longest prefix of chunks that fits as a whole is admitted at
+    once; the chunk in which the budget first runs short is folded, and the next round goes
+    on behind it. A group is one chunk, however large its scope.
     """
     numbered = cut(number_and_total(rows, scope, order, number="_at").withColumn(
         "_chunk", F.floor((F.col("_at") - 1) / chunk).cast("bigint")))
@@ -127,9 +129,20 @@ def _by_chunks(rows: DataFrame, order: list[str], scope: list[str], cap_m: int,
         able = slim.join(usage, scope).filter(
             (F.col("_chunk") > F.col("_done")) & (F.col("_m") + F.col("members") <= cap_m)
             & (F.col("_b") + F.col("bytes") <= cap_b))
-        turn = able.groupBy(*scope).agg(F.min("_chunk").alias("_turn"))
-        step = able.join(turn, scope).filter(F.col("_chunk") == F.col("_turn")).drop("_turn")
-        done = cut(step.groupBy(*scope).applyInPandas(fold, schema=f"{_ddl(step)}, _taken boolean"))
+        sums = able.groupBy(*scope, "_chunk").agg(F.sum("members").alias("_cm"), F.sum("bytes").alias("_cb"))
+        before = Window.partitionBy(*scope).orderBy("_chunk")  # one row per chunk
+        upto = sums.join(usage, scope).withColumns({
+            "_fits": (F.sum("_cm").over(before) + F.col("_m") <= cap_m) & (F.sum("_cb").over(before) + F.col("_b") <= cap_b)})
+        short = F.min(F.when(~F.col("_fits"), F.col("_chunk")))
+        turn = cut(upto.groupBy(*scope).agg(
+            F.coalesce(short, F.max("_chunk") + 1).alias("_turn"),
+            F.sum(F.when(F.col("_fits"), F.col("_cm")).otherwise(0)).alias("_wm"),
+            F.sum(F.when(F.col("_fits"), F.col("_cb")).otherwise(0)).alias("_wb")))
+        here = able.join(turn, scope)
+        whole = here.filter(F.col("_chunk") < F.col("_turn")).withColumn("_taken", F.lit(True))
+        step = here.filter(F.col("_chunk") == F.col("_turn")).withColumns({"_m": F.col("_m") + F.col("_wm"), "_b": F.col("_b") + F.col("_wb")})
+        folded = step.groupBy(*scope).applyInPandas(fold, schema=f"{_ddl(step)}, _taken boolean")
+        done = cut(whole.unionByName(folded).drop("_turn", "_wm", "_wb"))
         if done.isEmpty():
             break
         won = done.filter("_taken").select(*scope, "_at")
