@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -54,18 +55,25 @@ replies share sharing social related recommended recommendations widget widgets
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table div article section main body td th blockquote aside nav header footer form".split())
 
+#: No part of it is tried twice, and only text in front of the last ``>`` is searched, so a page takes time in proportion.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>"
+    r"|<(/?)([A-Za-z][^\s/<>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/<>]*+)([^>]*+)>", re.S)
+#: Parts of a class that say what a layout has or lacks.
+FLAG = re.compile(r"(?:has|have|no|not|with|without|is|non)-.*|.*-free")
+#: An element with a marked class or a form stays if it has the page's longest article, with so much of all text, or on a
+#: page without articles so much of all text.
+HELD_SHARE, ARTICLE_SHARE = 0.5, 0.2
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "step", "parent", "children", "dropped")
+    __slots__ = ("tag", "step", "parent", "children", "dropped", "marked")
 
-    def __init__(self, tag: str, step: str, parent: Node | None, dropped: bool):
-        self.tag, self.step, self.parent, self.dropped = tag, step, parent, dropped
+    def __init__(self, tag: str, step: str, parent: Node | None, dropped: bool, marked: bool = False):
+        self.tag, self.step, self.parent, self.dropped, self.marked = tag, step, parent, dropped, marked
         self.children: list = []
 
 
@@ -74,7 +82,8 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _is_boilerplate(tag: str, at: dict[str, str], parent: Node) -> bool:
-    if tag in DROPPED or at.get("role", "").lower() in ROLES or at.get("aria-hidden") == "true":
+    """Whether the element's tag, role or style rules it out."""
+    if (tag in DROPPED and tag != "form") or at.get("role", "").lower() in ROLES or at.get("aria-hidden") == "true":
         return True
     if "display:none" in at.get("style", "").replace(" ", "").lower():
         return True
@@ -82,32 +91,83 @@ def _is_boilerplate(tag: str, at: dict[str, str], parent: Node) -> bool:
         node = parent
         while node and node.tag not in ("article", "main"):
             node = node.parent
-        if node is None:
-            return True
-    words = {w.lower() for w in WORD.findall(at.get("class", "") + " " + at.get("id", ""))}
-    return tag not in ("html", "body", "article", "main") and bool(words & MARKS)
+        return node is None
+    return False
+
+
+def _is_marked(tag: str, at: dict[str, str]) -> bool:
+    """Whether its class or id speaks against an element; that is decided by its text."""
+    if tag == "form":
+        return True
+    if tag in ("html", "body", "article", "main"):
+        return False
+    names = [n for n in (at.get("class", "") + " " + at.get("id", "")).split() if not FLAG.fullmatch(n.lower())]
+    if tag == "p":  # A paragraph is judged by whole names.
+        return any(n.lower() in MARKS for n in names)
+    return any(w.lower() in MARKS for n in names for w in WORD.findall(n))
+
+
+def _judge_marked(root: Node) -> None:
+    """Drop marked elements, but for those that hold much of the page's text or an article that does."""
+    size, article = {}, {}
+    stack = [(root, False)]
+    order = []
+    while stack:
+        node, ends = stack.pop()
+        if ends:
+            order.append(node)
+            held = most = 0
+            for c in node.children:
+                if isinstance(c, str):
+                    held += len(c.strip())
+                elif not c.dropped:
+                    held += size[id(c)]
+                    most = max(most, article[id(c)])
+            size[id(node)] = held
+            article[id(node)] = max(most, held) if node.tag in ("article", "main") else most
+        else:
+            stack.append((node, True))
+            stack.extend((c, False) for c in node.children if isinstance(c, Node) and not c.dropped)
+    whole, longest = size[id(root)], article[id(root)]
+    for node in order:
+        # On a page with an article only the element around it can be the page; on others one with most of its text.
+        held = article[id(node)] >= max(ARTICLE_SHARE * whole, longest) if longest else size[id(node)] >= HELD_SHARE * whole
+        if node.marked and not held:
+            node.dropped = True
 
 
 def parse(text: str) -> Node:
     """Tree of elements with their texts; boilerplate is marked."""
     root = node = Node("", "", None, False)
-    at = 0
-    while True:
-        m = TOKEN.search(text, at)
+    at, limit = 0, text.rfind(">") + 1
+    is_open: Counter[str] = Counter()  # so that no tag is looked for in vain
+
+    def close(upto: Node) -> Node:
+        inner = node
+        while inner is not upto:
+            is_open[inner.tag] -= 1
+            inner = inner.parent
+        is_open[upto.tag] -= 1
+        return upto.parent
+
+    while at < limit:
+        m = TOKEN.search(text, at, limit)
         if m is None:
             break
         if m.start() > at:
             node.children.append(text[at:m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = len(text)  # a comment without end
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            opened = node
-            while opened and opened.tag != tag:
-                opened = opened.parent
-            if opened:
-                node = opened.parent
+            if is_open[tag]:
+                opened = node
+                while opened.tag != tag:
+                    opened = opened.parent
+                node = close(opened)
             continue
         raw = m[3] or m[6] or ""
         if tag in RAW:
@@ -118,19 +178,22 @@ def parse(text: str) -> Node:
             continue
         if tag in CLOSES or tag in BLOCKS:
             closes = CLOSES.get(tag, {"p"})
-            opened = node
-            while opened and opened.tag not in closes and opened.tag not in SCOPES:
-                opened = opened.parent
-            if opened and opened.tag in closes:
-                node = opened.parent
+            if any(is_open[c] for c in closes):
+                opened = node
+                while opened and opened.tag not in closes and opened.tag not in SCOPES:
+                    opened = opened.parent
+                if opened and opened.tag in closes:
+                    node = close(opened)
         attributes = _attributes(raw)
         step = tag + "".join("." + DIGITS.sub("#", c) for c in sorted(set(attributes.get("class", "").split())))
-        new = Node(tag, step, node, node.dropped or _is_boilerplate(tag, attributes, node))
+        new = Node(tag, step, node, node.dropped or _is_boilerplate(tag, attributes, node), _is_marked(tag, attributes))
         node.children.append(new)
         if tag not in VOID and not raw.endswith("/"):
             node = new
+            is_open[tag] += 1
     if at < len(text):
         node.children.append(text[at:])
+    _judge_marked(root)
     return root
 
 

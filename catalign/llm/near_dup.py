@@ -21,8 +21,8 @@
    parts. Pairs whose weights differ too much for the threshold are left out, and
    those that agree in fewer than AGREE of all samples: at the threshold that happens
    to about one pair in a hundred thousand.
-5. Pairs at or above the threshold are links. Linked documents are contracted to
-   components. One round does nearly all; further rounds with other centres found one link
+5. Pairs at or above the threshold are links. Documents that are one or two links apart
+   are contracted. One round does nearly all; further rounds with other centres found one link
    in 50,000 pairs.
 6. What centres and neighbours leave open is finished exactly: in each bucket of more
    than SMALL documents that still holds several components, all documents outside its
@@ -31,7 +31,7 @@
    their documents; pairs that agree in enough samples are verified there and then, and
    of the links only a spanning forest leaves the task, at most one row for each document
    of the two blocks. After that every two documents that share a band are in one
-   component or were tested. Components found before are contracted to one node each.
+   component or were tested.
 
 Documents are known by a digest of their text, so repeated and null ids do no harm.
 
@@ -251,27 +251,37 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every id in edges (a, b): the smallest id of its connected component.
 
     Large-star and small-star steps in turn: each hangs neighbours onto the smallest one.
-    What a step reads is combined in map tasks first, and what belongs to a hub is
-    broadcast to its neighbours, so a hub is no hot group.
+    Both sides of a step are combined in map tasks; the neighbours of a hub, which has one
+    row on the other side, are a skewed join that adaptive execution splits.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before, n = None, pairs.count()
+    before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        large = attach_groups(both.filter("v > u"), least, "u", "n", 2 * n, "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        n, total = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (n, total) == before:
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        before = n, total
+        before = now
     roots = pairs.select(F.col("v").alias("id")).distinct()
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("id")))
 
 
+def nearby_labels(links: DataFrame) -> DataFrame:
+    """(id, label) of every id in links (a, b): the smallest id at most two links away, so that one label is in one component.
+
+    This contracts each star of a centre, which is most of what a round of links has, in two steps.
+    """
+    both = cut(links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("id"), F.col("a").alias("other"))))
+    one = cut(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("label")))
+    return both.join(one.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.least(F.min("label"), F.col("id")).alias("label"))
+
+
 def candidates(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different components that meet in a bucket: with its centres, and with the next ones in order."""
     row = F.struct("id", "comp", "weight")
@@ -367,7 +377,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def open_links(members: DataFrame, texts: DataFrame, samples: DataFrame, sent: Broadcast, threshold: float, least: int = AGREE) -> DataFrame:
-    """Links (a, b, similarity, comp_a, comp_b) that join all components which meet in a bucket of more than SMALL and are linked.
+    """Links (a, b, similarity) that join all components which meet in a bucket of more than SMALL and are linked.
 
     A member outside the bucket's largest component meets all blocks, one inside only the blocks of those outside.
     """
@@ -389,8 +399,7 @@ def open_links(members: DataFrame, texts: DataFrame, samples: DataFrame, sent: B
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         block, weight, ids = group.column("block").to_numpy(), group.column("weight").to_numpy(), group.column("id").combine_chunks()
-        comps = group.column("comp").combine_chunks()
-        comp = comps.dictionary_encode().indices.to_numpy()
+        comp = group.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
         drawn = group.column("samples").combine_chunks().flatten().to_numpy().reshape(len(block), -1)
         x, y = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         agree = np.zeros((len(x), len(y)), np.uint8)
@@ -412,12 +421,11 @@ def open_links(members: DataFrame, texts: DataFrame, samples: DataFrame, sent: B
             kept = forest(comp[a], comp[b])
             a, b, sim = a[kept], b[kept], sim[kept]
         a_at, b_at = pa.array(a, pa.int64()), pa.array(b, pa.int64())
-        return pa.table({"a": ids.take(a_at), "b": ids.take(b_at), "similarity": pa.array(sim, pa.float64()),
-                         "comp_a": comps.take(a_at), "comp_b": comps.take(b_at)})
+        return pa.table({"a": ids.take(a_at), "b": ids.take(b_at), "similarity": pa.array(sim, pa.float64())})
 
     id_type = members.schema["id"].dataType.simpleString()
     return dealt.groupBy("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).applyInArrow(
-        compare, f"a {id_type}, b {id_type}, similarity double, comp_a {id_type}, comp_b {id_type}")
+        compare, f"a {id_type}, b {id_type}, similarity double")
 
 
 def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -439,18 +447,11 @@ def near_links(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD)
     samples = signed.select("id", "samples")
     pairs = cut(agreeing(candidates(members, threshold), samples))
     links = cut(verify(pairs, texts, sent, threshold))
-    label = cut(components(links))
-    members = cut(members.drop("comp", "met").join(label, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label"))
-    joined = cut(open_links(members, texts, samples, sent, threshold))
+    near = nearby_labels(links)
+    members = cut(members.drop("comp", "met").join(near, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label"))
+    links = links.unionByName(cut(open_links(members, texts, samples, sent, threshold)))
     sent.destroy()
-    if not joined.isEmpty():
-        links = links.unionByName(joined.select("a", "b", "similarity"))
-        onto = cut(components(joined.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(
-            F.col("id").alias("_from"), F.col("label").alias("_to")))
-        alone = onto.join(label, onto["_from"] == label["id"], "left_anti").select(F.col("_from").alias("id"), F.col("_to").alias("label"))
-        label = cut(label.join(onto, label["label"] == onto["_from"], "left").select(
-            "id", F.coalesce("_to", "label").alias("label")).unionByName(alone))
-    return links, label
+    return links, cut(components(links))
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

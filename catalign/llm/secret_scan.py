@@ -51,10 +51,11 @@ CLASSES = [
     CharClass(DIGITS + LOWERS + UPPERS + "+/_=-", 20, 3.75),
 ]
 #: Candidates that are no secrets: UUIDs, samples, web paths, and words joined by one mark.
+#: Possessive, so that matching takes no stack however long a candidate is.
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|changeme|0123456789",
-    r"^/?([A-Za-z]+|[0-9]+)([/_=-]([A-Za-z]+|[0-9]+))*/?$",
+    r"^/?(?:[A-Za-z]++|[0-9]++)(?:[/_=-](?:[A-Za-z]++|[0-9]++))*+/?$",
 ]
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -433,3 +434,32 @@ def test_links_of_a_hot_group_are_a_forest(spark):
     n, most = found.count(), buckets.agg(F.sum(F.col("count") - 1)).first()[0]
     assert 299 <= n <= 2 * most  # of some 45,000 pairs in each bucket
     assert {r.label for r in N.components(found.select("a", "b")).collect()} == {0}
+
+
+ARTICLE = "<article><h1>T</h1><p>" + "word " * 50 + "</p></article>"
+
+
+@pytest.mark.parametrize("wrap", ["<div class='layout has-sidebar'>%s</div>", "<div class='post no-comments'>%s</div>",
+                                  "<div id='content-ad-free'>%s</div>", "<div id='search-results-page'>%s</div>", "<form>%s</form>"])
+def test_articles_stay_whatever_is_around_them(wrap):
+    page = "<body><div class='sidebar'>gone</div>" + wrap % ARTICLE + "<section class='comments'><article>gone too</article></section></body>"
+    text = H.extract(page)
+    assert text.startswith("T\nword") and "gone" not in text
+    assert "kept" in H.extract("<article><p>" + "w " * 90 + "</p><p class='notice-board'>kept</p></article>")
+    assert "gone" not in H.extract("<div class='ad'>gone gone gone</div><article><h1>T</h1></article>")
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<a" * 300_000 + ">", "<!--" * 200_000, "</div>" * 100_000, '<a "' * 200_000 + ">",
+                                  "<div>" * 20_000 + "</x>" * 50_000, "<b>" * 20_000 + "<p>" * 20_000])
+def test_malformed_pages_end(page):
+    begin = time.monotonic()
+    H.extract(page)
+    assert time.monotonic() - begin < 20  # seconds, on any machine; a second or less here
+
+
+def test_long_candidates_take_no_stack(spark):
+    texts = ["a/1/" * 250_000, "a/1/" * 3000 + "!", "x" * 40 + "/9" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = [(c.alphabet, c.window, c.bits) for c in S.CLASSES]
+    for r in S.scan_secrets(docs).collect():
+        assert [tuple(x) for x in r.entropy] == brute.secrets(texts[r.doc_id], classes, S.ALLOW)["entropy"]
