@@ -67,7 +67,7 @@ SQL_NEAREST = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x:
         list_sum(list_transform(list_zip(a.e, b.e), lambda p: abs(p[1] - p[2]))) / len(a.e),
         list_sum(list_transform(list_zip(list_reverse(a.e), b.e), lambda p: abs(p[1] - p[2]))) / len(a.e)) AS score
       FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, neighbour) AS rn FROM scored WHERE score <= 0.116),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, neighbour) AS rn FROM scored),
     two AS (SELECT vec_id, max(neighbour) FILTER (rn = 1) AS neighbour, max(score) FILTER (rn = 1) AS score,
       coalesce(max(score) FILTER (rn = 2), 1.0) AS second FROM ranked WHERE rn <= 2 GROUP BY 1)"""
 
