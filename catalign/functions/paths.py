@@ -34,6 +34,11 @@ def leaf(c) -> Column:
     return F.substring_index(forward(c), "/", -1)
 
 
+def folder(c) -> Column:
+    """Path without its last component, empty for a bare name."""
+    return F.regexp_extract(forward(c), r"(?s)^(.*)/[^/]*$", 1)
+
+
 def extension(c) -> Column:
     """Lower-case extension of the last component, null when there is none."""
     tail = F.trim(F.regexp_extract(leaf(c), r"\.([^.]*)$", 1))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import paths as P
 from .ranking import first_per_group, number_and_total
 
 
@@ -66,6 +67,17 @@ def leaf_files(files: DataFrame, members: DataFrame, path="path", parent="parent
     return files.join(members.select(F.col(parent).alias(path)).distinct(), path, "left_anti")
 
 
+def leaves_below(files: DataFrame, kind: str, path="path") -> DataFrame:
+    """Files with a container of ``kind`` above them that have no member of their own; paths spell out all containers.
+
+    The predicate on the path comes first: what lies below such a container is below it with all its members, so only
+    these files are compared with the folders of one another.
+    """
+    below = files.filter(P.has_ancestor_kind(path, kind))
+    folders = below.select(P.path_key(P.folder(path)).alias("_folder")).distinct()
+    return below.join(folders, P.path_key(path) == F.col("_folder"), "left_anti")
+
+
 def missing_names(refs: DataFrame, decoded: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
     """Referenced names that were never decoded, once per ``keys``; compared on ``on``."""
     on = on or keys

@@ -46,6 +46,27 @@ def ambiguous_candidates(refs: DataFrame, catalog: DataFrame, name: str, asset:
     return catalog.select(name, asset).distinct().join(wanted, name, "left_semi")
 
 
+def hand_over_bindings(refs: DataFrame, catalog: DataFrame, held: DataFrame, name: str, asset: str, identity: str,
+                       order: list[str]) -> DataFrame:
+    """Bindings of each asset after references that resolve have handed theirs over: asset, identity, order columns, added.
+
+    ``refs`` has one row per reference and binding (name, identity, order columns), ``held`` the bindings that assets have
+    already (asset, identity, order columns). A binding an asset holds is kept as it is; of several references that bring the
+    same binding the first in order does. Only names that exactly one asset carries resolve.
+    """
+    brought = bind_by_unique_name(refs.select(name, identity, *order), catalog, name, asset).filter(
+        (F.col("status") == "resolved") & F.col(identity).isNotNull())
+    both = held.select(asset, identity, *order, F.lit(False).alias("added")).unionByName(
+        brought.select(F.col("bound_asset").alias(asset), identity, *order, F.lit(True).alias("added")))
+    first = both.groupBy(asset, identity).agg(F.min_by(F.struct(*order, "added"), F.struct("added", *order)).alias("_first"))
+    return first.select(asset, identity, "_first.*")
+
+
+def count_handed_over(bindings: DataFrame, asset: str) -> DataFrame:
+    """Per asset how many bindings it has and how many of them were handed over."""
+    return bindings.groupBy(asset).agg(F.count("*").alias("bindings"), F.count_if("added").alias("added"))
+
+
 def pair_files(files: DataFrame, index_ext: str, data_ext: str, path: str, order: list[str]) -> DataFrame:
     """Index files with the data file of the same stem, case-insensitive.
 

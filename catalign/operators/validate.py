@@ -44,8 +44,11 @@ def bad_relative_image(path: Column, ext: str = "png") -> Column:
 
 
 def validate_mapping(mapping: DataFrame, files: DataFrame, hash_="hash", name="name", path="path",
-                     roots: DataFrame | None = None, expected_roots: int = 1) -> DataFrame:
-    """(rule, subject): key is no hash, value resolves to no file or to several, wrong number of roots."""
+                     roots: DataFrame | None = None, expected_roots: int = 1, image_ext: str | None = None) -> DataFrame:
+    """(rule, subject): key is no hash, value resolves to no file or to several, wrong number of roots.
+
+    With ``image_ext`` names must be relative paths of such images, too; the subject of ``bad_path`` is the name.
+    """
     from ..functions.hashes import is_runtime_hash
 
     bad_key = mapping.filter(~is_runtime_hash(hash_)).select(
@@ -55,6 +58,9 @@ def validate_mapping(mapping: DataFrame, files: DataFrame, hash_="hash", name="n
         F.when(F.col("n_files") == 0, "no_file").otherwise("several_files").alias("rule"),
         F.col(hash_).alias("subject"))
     out = bad_key.unionByName(loose)
+    if image_ext is not None:
+        out = out.unionByName(mapping.filter(bad_relative_image(name, image_ext)).select(
+            F.lit("bad_path").alias("rule"), F.col(name).alias("subject")).distinct())
     if roots is not None:
         out = out.unionByName(roots.agg(F.count("*").alias("n")).filter(F.col("n") != expected_roots).select(
             F.lit("root_documents").alias("rule"), F.col("n").cast("string").alias("subject")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import names as N, paths as P, values as V
@@ -167,7 +169,7 @@ def stages(spark: SparkSession, sf: str) -> DataFrame:
 
 # Containers: region > nation > customer > orders > lineitem.
 SQL_MEMBERS = """roots AS (SELECT 'R' || r_regionkey AS path, 'B' AS kind FROM region),
-members AS (
+members AS MATERIALIZED (
   SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child,
     CASE n_nationkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS kind FROM nation
   UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey,
@@ -178,8 +180,32 @@ members AS (
   UNION ALL SELECT DISTINCT 'O' || l_orderkey, 'L' || l_orderkey || '-' || l_linenumber, NULL FROM lineitem)"""
 
 
+# Paths spell out all containers: a container's name ends in its kind.
+SQL_PATHS = f"""{SQL_MEMBERS},
+paths0 AS (SELECT path AS node, path || '.' || kind AS path FROM roots),
+""" + ",\n".join(f"""paths{n} AS MATERIALIZED (SELECT child AS node, path || '/' || child || coalesce('.' || kind, '') AS path
+  FROM members JOIN paths{n - 1} ON parent = node)""" for n in range(1, 5)) + """,
+paths AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT path FROM paths{n}" for n in range(5)) + ")"
+
+
 def hierarchy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(roots, members)."""
+    roots, levels = _levels(spark, sf)
+    return roots, reduce(DataFrame.unionByName, levels)
+
+
+def member_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of all roots and members, level by level."""
+    roots, levels = _levels(spark, sf)
+    steps = [roots.select(F.col("path").alias("node"), F.concat_ws(".", "path", "kind").alias("path"))]
+    for level in levels:
+        steps.append(level.join(steps[-1], F.col("parent") == F.col("node")).select(
+            F.col("child").alias("node"), F.concat("path", F.lit("/"), F.concat_ws(".", "child", "kind")).alias("path")))
+    return reduce(DataFrame.unionByName, steps).select("path")
+
+
+def _levels(spark: SparkSession, sf: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Roots, and the members of each level from the top."""
     def tag(prefix, *cols):
         return F.concat(F.lit(prefix), F.concat_ws("-", *[F.col(c).cast("string") for c in cols]))
 
@@ -197,11 +223,7 @@ def hierarchy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         (table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct(),
          tag("O", "l_orderkey"), tag("L", "l_orderkey", "l_linenumber"), none),
     ]
-    members = None
-    for df, parent, child, kind in parts:
-        step = df.select(parent.alias("parent"), child.alias("child"), kind.alias("kind"))
-        members = step if members is None else members.unionByName(step)
-    return roots, members
+    return roots, [df.select(parent.alias("parent"), child.alias("child"), kind.alias("kind")) for df, parent, child, kind in parts]
 
 
 # Archives: orders with their lines as members, admitted per customer.

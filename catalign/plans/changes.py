@@ -54,6 +54,21 @@ def validate_mapping(spark, sf):
     return VA.validate_mapping(mapping.unionByName(bad), files, roots=files.select(host.alias("root")).distinct())
 
 
+SQL_PAGE_NAMES = r"""names AS (SELECT upper(substr(sha256(html), 1, 16)) AS hash, replace(url, 'https://', '') || CASE WHEN page_id % 3 = 0 THEN '' ELSE '.png' END AS name
+    FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)"""
+
+
+@query("i3_mapping_paths", f"""WITH {SQL_PAGE_NAMES} SELECT DISTINCT 'bad_path' AS rule, name AS subject FROM names
+    WHERE name = '' OR regexp_matches(name, '(^|/)(\\.\\.)?(/|$)') OR NOT ends_with(lower(name), '.png')""")
+def mapping_paths(spark, sf):
+    """Names are the pages' addresses, of which one in three is no image; all of them resolve."""
+    names = table(spark, sf, "pages").filter("url IS NOT NULL AND html IS NOT NULL").select(
+        F.upper(F.substring(F.sha2("html", 256), 1, 16)).alias("hash"),
+        F.concat(F.replace("url", F.lit("https://"), F.lit("")), F.when(F.col("page_id") % 3 == 0, "").otherwise(".png")).alias("name"))
+    found = VA.validate_mapping(names, names.select(F.col("name").alias("path")).distinct(), image_ext="png")
+    return found.filter("rule = 'bad_path'")
+
+
 LIMITS = {"max_members": 8, "max_expanded_bytes": 250, "max_member_bytes": 45, "max_archive_bytes": 90_000}
 
 

@@ -49,6 +49,16 @@ def read_mapping(spark, sf):
     return docs.read_mapping(table(spark, sf, "documents").select(doc.alias("doc")), "doc")
 
 
+@query("a3_write_mapping", """SELECT upper(substr(sha256(text), 1, 16)) AS hash, min(lang || '/' || source || '.png') AS name
+  FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT lang || '/' || source) = 1""")
+def write_mapping(spark, sf):
+    path = scratch_path(spark, "mapping")
+    names = table(spark, sf, "documents").filter("text IS NOT NULL").select(
+        F.upper(F.substring(F.sha2("text", 256), 1, 16)).alias("hash"), F.concat("lang", F.lit("/"), "source", F.lit(".png")).alias("name"))
+    sinks.write_mapping(names, path, entries=500)
+    return docs.read_mapping(spark.read.text(path), "value")
+
+
 @query("a4_load_reports", """SELECT 'lines' AS report, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem
   UNION ALL SELECT 'documents', count(*), CAST(sum(n_chars) AS BIGINT) FROM documents
   UNION ALL SELECT 'absent', NULL, NULL""")

@@ -57,6 +57,35 @@ def ambiguous_candidates(spark, sf):
     return L.ambiguous_candidates(refs, catalog, "name", "asset")
 
 
+SQL_HANDED = f"""{SQL_NAMES},
+  held AS (SELECT DISTINCT 'n' || s_nationkey AS asset, p_brand || '|' || p_type AS identity, s_suppkey AS ref
+    FROM supplier JOIN part ON p_partkey = s_suppkey),
+  brought AS (SELECT lo AS asset, p_brand || '|' || p_type AS identity, ref FROM refs JOIN idx USING (name) JOIN part ON p_partkey = ref
+    WHERE n = 1),
+  handed AS (SELECT asset, identity, arg_min(ref, (added, ref)) AS ref, bool_and(added) AS added FROM (
+    SELECT *, false AS added FROM held UNION ALL SELECT *, true FROM brought) GROUP BY 1, 2)"""
+
+
+def handed_over(spark, sf):
+    """References of parts bring what brand and type bind to nations, which hold the bindings of their own suppliers' parts."""
+    refs, catalog = name_refs(spark, sf)
+    bound = table(spark, sf, "part").select(F.col("p_partkey").alias("ref"), F.concat_ws("|", "p_brand", "p_type").alias("identity"))
+    held = table(spark, sf, "supplier").join(bound, F.col("s_suppkey") == F.col("ref")).select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("asset"), "identity", "ref")
+    return L.hand_over_bindings(refs.join(bound, "ref"), catalog, held, "name", "asset", "identity", ["ref"])
+
+
+@query("e2_hand_over_bindings", f"WITH {SQL_HANDED} SELECT asset, identity, ref, added FROM handed")
+def hand_over_bindings(spark, sf):
+    return handed_over(spark, sf)
+
+
+@query("e2_count_handed_over", f"""WITH {SQL_HANDED} SELECT asset, count(*) AS bindings, count(*) FILTER (added) AS added
+  FROM handed GROUP BY 1""")
+def count_handed_over(spark, sf):
+    return L.count_handed_over(handed_over(spark, sf), "asset")
+
+
 @query("e3_match_exact", f"WITH {SQL_MATCH} SELECT doc_id, asset, status FROM matches")
 def match_exact(spark, sf):
     return exact_matches(spark, sf)[1].drop("candidate_hash")
@@ -273,3 +302,9 @@ def union_nested(spark, sf):
 def leaf_files(spark, sf):
     _, members = A.hierarchy(spark, sf)
     return dedupe.leaf_files(members.select(F.col("child").alias("path"), "kind"), members)
+
+
+@query("g5_leaves_below_kind", f"""WITH {A.SQL_PATHS} SELECT path FROM paths WHERE contains(lower(path), '.a/')
+    AND path NOT IN (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM paths)""")
+def leaves_below_kind(spark, sf):
+    return dedupe.leaves_below(A.member_paths(spark, sf), "a")

@@ -38,6 +38,25 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def mapping_documents(mapping: DataFrame, root: str = "textures", hash_="hash", name="name", entries: int = 10_000) -> DataFrame:
+    """Mapping objects ``{root: {hash: name}}`` of about ``entries`` keys each, in key order; the inverse of ``read_mapping``.
+
+    A hash with several names maps nothing. Keys are unique and dealt by their digest, so no object depends on how often
+    a name occurs.
+    """
+    one = mapping.filter(F.col(hash_).isNotNull() & F.col(name).isNotNull()).groupBy(hash_).agg(
+        F.min(name).alias("_lo"), F.max(name).alias("_hi")).filter("_lo = _hi")
+    count = mapping.agg(F.approx_count_distinct(hash_)).first()[0]
+    bucket = F.pmod(F.xxhash64(hash_), F.lit(max(1, -(-count // entries))))
+    return one.groupBy(bucket.alias("_bucket")).agg(F.sort_array(F.collect_list(F.struct(hash_, "_lo"))).alias("_pairs")).select(
+        F.to_json(F.struct(F.map_from_entries("_pairs").alias(root))).alias("value"))
+
+
+def write_mapping(mapping: DataFrame, path: str, root: str = "textures", hash_="hash", name="name", entries: int = 10_000) -> None:
+    """Mapping objects as JSON, one a line."""
+    mapping_documents(mapping, root, hash_, name, entries).write.mode("overwrite").text(path)
+
+
 def export_report(assets: DataFrame, issues: DataFrame, identity: dict[str, str], path: str) -> None:
     """Flat export table, issues, and a header row with identity and counts."""
     assets.write.mode("overwrite").json(f"{path}/assets", ignoreNullFields=False)

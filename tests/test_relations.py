@@ -309,3 +309,33 @@ def test_depth(spark, rows):
 
 def test_binding_key(spark):
     assert spark.range(1).select(H.binding_key(F.lit("a"), F.lit(None), F.lit(True))).first()[0] == "a||true"
+
+
+def test_hand_over_counts_only_new_bindings(spark, rows):
+    catalog = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("d", "z")], "asset string, name string")
+    held = spark.createDataFrame([("a", "m|1", 9), ("d", "m|1", 9), ("e", "k", 9)], "asset string, binding string, ref int")
+    refs = spark.createDataFrame(
+        [("x", "m|1", 1), ("x", "m|2", 3), ("x", "m|2", 2), ("y", "m|1", 1), ("w", "m|1", 1), ("z", None, 1), (None, "m|1", 1), ("z", "m|3", None)],
+        "name string, binding string, ref int")
+    got = L.hand_over_bindings(refs, catalog, held, "name", "asset", "binding", ["ref"])
+    assert rows(got) == [("a", "m|1", 9, False), ("a", "m|2", 2, True), ("d", "m|1", 9, False), ("d", "m|3", None, True), ("e", "k", 9, False)]
+    assert rows(L.count_handed_over(got, "asset")) == [("a", 2, 1), ("d", 2, 1), ("e", 1, 0)]
+    # A second hand-over adds nothing.
+    again = L.hand_over_bindings(refs, catalog, got.drop("added"), "name", "asset", "binding", ["ref"])
+    assert again.filter("added").isEmpty()
+
+
+def test_leaves_below_kind(spark, rows):
+    files = spark.createDataFrame([(p,) for p in (
+        "r.BCH", "r.BCH/a.png", "r.bch/s.ctpk", "R.bch\\S.ctpk\\i.png", "r.bch/empty.ctpk", "x.bchk/a.png", "x.bch", "plain.png", None)], "path string")
+    assert rows(DD.leaves_below(files, "bch")) == [("R.bch\\S.ctpk\\i.png",), ("r.BCH/a.png",), ("r.bch/empty.ctpk",)]
+    assert rows(DD.leaves_below(files, "ctpk")) == [("R.bch\\S.ctpk\\i.png",)]
+
+
+def test_mapping_names_must_be_relative_images(spark, rows):
+    names = ["a/b.png", "a//b.png", "../b.png", "/a.png", "a/b.PNG", "a/b.tga", "", "a/..png"]
+    mapping = spark.createDataFrame([(f"{n:016X}", p) for n, p in enumerate(names)], "hash string, name string")
+    files = mapping.selectExpr("name AS path")
+    got = rows(VA.validate_mapping(mapping, files, image_ext="png").filter("rule = 'bad_path'"), "subject")
+    assert got == [("",), ("../b.png",), ("/a.png",), ("a//b.png",), ("a/b.tga",)]
+    assert "bad_path" not in {r.rule for r in VA.validate_mapping(mapping, files).collect()}

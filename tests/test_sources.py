@@ -128,3 +128,16 @@ def test_stream_dedupe_loses_no_key(spark, tmp_path, rows):
     assert sorted(rows(ST.read_deduped(spark, root, ["asset", "hash"]))) == want and len(list((tmp_path / "out" / "deltas").glob("batch=*"))) == 4
     ST.stream_dedupe(source, root, ["asset", "hash"], f"{root}/again").awaitTermination()
     assert sorted(rows(ST.read_deduped(spark, root, ["asset", "hash"]))) == want
+
+
+def test_mapping_is_written_and_read_back(spark, tmp_path, rows):
+    pairs = [(f"{n:016X}", f"d/{n % 7}\"é.png") for n in range(300)]
+    odd = [(pairs[0][0], pairs[0][1]), ("F" * 16, "a.png"), ("F" * 16, "b.png"), (None, "c.png"), ("E" * 16, None)]
+    mapping = spark.createDataFrame(pairs + odd, "hash string, name string")
+    out = str(tmp_path / "mapping")
+    K.write_mapping(mapping, out, entries=50)
+    lines = spark.read.text(out)
+    assert 3 <= lines.count() <= 9
+    assert rows(D.read_mapping(lines, "value")) == sorted(pairs)
+    K.write_mapping(mapping.limit(0), out)
+    assert spark.read.text(out).count() == 0
