@@ -16,15 +16,21 @@ comes next; the amount by which it rises is written on the transition. A state
 also holds how the count changes if the word ends there; with word-end tokens this
 may take back some of what is settled for longer words.
 
-States and transitions are made when first met. When the table is full it is
-dropped and grown again, so memory is bounded for any input.
+States and transitions are made when first met. Texts are read in segments that
+end at a pre-token; when the table is full it is dropped and grown again between
+two of them. So memory is bounded by a segment, or by the longest pre-token.
 
 Running. Bytes are cut into chunks of one length that advance side by side, one
 table lookup per byte. A pre-token start resets the machine, so the map of a chunk
-from entry state to exit state is constant behind its first start; only the head
-before it depends on the entry. Composing neighbours therefore means to run heads
-from the exit of the chunk before; chunks without any start pass the entry on, and
-are resolved in rounds.
+with a start, from entry state to exit state, is constant. The map of a chunk
+without one is a table of entries and exits, held for live entries only: the state
+the machine would enter in if it had started at the chunk before, the exits of that
+chunk's own table, and entries found true at an earlier chunk of the same word. All tables grow side by side. They are composed by a
+parallel prefix scan: each row points at the row of the next chunk whose entry is
+its exit, and pointers are doubled until all rows are known that a constant chunk
+leads to. A state depends on few bytes read, so entries agree after a few rounds;
+a round resolves at least one more chunk of each row of chunks in any case. Last,
+all heads are run from their entries at once.
 """
 
 from __future__ import annotations
@@ -42,6 +48,10 @@ DEAD, START = 0, 1
 #: Letters that follow an apostrophe as a pre-token of their own.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 CHUNK = 256
+#: Live entries of a chunk, on average; beyond, maps grow at the known entries only.
+LIVE = 64
+#: Bytes of a segment, after which the table of states may be dropped.
+SEGMENT = 1 << 22
 BEYOND = re.compile("[^\x00-\u02ff]")
 MAX_STATES = 1 << 19
 
@@ -227,10 +237,53 @@ class Transducer:
             out[k] = packed
         return out
 
-    def read(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _exits(self, columns: np.ndarray, marked: np.ndarray, exits: np.ndarray) -> np.ndarray:
+        """Exit states of all chunks. ``exits`` holds those of chunks with a start; the others are scanned for."""
+        exits = exits.copy()
+        opened = ~marked.any(0)
+        chunk = np.flatnonzero(opened)
+        if not len(chunk):
+            return exits
+        sure = ~opened[chunk - 1]
+        entry = np.where(sure, exits[chunk - 1], START).astype(np.int64)
+        # Rows of all maps, by chunk and entry, and where the true entries are known from the start.
+        wanted, heads = chunk << 32 | entry, (chunk << 32 | entry)[sure]
+        rows, leads = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.flatnonzero(~np.concatenate([opened, [False]]))
+        while True:
+            new = self._run(columns[:, wanted >> 32], np.zeros((CHUNK, len(wanted)), bool), wanted & 0xFFFFFFFF)[-1] >> 8
+            rows, leads = np.concatenate([rows, wanted]), np.concatenate([leads, new])
+            order = np.argsort(rows)
+            rows, leads = rows[order], leads[order]
+            ahead = ((rows >> 32) + 1) << 32 | leads
+            inside = np.concatenate([opened, [False]])[(rows >> 32) + 1]
+            at = np.minimum(np.searchsorted(rows, ahead), len(rows) - 1)
+            met = inside & (rows[at] == ahead)
+            # Composition by doubling; a row without a next one points at itself.
+            jump, true = np.where(met, at, np.arange(len(rows))), np.zeros(len(rows), bool)
+            true[np.searchsorted(rows, heads)] = True
+            for _ in range(len(chunk).bit_length()):
+                true[jump[true]] = True
+                jump = jump[jump]
+            exits[rows[true] >> 32] = leads[true]
+            if true.sum() == len(chunk):
+                return exits
+            done = np.zeros(len(opened) + 1, bool)
+            done[rows[true] >> 32] = True
+            missing = inside & ~met & ~done[(rows >> 32) + 1]
+            wanted = np.unique(ahead[missing])
+            # Where the true entry is one that no chunk guessed, as in periodic words, all chunks behind it try it.
+            front = ahead[missing & true]
+            span = ends[np.searchsorted(ends, front >> 32)] - (front >> 32)
+            if len(rows) + len(wanted) + span.sum() <= LIVE * len(chunk):
+                shift = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+                tried = np.unique(np.concatenate([wanted, np.repeat(front, span) + (shift << 32)]))
+                wanted = tried[rows[np.minimum(np.searchsorted(rows, tried), len(rows) - 1)] != tried]
+            else:
+                wanted = np.unique(front)
+
+    def _read(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Packed (state, emitted) after each byte of an array whose first byte starts a pre-token."""
-        if len(self.info) > self.max_states:
-            self.reset()
         n = len(data)
         chunks = -(-n // CHUNK)
         wide = np.zeros(chunks * CHUNK, np.int32)
@@ -240,20 +293,35 @@ class Transducer:
         marks[n:] = True
         columns, marked = np.ascontiguousarray(wide.reshape(chunks, CHUNK).T), np.ascontiguousarray(marks.reshape(chunks, CHUNK).T)
         out = self._run(columns, marked, np.zeros(chunks, np.int32))
-        # Heads: bytes before the first start of a chunk, still to be run from the chunk before.
+        # Heads: bytes before the first start of a chunk, run from the exit of the chunk before.
         head = np.where(marked.any(0), marked.argmax(0), CHUNK)
-        todo = np.flatnonzero(head > 0)
-        while len(todo):
-            entry = out[-1, todo - 1] >> 8
-            ready = entry != DEAD
-            now, entry = todo[ready], entry[ready]
+        now = np.flatnonzero(head > 0)
+        if len(now):
+            entry = self._exits(columns, marked, out[-1] >> 8)[now - 1]
             size = int(head[now].max())
             stop = np.arange(size)[:, None] >= head[now]
             part = self._run(columns[:size, now], np.zeros((size, len(now)), bool), entry)
             out[:size, now] = np.where(stop, out[:size, now], part)
-            todo = todo[~ready]
         return out.T.ravel()[:n]
 
+    def read(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """After each byte: count emitted, count that closes the word here, last token. The first byte starts a pre-token."""
+        n, begin = len(data), 0
+        emitted, closing, last = np.empty(n, np.uint8), np.empty(n, np.int16), np.empty(n, np.int32)
+        while begin < n:
+            if len(self.info) > self.max_states:
+                self.reset()
+            end = begin + SEGMENT
+            if end < n:
+                back = np.flatnonzero(starts[begin + 1:end + 1])
+                after = starts[end:].argmax() if not len(back) else 0
+                end = begin + 1 + int(back[-1]) if len(back) else end + int(after) if starts[end + after] else n
+            packed = self._read(data[begin:end], starts[begin:end])
+            state = packed >> 8
+            emitted[begin:end], closing[begin:end], last[begin:end] = packed & 255, self.closing[state], self.last[state]
+            begin = end
+        return emitted, closing, last
+
     # Normalisation and the first machine.
 
     def normal(self, text: str) -> bytes:
@@ -343,15 +411,14 @@ class Transducer:
         return out, np.zeros(len(data), bool)
 
     def read_texts(self, texts: list[bytes]):
-        """Run over texts laid end to end: offsets of the texts, packed results, ends of pre-tokens, dropped bytes."""
+        """Run over texts laid end to end: offsets of the texts, what ``read`` gives, ends of pre-tokens, dropped bytes."""
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
         data = np.frombuffer(b"".join(texts), np.uint8)
         if not len(data):
             none = np.zeros(0, bool)
-            return offsets, np.zeros(0, np.int32), none, none
+            return offsets, (np.zeros(0, np.int32),) * 3, none, none
         starts, dropped = self.starts(data, offsets[:-1])
-        packed = self.read(data, starts)
-        return offsets, packed, np.concatenate([starts[1:], [True]]) & ~dropped, dropped
+        return offsets, self.read(data, starts), np.concatenate([starts[1:], [True]]) & ~dropped, dropped
 
     def pieces(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, list[list[int]]]:
         """Normalised texts cut at special strings, how many pieces each text has, and the special tokens between."""
@@ -384,20 +451,19 @@ class Transducer:
 
     def piece_counts(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each normalised text without special strings."""
-        offsets, packed, ends, dropped = self.read_texts(texts)
-        emitted = np.where(dropped, 0, packed & 255) + np.where(ends, self.closing[packed >> 8], 0)
+        offsets, (emitted, closing, _), ends, dropped = self.read_texts(texts)
+        emitted = np.where(dropped, 0, emitted.astype(np.int64)) + np.where(ends, closing, 0)
         total = np.concatenate([[0], np.cumsum(emitted, dtype=np.int64)])
         return np.diff(total[offsets])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts in a row, and where each text's ids begin (vocabularies without word-end tokens)."""
-        offsets, packed, ends, _ = self.read_texts(texts)
-        state = packed >> 8
-        tokens = np.full(len(packed), -1, np.int32)
-        begin = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]) if len(packed) else np.zeros(0, np.int64)
+        offsets, (_, _, last), ends, _ = self.read_texts(texts)
+        tokens = np.full(len(last), -1, np.int32)
+        begin = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]) if len(last) else np.zeros(0, np.int64)
         at = np.flatnonzero(ends)
         while len(at):  # From the end of every pre-token back by its last token.
-            token = self.last[state[at]]
+            token = last[at]
             tokens[at] = token
             at = at - self.length[token]
             more = at >= begin

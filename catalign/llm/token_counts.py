@@ -1,8 +1,8 @@
 """Token counts by a tokenizer compiled into a finite-state transducer (see ``bpe_transducer``).
 
 The texts of a task are laid end to end and cut into chunks of one length; all
-chunks advance together, their state maps are composed from left to right, and the
-counts on the transitions are summed by a running total. Texts of any length take
+chunks advance together, their state maps are composed by a parallel prefix scan, and
+the counts on the transitions are summed by a running total. Texts of any length take
 the same path.
 
 Edge cases: a null text is empty and has 0 bytes and tokens.

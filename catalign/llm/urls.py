@@ -20,6 +20,8 @@ from ..session import cut
 #: The rules of the query, as (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
+#: Hex digits of a digest that meet first.
+PREFIX = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,9 +59,12 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     expressions = (seen.select("host", "path", F.explode(suffixes).alias("suffix"))
                    .select("host", "path", "suffix", F.explode(prefixes).alias("prefix"))
                    .withColumn("digest", digest(F.col("suffix"), F.col("prefix"))))
-    keyed = rules.withColumn("r_digest", digest(F.col("r_host"), F.col("r_path")))
-    fits = expressions.join(
-        keyed, (F.substring("digest", 1, 8) == F.substring("r_digest", 1, 8)) & (F.col("digest") == F.col("r_digest")))
+    # All rules that share a prefix are one row; with 32 bits these are a few rules, whatever their number in all.
+    whole = digest(F.col("r_host"), F.col("r_path"))
+    listed = rules.groupBy(F.substring(whole, 1, PREFIX).alias("prefix_key")).agg(
+        F.collect_list(F.struct(whole.alias("digest"), "r_host", "r_path", "verdict")).alias("listed"))
+    met = expressions.withColumn("prefix_key", F.substring("digest", 1, PREFIX)).join(listed, "prefix_key")
+    fits = met.select("host", "path", F.inline(F.filter("listed", lambda r: r["digest"] == F.col("digest"))))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"),
                     (F.col("verdict") == "block").alias("b"), F.concat("r_host", "r_path").alias("rule"), "verdict")
     return fits.groupBy("host", "path").agg(F.max(rank).alias("w")).select("host", "path", "w.rule", "w.verdict")
@@ -75,4 +80,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    """Rules as a table of literals, at least one."""
+    fields = ("verdict", "host", "path")
+    rows = [F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, rule)]) for rule in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))

@@ -50,6 +50,31 @@ def test_transducer_grown_again_and_long_words():
         assert [x.tolist() for x in m.ids_of(texts)] == [e.ids for e in m.library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("n", [1, 2])
+def test_one_word_over_thousands_of_chunks(machines, monkeypatch, n):
+    """A pre-token over thousands of chunks is composed in a few rounds of side-by-side runs."""
+    rng = random.Random(n)
+    texts = ["".join(rng.choices("abcdefghij"[:5 * n], k=60_000)) + " end", "ab" * 30_000, "a" * 50_000 + " " + "xyz" * 20_001]
+    monkeypatch.setattr("catalign.llm.bpe_transducer.CHUNK", 16)
+    for m in machines:
+        runs, steps = [], m._run
+        monkeypatch.setattr(m, "_run", lambda data, starts, entry: runs.append(data.shape) or steps(data, starts, entry))
+        want = [len(e.ids) for e in m.library.encode_batch(texts, add_special_tokens=False)]
+        assert m.counts(texts).tolist() == want
+        # Each chunk in turn would be more than 3,000 runs for a text.
+        assert len(runs) < 300, len(runs)
+
+
+def test_table_dropped_inside_a_text(machines, monkeypatch):
+    monkeypatch.setattr("catalign.llm.bpe_transducer.SEGMENT", 700)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=9000)), "x" * 3000 + " " + "yz" * 900, "", "a b"]
+    m = Transducer(BYTE_BPE, max_states=50)
+    assert [x.tolist() for x in m.ids_of(texts)] == [e.ids for e in m.library.encode_batch(texts, add_special_tokens=False)]
+    m = Transducer(WORD_BPE, max_states=50)
+    assert m.counts(texts).tolist() == [len(e.ids) for e in m.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts(odd_docs, no_docs):
     library = Tokenizer.from_file(WORD_BPE)
     want = []
@@ -329,6 +354,20 @@ ARTICLE = """<html><head><title>t</title></head><body><header class="site-header
 <ul><li>one<li>two</ul><div id="comments"><p>nice!</p></div></div></div><script>x="<p>no</p>"</script><footer>foot</footer>"""
 
 
+def test_rules_join_on_prefixes_alone(spark, monkeypatch):
+    """One join key of a few hex digits; rules that share it are told apart by their whole digests."""
+    pages = spark.createDataFrame([(n, f"https://h{n % 7}.d{n % 40}.org/{'ab'[n % 2]}/x") for n in range(200)], "page_id long, url string")
+    rules = spark.createDataFrame([(["block", "allow"][n % 2], f"d{n}.org", "/" if n % 3 else "/a/") for n in range(60)],
+                                  "verdict string, host string, path string")
+    want = collected(urls.filter_urls(pages, rules))
+    assert len({r[3] for r in want}) > 30
+    monkeypatch.setattr(urls, "PREFIX", 1)
+    assert collected(urls.filter_urls(pages, rules)) == want
+    plan = urls.match_rules(pages.selectExpr("substring_index(substring_index(url, '/', 3), '/', -1) AS host", "'/a/' AS path"), rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Join" in line] and all(
+        "prefix_key" in line and "AND" not in line and "digest" not in line for line in plan.splitlines() if "Join" in line)
+
+
 def test_extraction_by_consensus(spark):
     want = "Title & {0}\nHello world a b < c\nMore text follows here, and on and on for article {0}\none\ntwo"
     rows = [(n, f"http://h.example/{n}", ARTICLE.format(n)) for n in range(6)]
