@@ -26,10 +26,10 @@ import os
 import re
 import zlib
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -121,9 +121,13 @@ class Words:
         """Ids of all texts end to end, each closed, and how many each has."""
         if len(self.known) > HELD_WORDS or len(self.ids) > HELD_IDS:
             self._forget()
-        split = [t.encode().split() for t in texts]
-        n_words = np.array([len(words) for words in split], np.int64)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        # Only different words of these texts become Python objects; none holds a line feed. White space at an end leaves an empty word.
+        listed = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+        spelled = pc.binary_join(listed, pa.scalar("\n", pa.large_string()))[0].as_buffer().to_pybytes().split(b"\n")[:len(words.dictionary)]
+        at = np.fromiter(map(self.known.__getitem__, spelled), np.int64, len(spelled))[words.indices.to_numpy()]
         if self.known.new:
             self._learn()
         at = np.insert(at, np.cumsum(n_words), 0)
@@ -166,7 +170,7 @@ def write(docs: DataFrame, path: str, closing_id: int, out: str | None = None, i
     def run(batches):
         words = load(path, closing_id)
         part, block, start, held, waiting = TaskContext.get().partitionId(), 0, 0, [], 0
-        for docs, texts in text_chunks(batches):
+        for docs, texts in text_chunks(batches, 1 << 22):
             ids, sizes = words.encode(texts)
             upto = 0
             for doc, n in zip(docs.column(0).to_pylist(), sizes.tolist()):
