@@ -78,7 +78,11 @@ def material_rollup(bindings: DataFrame, material: list[str], slot: str, enabled
                     order: list[str], slots: list[int] = V.MATERIAL_SLOTS) -> DataFrame:
     """One row per material with its slots nested; at most one asset per slot, so rows stay small."""
     rows = bindings.filter(F.col(slot).isin(slots)).withColumn("_off", ~F.col(enabled))
-    chosen = first_per_group(rows, [*material, slot], ["_off", *order], [asset])
+    return nest_slots(first_per_group(rows, [*material, slot], ["_off", *order], [asset]), material, slot, asset)
+
+
+def nest_slots(chosen: DataFrame, material: list[str], slot: str, asset: str) -> DataFrame:
+    """Slots with their chosen asset, nested per material."""
     nested = chosen.groupBy(*material).agg(
         F.array_sort(F.collect_list(F.struct(F.col(slot).alias("slot"), F.col(asset).alias("asset")))).alias("slots"))
     return nested.withColumn("slot_count", F.size("slots"))

@@ -14,6 +14,8 @@ from ..session import cut
 
 HOT_ROWS = 2_000_000
 HASH_BUCKETS = 65_536
+#: The shift table has a row per slab and is broadcast.
+MAX_SLABS = 20_000
 
 
 def has_hot_group(df: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) -> bool:
@@ -23,9 +25,13 @@ def has_hot_group(df: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) ->
     bounds its groups from above and the shuffle stays small however many
     groups there are. A false alarm costs time only.
     """
+    return _count_guarded(df, group, hot_rows)[0]
+
+
+def _count_guarded(df: DataFrame, group: list[str], hot_rows: int) -> tuple[bool, int]:
     top, total = df.groupBy(F.pmod(F.xxhash64(*group), F.lit(HASH_BUCKETS))).count().agg(
         F.max("count"), F.sum("count")).first()
-    return (top or 0) > max(hot_rows, 4 * (total or 0) // HASH_BUCKETS)
+    return (top or 0) > max(hot_rows, 4 * (total or 0) // HASH_BUCKETS), total or 0
 
 
 def number_and_total(
@@ -40,17 +46,19 @@ def number_and_total(
     """Add the one-based position and inclusive running sums per group.
 
     ``order`` must be a total order inside each group. Sums are of integer
-    columns.
+    columns. The number of slabs follows from the number of rows.
     """
     totals = totals or {}
-    if not has_hot_group(df, group, hot_rows):
+    hot, total = _count_guarded(df, group, hot_rows)
+    if not hot:
         w = Window.partitionBy(*group).orderBy(*order)
         running = w.rowsBetween(Window.unboundedPreceding, 0)
         out = {number: F.row_number().over(w).cast("bigint")} if number else {}
         out |= {name: F.sum(value).over(running) for name, value in totals.items()}
         return df.withColumns(out)
 
-    slabs = slabs or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A slab is sorted in one task: about half of what a group may hold there.
+    slabs = slabs or min(MAX_SLABS, max(2, -(-2 * total // hot_rows)))
     ranged = cut(
         df.repartitionByRange(slabs, *group, *order).withColumn("_slab", F.spark_partition_id())
     )

@@ -265,7 +265,7 @@ def live_names(spark, sf):
 def event_stream(spark, sf):
     """The events table as a stream: a folder as it is, a single file through its folder."""
     path, schema = f"{sf}/events.parquet", table(spark, sf, "events").schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", 256 << 30)  # a backlog comes in several batches
     if docs.is_folder(spark, path):
         return reader.parquet(path)
     return reader.option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -288,3 +288,11 @@ def stream_dedupe(spark, sf):
     keys = ["asset", "hash"]
     stream.stream_dedupe(A.event_evidence(event_stream(spark, sf)), root, keys, f"{root}/progress").awaitTermination()
     return stream.read_deduped(spark, root, keys, A.evidence(spark, sf).schema)
+
+
+@query("j8_stream_first_rows", f"""WITH {A.SQL_EVIDENCE} SELECT asset, hash, rank, method, event_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY asset, hash ORDER BY ts, event_id) AS rn FROM evidence) WHERE rn = 1""")
+def stream_first_rows(spark, sf):
+    root, keys, order = scratch_path(spark, "first-rows"), ["asset", "hash"], ["ts", "event_id"]
+    stream.stream_dedupe(A.event_evidence(event_stream(spark, sf)), root, keys, f"{root}/progress", order).awaitTermination()
+    return stream.read_deduped(spark, root, keys, A.evidence(spark, sf).schema, order).select("asset", "hash", "rank", "method", "event_id")

@@ -130,8 +130,8 @@ def fingerprint(spark, sf):
 
 
 def rollup(spark, sf):
-    b = A.bindings(spark, sf).withColumnRenamed("l_orderkey", "material")
-    r = M.material_rollup(b, ["material"], "slot", "enabled", "l_partkey", A.LINE_ORDER).join(report(spark, sf), "material")
+    slots = cut(A.slots(spark, sf))
+    r = M.nest_slots(slots, ["material"], "slot", "asset").join(report(spark, sf, slots), "material")
     return r.select("material", "status", "alpha_rows", F.col("slot_count").cast("bigint").alias("slot_count"), F.array_join(F.transform(
         "slots", lambda s: F.concat(s["slot"].cast("string"), F.lit(":"), s["asset"].cast("string"))), ",").alias("slots"))
 
@@ -163,15 +163,16 @@ SQL_REPORT = f"""{A.SQL_SLOTS}, {A.SQL_STAGES}, {SQL_USES}, {SQL_RESOLVABLE}, re
     FROM (SELECT DISTINCT material FROM slots) LEFT JOIN resolved USING (material) LEFT JOIN counted USING (material))"""
 
 
-def resolvable(spark, sf):
-    stages = A.stages(spark, sf)
-    return M.stage_resolvable(stages.filter("source_id <> 0"), ["material"], A.slots(spark, sf), stages)
+def resolvable(spark, sf, slots=None, stages=None):
+    slots, stages = slots or A.slots(spark, sf), stages or A.stages(spark, sf)
+    return M.stage_resolvable(stages.filter("source_id <> 0"), ["material"], slots, stages)
 
 
-def report(spark, sf):
-    """Materials with a bound slot and their status."""
-    uses = M.stage_use_counts(A.stages(spark, sf), A.slots(spark, sf), ["material"])
-    return M.material_report(A.slots(spark, sf), resolvable(spark, sf), uses, ["material"])
+def report(spark, sf, slots=None):
+    """Materials with a bound slot and their status. Slots and stages are narrow tables that several branches read, made once."""
+    slots, stages = slots or cut(A.slots(spark, sf)), cut(A.stages(spark, sf))
+    uses = M.stage_use_counts(stages, slots, ["material"])
+    return M.material_report(slots, resolvable(spark, sf, slots, stages), uses, ["material"])
 
 
 @query("d7_material_rollup", f"""WITH {SQL_REPORT} SELECT material, status, alpha_rows, count(*) AS slot_count,

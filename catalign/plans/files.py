@@ -91,6 +91,27 @@ def publish(spark, sf):
     return sinks.read_published(spark, path)
 
 
+@query("a6_expire_versions", """SELECT version, CAST(count(*) AS BIGINT) AS rows, CAST(sum(length(text) * version) AS BIGINT) AS chars
+  FROM documents, (SELECT unnest([1, 3, 4]) AS version) GROUP BY 1""")
+def expire_versions(spark, sf):
+    """Four versions of the documents' lengths; the first is held by a reader and the second retired."""
+    path = scratch_path(spark, "versions")
+    sizes = cut(table(spark, sf, "documents").select("doc_id", F.length("text").alias("chars")))
+
+    def totals(version, df):
+        return df.agg(F.count("*").alias("rows"), F.sum("chars").alias("chars")).select(F.lit(version).alias("version"), "rows", "chars")
+
+    sinks.publish(sizes, path, manifest=True)
+    with sinks.held_version(spark, path, 1) as first:
+        for version in (2, 3, 4):
+            sinks.publish(sizes.withColumn("chars", F.col("chars") * version), path, manifest=True)
+        sinks.expire_versions(spark, path, keep=2)
+        found = cut(totals(1, first))
+    for version in sinks.published_versions(spark, path):
+        found = found.unionByName(totals(version, sinks.read_published(spark, path, version)))
+    return found
+
+
 @query("a7_write_partitioned", "SELECT doc_id, lang || '_' || source AS category FROM documents")
 def write_partitioned(spark, sf):
     path = scratch_path(spark, "laid")

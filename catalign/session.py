@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,12 @@ def build_session(master: str = "local[8]", partitions: int = 8, **extra) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from the session.
 
-    Only a local session may fall back to a temporary folder.
+    Only a session without executors of its own may fall back to a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(root)

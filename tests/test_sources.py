@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalign.operators.evidence import merge_evidence
+from catalign.session import shared_dir
 from catalign.sources import documents as D, sinks as K
 from catalign.sources.files import scan_files
 from catalign.streaming import evidence as ST
@@ -65,9 +66,9 @@ def test_publish_failure_keeps_previous(spark, tmp_path, rows):
     assert rows(K.read_published(spark, root)) == [(1, "a")]
     assert set((tmp_path / "table" / "versions").iterdir()) == versions
     # A publisher that starts first and ends last is the one that is read; a taken number is skipped.
-    (tmp_path / "table" / "pointers" / "2").write_text(K._pointers(spark, root)[1])
+    (tmp_path / "table" / "pointers" / "2").write_text(K._folder(spark, root, 1))
     late = one.withColumn("v", F.lit("late"))
-    numbers = [K._commit(spark, root, K._pointers(spark, root)[1]), K.publish(late, root)]
+    numbers = [K._commit(spark, root, K._folder(spark, root, 1)), K.publish(late, root)]
     assert numbers == [3, 4] and rows(K.read_published(spark, root)) == [(1, "late")]
     assert rows(K.read_published(spark, root, 1)) == [(1, "a")]
     # Publishing may read what is published.
@@ -75,6 +76,65 @@ def test_publish_failure_keeps_previous(spark, tmp_path, rows):
     assert rows(K.read_published(spark, root)) == [(1, "b")]
 
 
+def test_versions_expire_while_a_reader_holds_one(spark, tmp_path, rows):
+    root, folder = str(tmp_path / "table"), tmp_path / "table"
+    one = spark.createDataFrame([(1, "a")], "id int, v string")
+    assert K.expire_versions(spark, root) == [] and not K.has_published(spark, root)
+    for n in range(1, 6):
+        assert K.publish(one.withColumn("id", F.lit(n)), root, manifest=True) == n
+    with K.held_version(spark, root, 2) as held:
+        assert K.expire_versions(spark, root, keep=2) == [1, 2, 3]
+        assert rows(held) == [(2, "a")] and K.published_versions(spark, root) == [4, 5]
+        assert len(list((folder / "versions").iterdir())) == 3
+    # Released, it goes with the next expiry; what is kept is whole.
+    assert K.expire_versions(spark, root, keep=2) == []
+    assert len(list((folder / "versions").iterdir())) == len(list((folder / "manifests").iterdir())) == 2
+    assert not list((folder / "holds").glob("[!.]*")) and rows(K.read_published(spark, root)) == [(5, "a")]
+    # Numbers go on, also when the note of the last one is lost or behind.
+    (folder / "last").unlink()
+    (folder / ".last.crc").unlink()
+    assert K.publish(one, root) == 6
+    (folder / "last").write_text("4")
+    (folder / ".last.crc").unlink()
+    assert rows(K.read_published(spark, root)) == [(1, "a")] and K.publish(one, root) == 7
+    # A running publisher's folder stays, one left behind goes; so does a version whose hold is too old.
+    (folder / "versions" / "running").mkdir()
+    with K.held_version(spark, root, 6):
+        assert K.expire_versions(spark, root, keep=1) == [4, 5, 6] and (folder / "versions" / "running").exists()
+        assert len(list((folder / "versions").iterdir())) == 3
+        K.expire_versions(spark, root, keep=1, stale_seconds=-5)
+    assert [p.name for p in (folder / "versions").iterdir()] == [K._folder(spark, root, 7)]
+    with pytest.raises(ValueError):
+        K.expire_versions(spark, root, keep=0)
+
+
+def test_manifest_shows_changed_files(spark, tmp_path, rows):
+    root = str(tmp_path / "table")
+    K.publish(spark.range(40).repartition(3), root, manifest=True)
+    assert K.verify_published(spark, root).count() == 0
+    files = sorted((tmp_path / "table" / "versions" / K._folder(spark, root, 1)).glob("part-*"))
+    whole = files[0].read_bytes()
+    files[0].write_bytes(whole[:-1] + b"?")
+    (files[0].parent / f".{files[0].name}.crc").unlink()  # else the local file system refuses to read it
+    (files[0].parent / "part-extra").write_bytes(b"x")
+    files[1].unlink()
+    assert rows(K.verify_published(spark, root)) == sorted([(files[0].name, "changed"), ("part-extra", "added"), (files[1].name, "missing")])
+
+
+def test_local_folders_are_for_local_sessions_only():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        Session.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            shared_dir(Session)
+
+
 def test_partitioned_and_csv(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, "a/b", "s,1"), (2, "con", 'q"x')], "id int, category string, source string")
     K.write_partitioned(df, str(tmp_path / "p"))
@@ -130,6 +190,24 @@ def test_stream_dedupe_loses_no_key(spark, tmp_path, rows):
     assert sorted(rows(ST.read_deduped(spark, root, ["asset", "hash"]))) == want
 
 
+@pytest.mark.parametrize("files", [1, 3, 7])
+def test_stream_keeps_the_first_whole_row_for_any_batches(spark, tmp_path, rows, files):
+    """Times run backwards over the batches, so every later batch has rows that come first; null times come before all."""
+    src, root, keys, order = str(tmp_path / "src"), str(tmp_path / "out"), ["asset"], ["at", "path"]
+    schema = "asset int, at int, path string, size int"
+    data = [(i % 9 if i % 10 else None, None if i % 31 == 0 else 100 - i // 4, f"p{i % 5}", i) for i in range(90)]
+    for part in range(files):
+        spark.createDataFrame(data[part::files], schema).coalesce(1).write.mode("append").parquet(src)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    want = {}
+    for row in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])):
+        want.setdefault(row[0], row)
+    for progress in ("progress", "again"):  # every batch is sent twice
+        ST.stream_dedupe(source, root, keys, f"{root}/{progress}", [*order, "size"]).awaitTermination()
+        got = rows(ST.read_deduped(spark, root, keys, order_by=[*order, "size"]))
+        assert got == sorted(want.values(), key=lambda t: tuple((x is None, str(x)) for x in t))
+
+
 def test_mapping_is_written_and_read_back(spark, tmp_path, rows):
     pairs = [(f"{n:016X}", f"d/{n % 7}\"é.png") for n in range(300)]
     odd = [(pairs[0][0], pairs[0][1]), ("F" * 16, "a.png"), ("F" * 16, "b.png"), (None, "c.png"), ("E" * 16, None)]
