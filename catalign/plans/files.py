@@ -10,17 +10,24 @@ from ..operators.lookup import ingest_external
 from ..operators.materials import unresolved_rows
 from ..session import cut, scratch_path
 from ..sources import documents as docs, sinks
-from ..sources.files import scan_files as scan
+from ..sources.files import read_ends, scan_files as scan
 from . import adapters as A
 from .adapters import table
 from .registry import query
 
 
-@query("a1_scan_files")
+@query("a1_scan_files", """SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) + 1 AS BIGINT) AS length, 'txt' AS ext,
+    substr(coalesce(html, '') || chr(10), 1, 1) AS first, chr(10) AS last FROM pages WHERE page_id IS NOT NULL""")
 def scan_files(spark, sf):
-    """The given files themselves, each once although the root is named twice; content is never read."""
-    return scan(spark, [sf, sf], glob="*.parquet").select(
-        F.substring_index("path", "/", -1).alias("file"), "length", "ext")
+    """Every page as a file of its own, found below two overlapping roots, with its first and last byte; the rest is not read."""
+    root = scratch_path(spark, "page-files")
+    pages = table(spark, sf, "pages").filter("page_id IS NOT NULL").select(
+        "page_id", F.coalesce("html", F.lit("")).alias("value"), F.pmod("page_id", F.lit(16)).alias("folder"))
+    pages.hint("rebalance", "folder").write.partitionBy("folder", "page_id").text(root)
+    found = read_ends(scan(spark, [root, f"{root}/folder=3"] if pages.filter("folder = 3").count() else [root], glob="*.txt"), 1, 1)
+    return found.select(
+        F.regexp_extract("path", "page_id=(-?[0-9]+)/", 1).cast("bigint").alias("page_id"), "length", "ext",
+        F.col("head").cast("string").alias("first"), F.col("tail").cast("string").alias("last"))
 
 
 @query("a1_file_inventory", f"""WITH {A.SQL_FILES} SELECT path, ext, length FROM (

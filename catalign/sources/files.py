@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths as P
@@ -13,7 +17,8 @@ def scan_files(spark: SparkSession, roots: str | list[str], glob: str | None = N
                content: bool = False) -> DataFrame:
     """Files below the roots, each once, with extension and length.
 
-    Content is not read unless asked for; the size filter reaches the source.
+    Content is not read unless asked for; the size filter reaches the source. Spark's file sources
+    do not list files without any byte, so these are not found.
     """
     def one(root):
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -30,3 +35,35 @@ def scan_files(spark: SparkSession, roots: str | list[str], glob: str | None = N
     if len(roots) > 1:
         df = df.dropDuplicates(["path"])
     return df.withColumn("ext", P.extension("path"))
+
+
+def read_ends(files: DataFrame, head: int, tail: int = 0, path: str = "path", length: str = "length") -> DataFrame:
+    """Files with ``head`` and ``tail``, their first and last bytes; nothing between is read, so files may have any size.
+
+    For what only looks at magics, footers or a bounded prefix. A file that has gone, has shrunk or cannot be opened since the
+    listing has nulls. Paths are those of ``scan_files``; executors open them by the file systems of Arrow.
+    """
+    named = files.select(F.col(path).alias("path"), F.col(length).alias("length"))
+
+    def run(batches):
+        for batch in batches:
+            ends = [_ends(p, n, head, tail) for p, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary())],
+                names=["path", "length", "head", "tail"])
+
+    return named.mapInArrow(run, "path string, length long, head binary, tail binary").withColumn("ext", P.extension("path"))
+
+
+def _ends(path: str, length: int, head: int, tail: int) -> tuple[bytes | None, bytes | None]:
+    try:
+        if path.startswith("file:") or path.startswith("/"):
+            system, name = pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+        else:
+            system, name = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+        with system.open_input_file(name) as f:
+            first = f.read_at(min(head, length), 0)
+            last = f.read_at(min(tail, length), length - min(tail, length))
+    except OSError:
+        return None, None
+    return (first, last) if len(first) == min(head, length) and len(last) == min(tail, length) else (None, None)

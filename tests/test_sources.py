@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalign.operators.evidence import merge_evidence
 from catalign.session import shared_dir
 from catalign.sources import documents as D, sinks as K
-from catalign.sources.files import scan_files
+from catalign.sources.files import read_ends, scan_files
 from catalign.streaming import evidence as ST
 
 
@@ -52,6 +52,25 @@ def test_reports(spark, tmp_path, rows):
     assert D.load_reports(spark, {"x": str(tmp_path / "none")}, "n bigint").count() == 1
 
 
+def test_ends_of_files_of_any_size(spark, tmp_path, rows):
+    """The large file is sparse and beyond what a content column can hold, so only its ends can have been read."""
+    root = tmp_path / "in dir"
+    root.mkdir()
+    contents = {"a b.bin": b"MAGIC tail", "é%41.bin": b"xy"}
+    (root / "empty.bin").touch()  # not listed
+    for name, content in contents.items():
+        (root / name).write_bytes(content)
+    with open(root / "large.bin", "wb") as f:
+        f.write(b"FARC")
+        f.seek((3 << 30) - 3)
+        f.write(b"end")
+    files = scan_files(spark, str(root))
+    got = {p.rpartition("/")[2]: (n, bytes(h), bytes(t)) for p, n, h, t in rows(read_ends(files, 5, 3), "path", "length", "head", "tail")}
+    assert got == {k: (len(v), v[:5], v[-3:]) for k, v in contents.items()} | {"large.bin": (3 << 30, b"FARC\0", b"end")}
+    gone = read_ends(files.select(F.concat("path", F.lit("x")).alias("path"), "length"), 5)
+    assert {(r["head"], r["tail"]) for r in gone.collect()} == {(None, None)} and read_ends(files.limit(0), 5).count() == 0
+
+
 def test_publish_failure_keeps_previous(spark, tmp_path, rows):
     root = str(tmp_path / "table")
     one = spark.createDataFrame([(1, "a")], "id int, v string")
