@@ -21,13 +21,17 @@ from .registry import query
 def scan_files(spark, sf):
     """Every page as a file of its own, found below two overlapping roots, with its first and last byte; the rest is not read."""
     root = scratch_path(spark, "page-files")
+    folder = F.pmod("page_id", F.lit(16))
     pages = table(spark, sf, "pages").filter("page_id IS NOT NULL").select(
-        "page_id", F.coalesce("html", F.lit("")).alias("value"), F.pmod("page_id", F.lit(16)).alias("folder"))
-    pages.hint("rebalance", "folder").write.partitionBy("folder", "page_id").text(root)
-    found = read_ends(scan(spark, [root, f"{root}/folder=3"] if pages.filter("folder = 3").count() else [root], glob="*.txt"), 1, 1)
-    return found.select(
-        F.regexp_extract("path", "page_id=(-?[0-9]+)/", 1).cast("bigint").alias("page_id"), "length", "ext",
-        F.col("head").cast("string").alias("first"), F.col("tail").cast("string").alias("last"))
+        F.format_string("folder=%d/%d/page_id=%d-%d.txt", folder, F.pmod(F.xxhash64("page_id"), F.lit(16)), "page_id",
+                        F.monotonically_increasing_id()).alias("name"), folder.alias("folder"),
+        F.concat(F.coalesce("html", F.lit("")), F.lit("\n")).alias("value"))
+    sinks.write_files(pages, root, "name", "value")
+    found = scan(spark, [root, f"{root}/folder=3"] if pages.filter("folder = 3").count() else [root], glob="*.txt", in_tasks=True)
+    # A character has four bytes at most.
+    return read_ends(found, 4, 1).select(
+        F.regexp_extract("path", "page_id=(-?[0-9]+)-[0-9]+[.]txt$", 1).cast("bigint").alias("page_id"), "length", "ext",
+        F.substring(F.col("head").cast("string"), 1, 1).alias("first"), F.col("tail").cast("string").alias("last"))
 
 
 @query("a1_file_inventory", f"""WITH {A.SQL_FILES} SELECT path, ext, length FROM (

@@ -7,10 +7,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .documents import path_exists
+from .files import system_of
 
 
 class PublishRejected(Exception):
@@ -41,6 +43,33 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def write_files(rows: DataFrame, path: str, name: str = "name", value: str = "value") -> int:
+    """A file of its own for every row, by its name below ``path`` and with its value as content; returns how many.
+
+    Tasks write below a hidden name and rename, so nothing is left to a commit in the driver and another attempt of a task
+    puts the same content in place. Names must be unique. On file systems that Arrow knows.
+    """
+    def run(batches):
+        system, root = system_of(path)
+        made, n = {root}, 0
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                folder, _, base = f"{root}/{file}".rpartition("/")
+                if folder not in made:
+                    system.create_dir(folder)
+                    made.add(folder)
+                draft = f"{folder}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as f:
+                    f.write(content.as_buffer() if content.is_valid else b"")
+                system.move(draft, f"{folder}/{base}")
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    system, root = system_of(path)
+    system.create_dir(root)
+    return rows.select(F.col(name), F.col(value).cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def mapping_documents(mapping: DataFrame, root: str = "textures", hash_="hash", name="name", entries: int = 10_000) -> DataFrame:
     """Mapping objects ``{root: {hash: name}}`` of about ``entries`` keys each, in key order; the inverse of ``read_mapping``.
 

@@ -25,6 +25,21 @@ def test_scan_files(spark, tmp_path, rows):
     assert "LessThanOrEqual(length,50)]" in plan.split("PushedFilters")[-1] and "content" not in plan.split("ReadSchema")[-1]
 
 
+def test_files_listed_in_tasks(spark, tmp_path, rows):
+    """The same files as Spark's own listing, but in tasks of thousands of files: Spark's source plans one for some 30."""
+    root = str(tmp_path / "in %dir")
+    names = spark.range(900).select(F.format_string("k=%d/é %%41-%d.txt", F.col("id") % 7, "id").alias("name"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("value"))
+    assert K.write_files(names, root) == 900
+    odd = spark.createDataFrame([("a.TXT", "up"), ("_k/hidden.txt", "h"), ("k=8/_hidden.txt", "h"), ("k=8/_a=b.txt", "seen"), ("k=8/.h.txt", "h"), ("k=8/b.csv", "c")], "name string, value string")
+    assert K.write_files(odd, root) == 6 and K.write_files(odd, root) == 6  # another attempt puts the same in place
+    for glob in (None, "*.txt", "*.{csv,TXT}", "?.[a-cT]*", "_a=b.txt"):
+        own = scan_files(spark, [root, f"{root}/k=3"], glob, in_tasks=True)
+        assert rows(own) == rows(scan_files(spark, [root, f"{root}/k=3"], glob)) and own.count() > 0, glob
+    assert scan_files(spark, root, max_len=2, in_tasks=True).count() == 4
+    assert scan_files(spark, root, in_tasks=True).rdd.getNumPartitions() <= 8 < scan_files(spark, root).rdd.getNumPartitions()
+    assert K.write_files(names.limit(0), root + "/none") == 0 and scan_files(spark, root + "/none", in_tasks=True).count() == 0
+
+
 def test_manifests(spark, tmp_path, rows):
     bad, good = tmp_path / "bad.json", tmp_path / "good.json"
     bad.write_text("{nope")
