@@ -6,7 +6,7 @@ later, smaller archives may still fit.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import values as V
@@ -115,15 +115,20 @@ def _by_chunks(rows: DataFrame, order: list[str], scope: list[str], cap_m: int,
     slim = numbered.select(*scope, "_at", "_chunk", "members", "bytes")
     admitted = None
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        m, b, taken = int(pdf["_m"].iloc[0]), int(pdf["_b"].iloc[0]), []
-        for dm, db in zip(pdf["members"], pdf["bytes"]):
-            fits = m + dm <= cap_m and b + db <= cap_b
-            taken.append(fits)
-            if fits:
-                m, b = m + int(dm), b + int(db)
-        return pdf.assign(_taken=taken)
+    def fold(batches):
+        # Rows come by scope and position; a scope may go on in the next batch.
+        now, m, b = None, 0, 0
+        for batch in batches:
+            scopes = zip(*[[None if v != v else v for v in batch.column(c).to_pylist()] for c in scope])
+            taken = []
+            for key, start_m, start_b, dm, db in zip(scopes, *[batch.column(c).to_pylist() for c in ("_m", "_b", "members", "bytes")]):
+                if key != now:
+                    now, m, b = key, start_m, start_b
+                fits = m + dm <= cap_m and b + db <= cap_b
+                taken.append(fits)
+                if fits:
+                    m, b = m + dm, b + db
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], names=[*batch.schema.names, "_taken"])
 
     while True:
         able = slim.join(usage, scope).filter(
@@ -141,7 +146,8 @@ def _by_chunks(rows: DataFrame, order: list[str], scope: list[str], cap_m: int,
         here = able.join(turn, scope)
         whole = here.filter(F.col("_chunk") < F.col("_turn")).withColumn("_taken", F.lit(True))
         step = here.filter(F.col("_chunk") == F.col("_turn")).withColumns({"_m": F.col("_m") + F.col("_wm"), "_b": F.col("_b") + F.col("_wb")})
-        folded = step.groupBy(*scope).applyInPandas(fold, schema=f"{_ddl(step)}, _taken boolean")
+        # One chunk of each scope, so a task holds whole chunks; many small scopes pass through one call.
+        folded = step.repartition(*scope).sortWithinPartitions(*scope, "_at").mapInArrow(fold, f"{_ddl(step)}, _taken boolean")
         done = cut(whole.unionByName(folded).drop("_turn", "_wm", "_wb"))
         if done.isEmpty():
             break

@@ -143,3 +143,30 @@ def test_layout_and_pages(spark, rows):
             (0, 0, 10), (1, 10, 21), (2, 21, 33), (3, 33, 46), (4, 46, 60)]
         assert [r[2:] for r in rows(DD.paginate(df, ["g"], ["lvl"], 2, hot_rows=hot), "g", "lvl", "page", "cell")] == [
             (1, 0), (1, 1), (2, 0), (2, 1), (3, 0)]
+
+
+def test_chunks_of_many_scopes_pass_through_one_call(spark, rows, monkeypatch):
+    """No call for each scope, of which there may be millions; scopes go on over the borders of batches."""
+    from pyspark.sql.group import GroupedData
+
+    from catalign.operators.budget import admit_under_budget
+
+    def none(*_):
+        raise AssertionError("a call for each scope")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", none)
+    # Scope 0 has as many rows as half of the others together.
+    n = F.col("id")
+    archives = spark.range(12_000).select(
+        F.when(n % 3 == 0, 0).otherwise(n % 700).alias("scope"), n.alias("at"), F.lit(0).alias("depth"), (n * 7 % 11 + 1).alias("members"),
+        (n * 13 % 97).alias("bytes"), F.lit(1).cast("bigint").alias("largest"), F.lit(1).cast("bigint").alias("smallest"))
+    limits = {"max_depth": 3, "max_members": 60, "max_expanded_bytes": 500, "max_member_bytes": 49, "max_archive_bytes": 10}
+    want, used = {}, {}
+    for r in archives.orderBy("at").collect():
+        m, b = used.get(r.scope, (0, 0))
+        why = "members" if m + r.members > 60 else "expanded_bytes" if b + r.bytes > 500 else None
+        want[r.at] = why
+        if why is None:
+            used[r.scope] = m + r.members, b + r.bytes
+    got = admit_under_budget(archives, limits, ["at"], ["scope"], fold_rows=2, chunk_rows=5)
+    assert {r.at: r.reason for r in got.collect()} == want
