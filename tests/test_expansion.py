@@ -92,3 +92,12 @@ def test_only_shared_members_are_compared_with_what_was_seen(spark):
     members = spark.createDataFrame([("a", "x", "A"), ("b", "x", "A"), ("a", "y", None), ("x", "a", "A")], "parent string, child string, kind string")
     store = X.store_members(members, spark.createDataFrame([("a", "A")], "path string, kind string"))
     assert {(r.child, r.again) for r in store.rows.collect()} == {("x", True), ("y", False), ("a", True)}
+
+
+def test_gap_stores_members_once(spark, monkeypatch):
+    from catalign.operators import expand
+    from catalign.plans import ordering
+
+    calls, store = [], expand.store_members
+    monkeypatch.setattr(expand, "store_members", lambda *a, **k: calls.append(1) or store(*a, **k))
+    assert ordering.staged_gap(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
