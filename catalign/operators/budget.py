@@ -222,19 +222,19 @@ def capped_sample(rows: DataFrame, rule: str, order: list[str], source: str, siz
 def check_members(members: DataFrame, archive: str, offset: str, size: str, archive_size: str,
                   limits: dict[str, int]) -> DataFrame:
     """Violations: negative size, extent outside the source, member and archive ceilings."""
-    per_member = members.select(
-        archive, offset,
-        F.when(F.col(size) < 0, "negative_size")
-        .when((F.col(offset) < 0) | (F.col(offset) + F.col(size) > F.col(archive_size)), "outside_source")
-        .when(F.col(size) > limits["max_member_bytes"], "member_bytes").alias("rule"),
-    ).filter(F.col("rule").isNotNull()).groupBy(archive, "rule").agg(F.count("*").alias("n"))
-    totals = members.groupBy(archive).agg(
-        F.count("*").alias("_n"), F.sum(size).alias("_b"), F.max(archive_size).alias("_a"))
-    rules = [
-        ("members", F.col("_n") > limits["max_members"]),
-        ("expanded_bytes", F.col("_b") > limits["max_expanded_bytes"]),
-        ("archive_bytes", F.col("_a") > limits["max_archive_bytes"]),
-    ]
-    per_archive = totals.select(archive, F.explode(F.array_compact(F.array(
-        *[F.when(test, F.lit(name)) for name, test in rules]))).alias("rule")).withColumn("n", F.lit(1).cast("bigint"))
-    return per_member.unionByName(per_archive)
+    size, offset = F.col(size), F.col(offset)
+    broken = F.when(size < 0, "negative_size").when((offset < 0) | (offset + size > F.col(archive_size)), "outside_source").when(
+        size > limits["max_member_bytes"], "member_bytes")
+    judged = members.select(F.col(archive), size.alias("_size"), F.col(archive_size).alias("_whole"), broken.alias("_rule"))
+    # One row per archive holds all counts, so members are read and grouped once.
+    rules = ("negative_size", "outside_source", "member_bytes")
+    totals = judged.groupBy(archive).agg(
+        *[F.count_if(F.col("_rule") == r).alias(f"_{r}") for r in rules],
+        F.count("*").alias("_n"), F.sum("_size").alias("_b"), F.max("_whole").alias("_a"))
+    one = F.lit(1).cast("bigint")
+    found = [(r, F.col(f"_{r}") > 0, F.col(f"_{r}")) for r in rules] + [
+        ("members", F.col("_n") > limits["max_members"], one),
+        ("expanded_bytes", F.col("_b") > limits["max_expanded_bytes"], one),
+        ("archive_bytes", F.col("_a") > limits["max_archive_bytes"], one)]
+    return totals.select(archive, F.inline(F.array_compact(F.array(
+        *[F.when(test, F.struct(F.lit(name).alias("rule"), n.alias("n"))) for name, test, n in found]))))

@@ -339,3 +339,14 @@ def test_mapping_names_must_be_relative_images(spark, rows):
     got = rows(VA.validate_mapping(mapping, files, image_ext="png").filter("rule = 'bad_path'"), "subject")
     assert got == [("",), ("../b.png",), ("/a.png",), ("a//b.png",), ("a/b.tga",)]
     assert "bad_path" not in {r.rule for r in VA.validate_mapping(mapping, files).collect()}
+
+
+def test_members_are_grouped_once(spark, rows):
+    from catalign.operators.budget import check_members
+
+    limits = {"max_members": 3, "max_expanded_bytes": 50, "max_member_bytes": 45, "max_archive_bytes": 90}
+    data = [("a", 0, 5, 90), ("a", -1, -2, 90), ("a", -1, 4, 90), ("a", 88, 4, 90), ("b", 0, 46, 91), ("b", 0, 6, 91), (None, 0, None, None), ("c", 0, 1, 9)]
+    found = check_members(spark.createDataFrame(data, "archive string, off long, size long, whole long"), "archive", "off", "size", "whole", limits)
+    assert rows(found, "archive", "rule", "n") == [
+        ("a", "members", 1), ("a", "negative_size", 1), ("a", "outside_source", 2), ("b", "archive_bytes", 1), ("b", "expanded_bytes", 1), ("b", "member_bytes", 1)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
