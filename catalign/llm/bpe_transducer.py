@@ -237,6 +237,13 @@ class Transducer:
             out[k] = packed
         return out
 
+    def _last_states(self, columns: np.ndarray, chunk: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """State after all bytes of each chunk without a start; nothing is held for the bytes between."""
+        packed = entry << 8
+        for row in columns:
+            packed = self._look_up((packed & -256) | row.take(chunk))
+        return packed >> 8
+
     def _exits(self, columns: np.ndarray, marked: np.ndarray, exits: np.ndarray) -> np.ndarray:
         """Exit states of all chunks. ``exits`` holds those of chunks with a start; the others are scanned for."""
         exits = exits.copy()
@@ -251,7 +258,7 @@ class Transducer:
         rows, leads = np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends = np.flatnonzero(~np.concatenate([opened, [False]]))
         while True:
-            new = self._run(columns[:, wanted >> 32], np.zeros((CHUNK, len(wanted)), bool), wanted & 0xFFFFFFFF)[-1] >> 8
+            new = self._last_states(columns, wanted >> 32, wanted & 0xFFFFFFFF)
             rows, leads = np.concatenate([rows, wanted]), np.concatenate([leads, new])
             order = np.argsort(rows)
             rows, leads = rows[order], leads[order]
@@ -375,12 +382,12 @@ class Transducer:
         first = np.zeros(len(data), bool)
         first[texts[texts < len(data)]] = True
         first = first[chars]
-        prev = np.concatenate([[0], k[:-1]])
+        prev = np.concatenate([k[:1], k[:-1]])  # all arrays here have one byte an entry
         prev[first] = 0
         blank = data[chars] == 32
         blank_before = np.concatenate([[False], blank[:-1]]) & ~first
         nxt_first = np.concatenate([first[1:], [True]])
-        nxt = np.where(nxt_first, SPACE, np.concatenate([k[1:], [SPACE]]))
+        nxt = np.where(nxt_first, np.uint8(SPACE), np.concatenate([k[1:], k[:1]]))
         mark = k != prev
         if self.end:  # White space is dropped, numbers stand alone.
             mark |= k == NUMBER

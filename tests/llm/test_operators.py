@@ -75,6 +75,19 @@ def test_table_dropped_inside_a_text(machines, monkeypatch):
     assert m.counts(texts).tolist() == [len(e.ids) for e in m.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_marking_takes_few_bytes_a_byte(machines):
+    import tracemalloc
+
+    data = np.frombuffer(b"Some words, it's 12 and  more\n" * 20_000, np.uint8)
+    machines[1].starts(data[:100], np.zeros(1, np.int64))
+    tracemalloc.start()
+    try:
+        machines[1].starts(data, np.zeros(1, np.int64))
+        assert tracemalloc.get_traced_memory()[1] < 30 * len(data)  # 39 before
+    finally:
+        tracemalloc.stop()
+
+
 def test_token_counts(odd_docs, no_docs):
     library = Tokenizer.from_file(WORD_BPE)
     want = []
