@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ BLOCK_BITS = 32_768
 #: Largest filter that is sent to executors (64 MB). A corpus that outgrows it sends more rows
 #: through the exact path; results stay the same.
 MAX_FILTER_BITS = 1 << 29
+#: Bytes of text in a slice for steps that hold a hundred bytes for each of them.
+SMALL_SLICE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,3 +147,27 @@ def text_chunks(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Itera
             end = max(begin + 1, int(np.searchsorted(upto, before + size, side="right")))
             yield batch.slice(begin, end - begin), [t or "" for t in column.slice(begin, end - begin).to_pylist()]
             begin = end
+
+
+def give_back() -> None:
+    """Return to the system what was freed and is kept for later, by Arrow's pool and by the C library."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` over the batches of a task, after which freed memory is given back.
+
+    Spark keeps a Python worker for later tasks and stages; what an idle one holds
+    counts beside whatever its executor does next.
+    """
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole

@@ -21,13 +21,14 @@ with most labelled rows and score 0. Ties go to that order as well.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import text_chunks
+from .common import SMALL_SLICE, lean, text_chunks
 
 UNDETERMINED = "und"
 LENGTHS = (2, 3, 4)
@@ -49,7 +50,7 @@ def letter_table() -> np.ndarray:
     return _LETTERS[0]
 
 
-def ngram_codes(texts: list[str], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[np.ndarray, np.ndarray]]:
+def ngram_codes(texts: list[str], lengths: tuple[int, ...] = LENGTHS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length the codes of all n-grams and the text of each. Runs of other characters than letters are one blank."""
     lowered = [" " + t.lower() + " " for t in texts]
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -57,7 +58,6 @@ def ngram_codes(texts: list[str], lengths: tuple[int, ...] = LENGTHS) -> list[tu
     letter = letter_table()[codes]
     keep = letter | np.concatenate([[True], letter[:-1] | (owner[1:] != owner[:-1])])[:len(letter)]
     codes, owner = np.where(letter, codes, 32)[keep].astype(np.uint64), owner[keep]
-    out = []
     for n in lengths:
         size = max(0, len(codes) - n + 1)
         h = np.zeros(size, np.uint64)
@@ -65,8 +65,7 @@ def ngram_codes(texts: list[str], lengths: tuple[int, ...] = LENGTHS) -> list[tu
             h = (h + codes[j:j + size] + np.uint64(1)) * _CODE
             h ^= h >> np.uint64(29)
         inside = owner[:size] == owner[n - 1:n - 1 + size]
-        out.append(((h + np.uint64(n))[inside], owner[:size][inside]))
-    return out
+        yield (h + np.uint64(n))[inside], owner[:size][inside]
 
 
 def slots_of(codes: np.ndarray) -> list[np.ndarray]:
@@ -131,8 +130,9 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit("fit-1"), "doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
 
+    @lean
     def count(batches):
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, SMALL_SLICE):
             labels = np.array(part.column(0).to_pylist(), object)
             for n, (codes, owner) in zip(LENGTHS, ngram_codes(texts)):
                 for name in set(labels):
@@ -157,8 +157,9 @@ def identify(docs: DataFrame, known: LanguageFilter, id_col: str = "doc_id", tex
     id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(known)  # of fixed size
 
+    @lean
     def run(batches):
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, SMALL_SLICE):
             names, score, share = sent.value.judge(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(share)],
                                              names=["doc_id", "lang_pred", "score", "share"])
@@ -172,11 +173,12 @@ def keep_identified(docs: DataFrame, known: LanguageFilter, text_col: str = "tex
     sent = docs.sparkSession.sparkContext.broadcast(known)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         for batch in batches:
             # Text goes last, for the chunks; columns come back in their place.
             for part, texts in text_chunks([
-                    pa.RecordBatch.from_arrays([*batch.columns, batch.column(at)], names=[*batch.schema.names, "_text"])]):
+                    pa.RecordBatch.from_arrays([*batch.columns, batch.column(at)], names=[*batch.schema.names, "_text"])], SMALL_SLICE):
                 names, _, share = sent.value.judge(texts)
                 good = np.array([n != UNDETERMINED for n in names]) & (share >= min_share)
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], names=batch.schema.names).filter(pa.array(good))

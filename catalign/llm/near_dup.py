@@ -52,7 +52,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
-from .common import attach_groups, keep_one, likely_ids, row_key, text_chunks, text_of
+from .common import SMALL_SLICE, attach_groups, keep_one, lean, likely_ids, row_key, text_chunks, text_of
 from .text_scan import Scan
 
 WORDS = 5
@@ -92,6 +92,7 @@ def bucket_of(h: np.ndarray) -> np.ndarray:
 
 def frequency_sketch(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:
     """Documents with words, and for each bucket of hashes the documents of its shingles."""
+    @lean
     def count(batches):
         held, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
         for _, texts in text_chunks(batches):
@@ -188,8 +189,9 @@ def band_keys(owner: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
 
 def sign(docs: DataFrame, sent: Broadcast) -> DataFrame:
     """(id, weight, bands, samples) of each document with words."""
+    @lean
     def run(batches):
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, SMALL_SLICE):
             owner, h, tf = shingles(texts)
             w = weigh(h, tf, sent.value)
             has, bands, samples = band_keys(owner, h, w)
@@ -224,13 +226,14 @@ def similarities(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarr
 def verify(pairs: DataFrame, texts: DataFrame, sent: Broadcast, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) that are at or above the threshold, with their similarity. ``sent`` is the idf table."""
 
+    @lean
     def run(batches):
         for batch in batches:
             left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
             begin = held = 0
             for n in range(len(left)):
                 held += len(left[n]) + len(right[n])
-                if held > 1 << 20 or n == len(left) - 1:
+                if held > SMALL_SLICE or n == len(left) - 1:
                     sim = similarities(left[begin:n + 1], right[begin:n + 1], sent.value)
                     good = np.flatnonzero(sim >= threshold - 1e-9)
                     part = batch.slice(begin, n + 1 - begin)
@@ -310,8 +313,9 @@ def agreeing(pairs: DataFrame, samples: DataFrame, least: int = AGREE) -> DataFr
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
     """(id, shingles): the shingles of each text and how often they occur, eight bytes each, in order."""
+    @lean
     def run(batches):
-        for part, chunk in text_chunks(batches):
+        for part, chunk in text_chunks(batches, SMALL_SLICE):
             owner, h, tf = shingles(chunk)
             packed = (h << np.uint64(TF_BITS) | np.minimum(tf, (1 << TF_BITS) - 1).astype(np.uint64)).astype("<u8")
             at = np.searchsorted(owner, np.arange(len(chunk) + 1))

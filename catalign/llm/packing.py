@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 from .bpe_transducer import load
-from .common import text_chunks
+from .common import lean, text_chunks
 
 SEQUENCE = 1024
 CLOSING_ID = 2
@@ -82,6 +82,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches):
         machine = load(path)
         for part, texts in text_chunks(batches):
@@ -112,6 +113,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     dealt = pieces.withColumn("_order", order).repartition(packers, "_order").sortWithinPartitions(
         "_order", "doc_id", "piece", "start", "length", "ids_crc32").drop("_order")
 
+    @lean
     def run(batches):
         packer, first = Packer(sequence, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:

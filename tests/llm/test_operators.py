@@ -88,6 +88,48 @@ def test_marking_takes_few_bytes_a_byte(machines):
         tracemalloc.stop()
 
 
+def test_idle_workers_hold_little(spark, monkeypatch):
+    """What a task freed goes back to the system: the worker stays, beside all that its executor does next."""
+    import ctypes
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", f.read())) / 1024
+
+    def give_back():
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    known = L.LanguageFilter.of(["en"], [])
+    words = random.Random(5).choices("some words in a row, and others 12".split(), k=300_000)
+    texts = [" ".join(words[k:k + 200 + k % 300]) for k in range(0, len(words), 400)]
+    for run, whole in ((packing.tokenize(docs, BYTE_BPE), False), (L.keep_identified(docs, known), True)):
+        def batches():
+            for _ in range(3):
+                part = texts * 8
+                columns = {"doc_id": list(range(len(part))), "text": part}
+                yield pa.RecordBatch.from_pydict(columns | {"lang": ["en"] * len(part)} if whole else columns)
+
+        for _ in run(batches()):
+            pass
+        kept = held()
+        give_back()
+        assert kept - held() < 10
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(len(texts))], "text": texts, "lang": ["en"] * len(texts)})
+    tracemalloc.start()
+    try:
+        for _ in run([batch]):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_token_counts(odd_docs, no_docs):
     library = Tokenizer.from_file(WORD_BPE)
     want = []
